@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import langid, mixing, packing, topk, urlfilter
+from quillgraph.llm import langid, mixing, neardup, packing, repeats, topk, urlfilter
 
 #: The rules of the op4 contract.
 RULES = [
@@ -48,7 +48,15 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filter, op5_pack_documents, op6_language_id, op7_exact_top_k)}
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filter, op5_pack_documents, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_repeated_passages)}
 
 _CANONICAL = "regexp_replace(host, '^www\\.', '') || '/' || regexp_replace(path, '^/|/+$', '', 'g')"
 
@@ -74,6 +82,30 @@ WITH u AS (
 SELECT k.page_id, host, path, rule,
        coalesce(says, CASE WHEN host <> '' AND url_key IN (SELECT url_key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM k LEFT JOIN fit ON k.page_id = fit.page_id""",
+    "op9_repeated_passages": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM d)
+), f AS (
+  SELECT g, min(doc_id) AS low FROM w GROUP BY g
+), s AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN f USING (g) WHERE low < doc_id
+), r AS (
+  SELECT *, count(CASE WHEN before IS NULL OR p > before + 50 THEN 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s
+), x AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run
+), y AS (
+  SELECT x.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY x.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY x.doc_id ORDER BY a), 0))) AS gap
+  FROM x JOIN d ON x.doc_id = d.doc_id
+), z AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(gap, '' ORDER BY a) AS kept, max(b) AS last FROM y GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id""",
     "op7_exact_top_k": """
 WITH x AS (
   SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
