@@ -197,3 +197,25 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """The contract of op6: doc_id, held_out, lang_pred, score."""
     out = with_language(docs, docs.where(remainder(F.col("doc_id"), folds) != held))
     return out.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+
+
+def without_rejects(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """docs whose text is in some learned language; a null lang becomes the predicted one."""
+    shared = docs.sparkSession.sparkContext.broadcast(labelled_sample(train))
+    held: dict[str, Languages] = {}
+
+    @F.pandas_udf("string")
+    def language(texts):
+        import pandas as pd
+
+        if "l" not in held:
+            held["l"] = Languages(shared.value)
+        out, values = [], texts.tolist()
+        for a, b in _runs(values):
+            out += held["l"].decided(values[a:b])[0] if held["l"].names else ["und"] * (b - a)
+        return pd.Series(out, dtype=object)
+
+    known = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("li_pred", language("text")).where("li_pred <> 'und'")
+    if "lang" in docs.columns:
+        known = known.withColumn("lang", F.coalesce("lang", "li_pred"))
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns])

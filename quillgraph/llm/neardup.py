@@ -16,7 +16,7 @@ Random draws are read from two tables by hash, so a draw costs array look-ups on
 
 Defined results: null text is empty; texts without a word are all one class of equal texts; fewer than five
 words make one shingle; repeated rows (same doc_id) get one row each with equal class; an empty table gives no
-rows; other columns are not read.
+rows; a null doc_id counts as the largest id; other columns are kept by `deduplicated` and not read by `classes`.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SKETCH_BITS = 21
 DRAW_BITS = 16
 #: Signature features worked on at once: arrays of this size stay in the cache.
 BLOCK = 1 << 14
+#: Stands for a null doc_id.
+LAST_ID = (1 << 63) - 1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +250,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and copies (documents with the same words), per document."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast((docs.count(), count_sketch(docs)))  # 2 x 2^SKETCH_BITS floats
     signed = written(_signed(docs, shared), "signed")
     texts = written(signed.groupBy("h0", "h1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
@@ -278,10 +280,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     else:
         label = components(links)
         found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", F.coalesce("label", "id").alias("class_id"))
-    return signed.select("doc_id", "h0", "h1").join(found.select("h0", "h1", "copies", "class_id"), ["h0", "h1"]).select("doc_id", "class_id", "copies")
+    return (
+        signed.select("doc_id", "h0", "h1")
+        .join(found.select("h0", "h1", "copies", "class_id"), ["h0", "h1"])
+        .select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")], "copies")
+    )
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs without near duplicates: the document with the least id of each class stays, once."""
-    kept = classes(docs, least).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("nd_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("nd_id")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("nd_id")).distinct()
+    keyed = docs.withColumn("nd_key", F.coalesce("doc_id", F.lit(LAST_ID)))
+    return keyed.join(kept, F.col("nd_key") == F.col("nd_id")).dropDuplicates(["nd_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

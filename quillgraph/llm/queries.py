@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import langid, mixing, neardup, packing, repeats, topk, urlfilter
+from quillgraph.llm import langid, lmscore, mixing, neardup, neighbours, packing, quotes, repeats, topk, urlfilter
 
 #: The rules of the op4 contract.
 RULES = [
@@ -23,10 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -56,7 +64,17 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filter, op5_pack_documents, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_repeated_passages)}
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_score, op2_mix_sources, op3_nearest_neighbours, op4_url_filter, op5_pack_documents,
+        op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_repeated_passages, op10_quote_links,
+    )
+}
 
 _CANONICAL = "regexp_replace(host, '^www\\.', '') || '/' || regexp_replace(path, '^/|/+$', '', 'g')"
 
