@@ -16,7 +16,9 @@ empty table gives no rows; other columns are not read. A sequence_id is (partiti
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +29,60 @@ LENGTH = 2048
 SEGMENTS = 256
 MIN_PIECE = 16
 END_ID = 1
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
-#: White space to str.split, but not to the tokenizer.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 1_200_000
 OUT = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
-    """Token ids as little-endian uint32 bytes. White space always ends a token of this tokenizer, so the ids of
-    a text are those of its space-separated words, one after another."""
+    """Token ids as little-endian uint32 bytes. White space always ends a token of this tokenizer and case does
+    not count, so the ids of a text are those of its lower-cased words, one after another; only a text that may
+    hold a special token goes to the tokenizer as it is."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if any(c in text for c in ODD_SPACE):
+            if "<|" in text:
                 out.append(self.encoded([text])[0])
                 continue
-            words = text.split()
+            words = text.encode().lower().split()
             try:
                 out.append(b"".join(map(self.known.__getitem__, words)))
             except KeyError:
                 if len(self.known) > CACHE_WORDS:
                     self.known.clear()
                 new = list(set(words).difference(self.known))
-                self.known.update(zip(new, self.encoded(new)))
+                self.known.update(zip(new, self.encoded([w.decode() for w in new])))
                 out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
 
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(tokenizer: str) -> Ids:
+    """The worker's tokenizer, with the words it has met in earlier tasks."""
+    if tokenizer not in _ids:
+        path = tokenizer
+        if not os.path.isabs(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(tokenizer)
+        _ids[tokenizer] = Ids(path)
+    return _ids[tokenizer]
+
+
 def vector_pack(sizes: np.ndarray, limits: np.ndarray, min_piece: int = MIN_PIECE, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Bins of (item, first token, tokens). sizes: rows of (tokens, segments, loss tokens), each within limits.
 
@@ -155,23 +173,14 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", length: int =
 
     tokenizer: a path, or the name of one of the public tokenizers, found on each executor.
     """
-    held: dict[str, Ids] = {}
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        if "t" not in held:
-            import os
-
-            path = tokenizer
-            if not os.path.isabs(path):
-                import public_tokenizers
-
-                path = public_tokenizers.path(tokenizer)
-            held["t"] = Ids(path)
+        own_ids = ids_of(tokenizer)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [x + end for x in held["t"].of(texts)]
+            ids = [x + end for x in own_ids.of(texts)]
             tokens = np.array([len(x) // 4 for x in ids], np.int64)
             rows, start, size, crc, at, place = [], [], [], [], [], []
             for sequence in plan(tokens, length, segments):
