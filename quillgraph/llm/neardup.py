@@ -6,10 +6,12 @@
 2. Documents with equal word sequences form one text class first; only a representative goes on.
 3. Signature: for each of HASHES functions the least ln a over the features, after Ioffe's improved consistent
    weighted sampling. Two texts agree in one with a probability equal to their weighted Jaccard similarity.
-4. BANDS bands of ROWS values each. In a bucket every text is paired with the bucket's first text (last, in
-   odd bands), never with all; pairs are verified by exact weighted Jaccard of the texts. Texts that fail leave
-   their bucket's pivot and meet a new one in the next round, until each has been a pivot or has matched one.
-   A bucket of m texts in c clusters so costs about m * c comparisons over c rounds, and no bucket is capped.
+4. BANDS bands of ROWS values each. The texts of a bucket are compared where they meet: each text with those that
+   are not yet linked to it in the bucket, have it in no earlier band and agree in AGREE of HASHES signature
+   bytes; a pair is linked if the exact weighted Jaccard of the whole texts is SIMILAR or more. Pairs stay inside
+   the task and links make a spanning forest, so copies of one text cost a comparison each, not one a pair.
+   A bucket of more than BIG texts is dealt in chunks: all are compared with its first text, and then those not
+   linked to it with all chunks. No bucket is capped.
 5. Classes are the connected components of verified links, labelled by their least document id.
 
 Random draws are read from two tables by hash, so a draw costs array look-ups only.
@@ -36,6 +38,10 @@ HASHES = BANDS * ROWS
 #: Counters in each of the two rows of the df sketch.
 SKETCH_BITS = 21
 DRAW_BITS = 16
+#: Signature bytes that must agree before texts are compared: at similarity 0.8 the expected number is 51, and 40 is
+#: 3.5 deviations below.
+AGREE = 40
+BIG = 512
 #: Signature features worked on at once: arrays of this size stay in the cache.
 BLOCK = 1 << 14
 #: Stands for a null doc_id.
@@ -173,60 +179,124 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
 
 
 def _signed(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, h0, h1, bands): the word sequence's hash and the band hashes of each document."""
+    """(doc_id, h0, h1, bands, sig): the word sequence's hash, the band hashes and a byte of each signature value."""
     kept: dict[str, object] = {}
 
     def run(batches):
         if not kept:
             kept.update(w=Weights(*shared.value), s=Sampler())
         for batch in batches:
-            ids, h0, h1, bands = [], [], [], []
             for a, b, data, offsets in slices(batch):
+                n = b - a
                 row, h, tf, x, y = features(data, offsets)
-                sig = kept["s"].signatures(row, h, kept["w"].of(h, tf), b - a).view(np.uint32).reshape(b - a, BANDS, ROWS)
-                key = np.zeros((b - a, BANDS), np.uint64)
+                sig = kept["s"].signatures(row, h, kept["w"].of(h, tf), n).view(np.uint32).astype(np.uint64)
+                key = np.zeros((n, BANDS), np.uint64)
                 for i in range(ROWS):
-                    key = mixed_bits(key * U64(0xE7037ED1A0B428DB) + sig[:, :, i])
-                ids.append(batch.column(0).slice(a, b - a))
-                h0.append(x.view(np.int64))
-                h1.append(y.view(np.int64))
-                bands.append(key.view(np.int64))
-            if ids:
-                keys = np.concatenate(bands)
+                    key = mixed_bits(key * U64(0xE7037ED1A0B428DB) + sig[:, i::ROWS])
+                small = (mixed_bits(sig) >> U64(56)).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(ids), pa.array(np.concatenate(h0)), pa.array(np.concatenate(h1)), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())],
-                    ["doc_id", "h0", "h1", "bands"],
+                    [
+                        batch.column(0).slice(a, n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)),
+                        pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel()),
+                        pa.array([small[i : i + HASHES] for i in range(0, n * HASHES, HASHES)], pa.binary()),
+                    ],
+                    ["doc_id", "h0", "h1", "bands", "sig"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h0 long, h1 long, bands array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least `least`."""
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h0 long, h1 long, bands array<long>, sig binary")
+
+
+class Bucket:
+    """Texts that are compared in one task; features are made when first needed."""
+
+    def __init__(self, weights: Weights, texts: list[str], sigs: list[bytes], bands: np.ndarray) -> None:
+        self.weights, self.texts, self.bands = weights, texts, bands
+        self.sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(texts), -1)
+        self.made: list = [None] * len(texts)
+        self.label = np.arange(len(texts))
+
+    def features(self, i: int):
+        if self.made[i] is None:
+            data = np.frombuffer((self.texts[i] or "").encode(), np.uint8)
+            _, h, tf, _, _ = features(data, np.array([0, len(data)]))
+            self.made[i] = h, self.weights.of(h, tf)
+        return self.made[i]
+
+    def links(self, i: int, others: np.ndarray, band: int, least: float, first_band: bool):
+        """Links of i to texts that have no link to it yet."""
+        others = others[self.label[others] != self.label[i]]
+        if not len(others):
+            return
+        others = others[(self.sigs[others] == self.sigs[i]).sum(axis=1) >= AGREE]
+        if first_band and band:
+            others = others[~(self.bands[others, :band] == self.bands[i, :band]).any(axis=1)]
+        for j in others:
+            if self.label[i] != self.label[j] and weighted_jaccard(*self.features(i), *self.features(j)) >= least:
+                a, b = self.label[i], self.label[j]
+                self.label[self.label == max(a, b)] = min(a, b)
+                yield int(j)
+
+
+def _linked(groups: DataFrame, shared, least: float, first_band: bool) -> DataFrame:
+    """Links (a, b) of rows (band, x array<struct<id,side,bands,sig,text>>): side 0 is compared with all, side 1 only
+    with side 0."""
     kept: dict[str, Weights] = {}
 
     def run(batches):
         if not kept:
             kept["w"] = Weights(*shared.value)
         for batch in batches:
-            good = []
-            sides = []
-            for name in ("ta", "tb"):
-                parts = []
-                for a, b, data, offsets in slices(batch, name):
-                    row, h, tf, _, _ = features(data, offsets)
-                    w = kept["w"].of(h, tf)
-                    cut = np.searchsorted(row, np.arange(b - a + 1))
-                    parts += [(h[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-                sides.append(parts)
-            for (h1, w1), (h2, w2) in zip(*sides):
-                good.append(weighted_jaccard(h1, w1, h2, w2) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    kind = texts.schema["id"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+            out = []
+            for row in range(batch.num_rows):
+                band, x = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                ids, side = x.field("id").to_numpy(), x.field("side").to_numpy()
+                order = np.lexsort((ids, side))
+                x = x.take(pa.array(order))
+                ids, side = ids[order], side[order]
+                bands = x.field("bands").flatten().to_numpy().reshape(len(ids), -1)
+                bucket = Bucket(kept["w"], x.field("text").to_pylist(), x.field("sig").to_pylist(), bands)
+                for i in range(int((side == 0).sum())):
+                    others = np.arange(i + 1, len(ids))
+                    others = others[ids[others] != ids[i]]
+                    for j in bucket.links(i, others, band, least, first_band):
+                        out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return groups.select("band", "x").mapInArrow(run, "a long, b long")
+
+
+def _gathered(rows: DataFrame, body: DataFrame, *keys: str) -> DataFrame:
+    """rows (band, key, id, side, *keys) with their texts, one row a group."""
+    whole = rows.join(body, "id").select("band", "key", *keys, F.struct("id", "side", "bands", "sig", "text").alias("x"))
+    return whole.groupBy("band", "key", *keys).agg(F.collect_list("x").alias("x"))
+
+
+def _big_links(rows: DataFrame, body: DataFrame, shared, least: float) -> DataFrame:
+    """Links in buckets of more than BIG texts: rows (band, key, id, n)."""
+    parts = F.ceil(F.col("n") / BIG)
+    firsts = rows.groupBy("band", "key").agg(F.min("id").alias("lo"), F.first("n").alias("n"))
+    chunked = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    star = chunked.select("band", "key", "part", "id", F.lit(1).alias("side")).unionByName(
+        firsts.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("lo").alias("id"), F.lit(0).alias("side"))
+    )
+    near = written(_linked(_gathered(star, body, "part"), shared, least, False), "star")
+    both = firsts.select("band", "key", "lo")
+    left = written(
+        chunked.join(both, ["band", "key"]).where(F.col("id") != F.col("lo")).join(near, (F.col("lo") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").drop("lo"), "far"
+    )
+    counts = left.groupBy("band", "key").agg(F.ceil(F.count("*") / BIG).alias("rows"))
+    grid = (
+        left.join(counts, ["band", "key"])
+        .withColumn("line", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("rows")))
+        .select("band", "key", "line", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "id", F.lit(0).alias("side"))
+        .unionByName(
+            chunked.join(counts, ["band", "key"]).select(
+                "band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("line"), "part", "id", F.lit(1).alias("side")
+            )
+        )
+    )
+    return near.unionByName(_linked(_gathered(grid, body, "line", "part"), shared, least, True))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,33 +323,20 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast((docs.count(), count_sketch(docs)))  # 2 x 2^SKETCH_BITS floats
     signed = written(_signed(docs, shared), "signed")
-    texts = written(signed.groupBy("h0", "h1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
+    texts = written(signed.groupBy("h0", "h1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
     rows = texts.where((F.col("h0") != 0) | (F.col("h1") != 0)).select("id", F.posexplode("bands").alias("band", "key"))
-    busy = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    waiting = written(rows.join(busy, ["band", "key"]), "buckets")
-    body = docs.join(waiting.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    busy = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(rows.join(busy, ["band", "key"]), "buckets")
+    near = met.select("id").distinct().join(texts.select("id", "bands", "sig"), "id").dropDuplicates(["id"])
+    body = docs.withColumnRenamed("doc_id", "id").join(near, "id").dropDuplicates(["id"])
     body = written(body, "bodies")
-    links = None
-    tried = None
-    while True:
-        pivot = F.when(F.col("band") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
-        pivots = waiting.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1").select("band", "key", pivot.alias("pivot"))
-        met = written(waiting.join(pivots, ["band", "key"]).where(F.col("id") != F.col("pivot")), "met")
-        if not met.limit(1).count():
-            break
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        good = written(_verified(new, body, shared, least), "verified")
-        tried = written(pairs if tried is None else tried.unionByName(new), "tried")
-        links = good if links is None else links.unionByName(good)
-        linked = links.select(F.col("a").alias("la"), F.col("b").alias("lb"))
-        ends = (F.least("id", "pivot") == F.col("la")) & (F.greatest("id", "pivot") == F.col("lb"))
-        waiting = written(met.join(linked, ends, "left_anti").select("band", "key", "id"), "buckets")
-    if links is None:
-        found = texts.select("h0", "h1", "id", "copies", F.col("id").alias("class_id"))
-    else:
-        label = components(links)
-        found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", F.coalesce("label", "id").alias("class_id"))
+    small = met.where(F.col("n") <= BIG).withColumn("side", F.lit(0))
+    links = _linked(_gathered(small, body), shared, least, True)
+    if met.where(F.col("n") > BIG).limit(1).count():
+        links = links.unionByName(_big_links(met.where(F.col("n") > BIG), body, shared, least))
+    label = components(written(links, "pairs"))
+    dropped(body)
+    found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", F.coalesce("label", "id").alias("class_id"))
     return (
         signed.select("doc_id", "h0", "h1")
         .join(found.select("h0", "h1", "copies", "class_id"), ["h0", "h1"])
