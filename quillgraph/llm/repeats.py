@@ -8,14 +8,17 @@ on one machine does not scale, so the suffix array is dealt into parts that can
    everything about a window can be decided among the occurrences of its anchor.
 2. Grams that anchor windows in two documents or more set a bit in a filter of bounded size; windows of other
    anchors cannot repeat. A false positive costs time, never a wrong byte.
-3. The rest are contexts: an anchor with the bytes of its run of windows. Equal contexts are reduced to one row
-   with the least document id.
-4. Contexts are dealt by anchor. In a part, their right sides are sorted (a suffix array of the positions at
-   anchors) with common-prefix lengths, and a stack scan lists the common-prefix intervals: all occurrences that
-   share l bytes to the right, not just neighbours. An interval decides the windows that reach further right than
-   its parent's prefix; its members are told apart by their left extension, where they differ.
-   An anchor with more than HOT contexts is not gathered in a task: its windows are grouped row by row.
-5. The least document id of each window goes back to the occurrences; windows of a smaller document are covered.
+3. The rest are contexts: an anchor with the bytes of its run of windows. They are dealt by anchor, hashes first:
+   where all contexts of a gram are equal, its least document covers the others at once.
+4. Grams with different contexts are dealt again with their bytes. In a part, the contexts' right sides are sorted
+   (a suffix array of the positions at anchors) with common-prefix lengths, and a stack scan lists the common-prefix
+   intervals: all occurrences that share l bytes to the right, not just neighbours. An interval decides the windows
+   that reach further right than its parent's prefix; its members are told apart by their left extension, where
+   they differ.
+5. A gram that more than HOT batches hold is not gathered in a task: its windows are grouped row by row.
+6. Windows that start in a smaller document are covered; covered runs go back to their document.
+
+Rows of the shuffles are packed: one row holds what a batch has for a part.
 
 Defined results: null text is empty; texts shorter than `least` bytes have no passage; a passage repeated only
 within one document stays; rows with equal doc_id do not remove each other; a null doc_id counts as the largest;
@@ -31,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bytesutil import U64, mixed_bits, powers, prefix_hash, ranges, slices
-from quillgraph.llm.store import dropped, written
+from quillgraph.llm.bytesutil import U64, mixed_bits, powers, prefix_hash, ranges, slices, span_hash
+from quillgraph.llm.store import freed, written
 
+#: Bytes of a passage; any number from 32 to 250.
 LEAST = 50
 GRAM = 24
 #: Windows worked on at once.
@@ -43,12 +47,10 @@ GROUP = 1 << 21
 FILTER_BITS = 1 << 28
 REGION_BITS = 1 << 22
 PROBES = 3
-#: Contexts of a part of the suffix array; an anchor with more than HOT contexts is not gathered.
-PART = 60_000
-HOT = 50_000
+#: Entries of a gram in the first shuffle (two a batch at most) beyond which it is not gathered.
+HOT = 20_000
 LAST_ID = (1 << 63) - 1
 POSITION = U64((1 << 24) - 1)
-SPANS = "array<struct<s:long,e:long>>"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
@@ -99,16 +101,59 @@ def _group_of(gram: np.ndarray, groups: int) -> np.ndarray:
     return ((gram >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
 
 
-def repeated_filter(docs: DataFrame, least: int, groups: int) -> tuple[int, dict[int, bytes]]:
-    """(bits a region, bitmap of each group) of the grams that anchor windows in two documents or more."""
-    region = REGION_BITS
-    while region * groups > FILTER_BITS and region > 64:
-        region //= 2
-    schema = pa.schema([("g", pa.int64()), ("gram", pa.binary()), ("doc", pa.binary())])
+def _cut(key: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal keys."""
+    return np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else [], len(key)).astype(np.int64)
+
+
+def _packed(group: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row a group, which must be sorted, with the bytes of each column."""
+    cuts = _cut(group)
+    return pa.RecordBatch.from_pydict(
+        {"g": pa.array(group[cuts[:-1]])} | {k: pa.array([v[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for k, v in columns.items()}
+    )
+
+
+def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist()])
+
+
+def _filled(gram: np.ndarray, region: int) -> bytes:
+    bits = np.zeros(region, np.uint8)
+    for at in _probe_bits(gram, region):
+        bits[at] = 1
+    return np.packbits(bits).tobytes()
+
+
+class Filter:
+    """Bitmaps of grams by group, and hot grams, which pass only if asked for."""
+
+    def __init__(self, groups: int, region: int, bitmaps: dict[int, bytes], hot: np.ndarray) -> None:
+        self.groups, self.region, self.hot = groups, region, np.sort(hot)
+        self.bits = np.zeros((groups, -(-region // 8)), np.uint8)
+        for g, own in bitmaps.items():
+            self.bits[g] = np.frombuffer(own, np.uint8)
+
+    def passes(self, gram: np.ndarray, hot: bool) -> np.ndarray:
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, gram), len(self.hot) - 1)
+            is_hot = self.hot[at] == gram
+        else:
+            is_hot = np.zeros(len(gram), bool)
+        if hot:
+            return is_hot
+        group, ok = _group_of(gram, self.groups), ~is_hot
+        for at in _probe_bits(gram, self.region):
+            ok &= (self.bits[group, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return ok
+
+
+def repeated_filter(docs: DataFrame, least: int, groups: int, region: int) -> tuple[dict[int, bytes], np.ndarray]:
+    """Bitmaps of the grams that anchor windows in two documents or more; the hot ones among them."""
 
     def found(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(0).to_numpy()
             grams, owners = [], []
             for first, _, data, offsets in slices(batch):
                 for row, _, _, _, gram in anchors(data, offsets, least):
@@ -119,83 +164,162 @@ def repeated_filter(docs: DataFrame, least: int, groups: int) -> tuple[int, dict
             gram, doc = np.concatenate(grams), np.concatenate(owners)
             order = np.lexsort((doc, gram))
             gram, doc = gram[order], doc[order]
-            new = np.append(True, gram[1:] != gram[:-1])
-            end = np.append(new[1:], True)
-            keep = new | (end & ~np.append(True, doc[1:] == doc[:-1]))  # the least and, if another, the greatest document
-            keep |= end & (doc != np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(doc)))))
-            gram, doc = gram[keep], doc[keep]
-            group = _group_of(gram, groups)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            cuts = np.append(cuts, len(group))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(group[cuts[:-1]]),
-                    pa.array([gram[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                    pa.array([doc[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                ],
-                schema=schema,
-            )
+            cuts = _cut(gram)
+            low, high = cuts[:-1], cuts[1:] - 1
+            high = high[doc[high] != doc[low]]  # the least document and, if another, the greatest
+            keep = np.sort(np.concatenate([low, high]))
+            yield _packed(_group_of(gram[keep], groups), gram=gram[keep], doc=doc[keep])
 
     def region_of(table: pa.Table) -> pa.Table:
-        gram = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["gram"]])
-        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["doc"]])
+        gram, doc = _unpacked(table, "gram", np.uint64), _unpacked(table, "doc", np.int64)
         order = np.argsort(gram, kind="stable")
         gram, doc = gram[order], doc[order]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        cuts = _cut(gram)
+        first = cuts[:-1]
         many = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
-        bits = np.zeros(region, np.uint8)
-        for at in _probe_bits(gram[first[many]], region):
-            bits[at] = 1
-        return pa.Table.from_pydict({"g": table["g"][:1], "bits": [np.packbits(bits).tobytes()]}, pa.schema([("g", pa.int64()), ("bits", pa.binary())]))
+        hot = many & (np.diff(cuts) > HOT)
+        return pa.table({"g": table["g"][:1], "bits": pa.array([_filled(gram[first[many]], region)], pa.binary()), "hot": pa.array([gram[first[hot]].tobytes()], pa.binary())})
+
+    rows = docs.select("id", "text").mapInArrow(found, "g long, gram binary, doc binary").groupBy("g").applyInArrow(region_of, "g long, bits binary, hot binary").collect()
+    hot = np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows]) if rows else np.empty(0, np.uint64)
+    return {r["g"]: bytes(r["bits"]) for r in rows}, hot  # FILTER_BITS, and one gram of HOT entries, at most
+
+
+def _runs(batch: pa.RecordBatch, least: int, shared: Filter, hot: bool, whole: bool):
+    """Contexts of a batch (id, text, tkey) whose gram passes: arrays by name; with their bytes if whole."""
+    ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    for start, _, data, offsets in slices(batch):
+        prefix = prefix_hash(data)
+        for row, first, last, anchor, gram in anchors(data, offsets, least):
+            ok = shared.passes(gram, hot)
+            if not ok.any():
+                continue
+            row, first, last, anchor, gram = (x[ok] for x in (row, first, last, anchor, gram))
+            out = {
+                "gram": gram, "id": ids[start + row], "tkey": keys[start + row], "first": first - offsets[row],
+                "before": (anchor - first).astype(np.uint8), "n": (last - first + 1).astype(np.uint8),
+                "ctx": mixed_bits(span_hash(prefix, first, last + least) + (anchor - first).astype(np.uint64)),
+            }
+            if whole:
+                size = last - first + least
+                out["body"] = data[np.repeat(first, size) + ranges(size)]
+            yield out
 
-    rows = docs.mapInArrow(found, "g long, gram binary, doc binary").groupBy("g").applyInArrow(region_of, "g long, bits binary").collect()
-    return region, {g: bytes(bits) for g, bits in rows}  # FILTER_BITS at most
 
+COLUMNS = {"gram": np.uint64, "id": np.int64, "tkey": np.int64, "first": np.int64, "before": np.uint8, "n": np.uint8, "ctx": np.uint64}
+SPANS = "id long, tkey long, span long"
 
-def contexts(docs: DataFrame, least: int, groups: int, region: int, shared) -> DataFrame:
-    """(id, tkey, first, before, n, gram, k1, k2, ctx): runs of windows whose anchor passes the filter.
 
-    before: bytes between the first window and the anchor; n: windows of the run; ctx: the run's bytes.
-    """
-    kept: dict[str, np.ndarray] = {}
+def _spans(id_: np.ndarray, tkey: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Table:
+    """A covered run as one number: start << 16 | bytes."""
+    return pa.table({"id": id_, "tkey": tkey, "span": start << 16 | size})
 
-    def run(batches):
-        if not kept:
-            bits = np.zeros((groups, -(-region // 8)), np.uint8)
-            for g, own in shared.value.items():
-                bits[g] = np.frombuffer(own, np.uint8)
-            kept["bits"] = bits
-        bits = kept["bits"]
+
+def equal_contexts(docs: DataFrame, least: int, shared, region: int) -> DataFrame:
+    """(id, tkey, span) covered where all contexts of a gram are equal, and (g, bits) of the other grams."""
+
+    def packed(batches):
+        for batch in batches:
+            parts = list(_runs(batch, least, shared.value, False, False))
+            if parts:
+                all_ = {k: np.concatenate([p[k] for p in parts]) for k in COLUMNS}
+                group = _group_of(all_["gram"], shared.value.groups)
+                order = np.argsort(group, kind="stable")
+                yield _packed(group[order], **{k: v[order] for k, v in all_.items() if k != "before"})
+
+    def decided(table: pa.Table) -> pa.Table:
+        x = {k: _unpacked(table, k, kind) for k, kind in COLUMNS.items() if k != "before"}
+        order = np.lexsort((x["ctx"], x["gram"]))
+        x = {k: v[order] for k, v in x.items()}
+        grams = _cut(x["gram"])
+        same = np.append(True, (x["gram"][1:] != x["gram"][:-1]) | (x["ctx"][1:] != x["ctx"][:-1]))
+        kinds = np.add.reduceat(same.astype(np.int64), grams[:-1])
+        low = np.repeat(np.minimum.reduceat(x["id"], grams[:-1]), np.diff(grams))
+        at = np.flatnonzero((x["id"] > low) & np.repeat(kinds == 1, np.diff(grams)))
+        spans = _spans(x["id"][at], x["tkey"][at], x["first"][at], x["n"][at].astype(np.int64) - 1 + least)
+        bits = _filled(x["gram"][grams[:-1]][kinds > 1], region)
+        tail = pa.table({"id": pa.nulls(1, pa.int64()), "tkey": pa.nulls(1, pa.int64()), "span": pa.nulls(1, pa.int64()), "g": table["g"][:1].combine_chunks(), "bits": pa.array([bits], pa.binary())})
+        spans = spans.append_column("g", pa.nulls(len(at), pa.int64())).append_column("bits", pa.nulls(len(at), pa.binary()))
+        return pa.concat_tables([spans, tail])
+
+    schema = "g long, " + ", ".join(f"{k} binary" for k in COLUMNS if k != "before")
+    return docs.mapInArrow(packed, schema).groupBy("g").applyInArrow(decided, SPANS + ", g long, bits binary")
+
+
+def unequal_contexts(docs: DataFrame, least: int, shared) -> DataFrame:
+    """(id, tkey, span) covered among grams with different contexts."""
+
+    def packed(batches):
         for batch in batches:
-            for start, _, data, offsets in slices(batch):
-                for row, first, last, anchor, gram in anchors(data, offsets, least):
-                    group = _group_of(gram, groups)
-                    ok = np.ones(len(gram), bool)
-                    for at in _probe_bits(gram, region):
-                        ok &= (bits[group, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                    row, first, last, anchor, gram = (x[ok] for x in (row, first, last, anchor, gram))
-                    if not len(row):
-                        continue
-                    size = last - first + least
-                    within = ranges(size)
-                    body = data[np.repeat(first, size) + within]
-                    ends = np.zeros(len(size) + 1, np.int64)
-                    np.cumsum(size, out=ends[1:])
-                    keys = []
-                    for seed in (1, 2):
-                        mixed = mixed_bits(body.astype(np.uint64) + U64(seed * 1_000_003) + (within.astype(np.uint64) << U64(20)))
-                        keys.append(mixed_bits(np.add.reduceat(mixed, ends[:-1]) + ((anchor - first).astype(np.uint64) << U64(40)) + size.astype(np.uint64)).view(np.int64))
-                    at = pa.array(row + start)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(at), batch.column(2).take(at), pa.array(first - offsets[row]), pa.array((anchor - first).astype(np.int32)),
-                            pa.array((last - first + 1).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(keys[0]), pa.array(keys[1]),
-                            pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)]),
-                        ],
-                        ["id", "tkey", "first", "before", "n", "gram", "k1", "k2", "ctx"],
-                    )
-
-    return docs.mapInArrow(run, "id long, tkey long, first long, before int, n int, gram long, k1 long, k2 long, ctx binary")
+            parts = list(_runs(batch, least, shared.value, False, True))
+            if not parts:
+                continue
+            all_ = {k: np.concatenate([p[k] for p in parts]) for k in COLUMNS}
+            body = np.concatenate([p["body"] for p in parts])
+            size = all_["n"].astype(np.int64) - 1 + least
+            starts = np.cumsum(size) - size
+            group = _group_of(all_["gram"], shared.value.groups)
+            order = np.argsort(group, kind="stable")
+            out = _packed(group[order], **{k: v[order] for k, v in all_.items()})
+            cuts = _cut(group[order])
+            bodies = [body[np.repeat(starts[o], size[o]) + ranges(size[o])].tobytes() for o in (order[i:j] for i, j in zip(cuts[:-1], cuts[1:]))]
+            yield out.append_column("body", pa.array(bodies, pa.binary()))
+
+    def decided(table: pa.Table) -> pa.Table:
+        x = {k: _unpacked(table, k, kind) for k, kind in COLUMNS.items()}
+        body = _unpacked(table, "body", np.uint8).tobytes()
+        size = x["n"].astype(np.int64) - 1 + least
+        starts = np.cumsum(size) - size
+        order = np.lexsort((x["ctx"], x["gram"]))
+        new = np.append(True, (np.diff(x["gram"][order]) != 0) | (np.diff(x["ctx"][order]) != 0))
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        low = np.minimum.reduceat(x["id"][order], np.flatnonzero(new))
+        ctx = [body[starts[i] : starts[i] + size[i]] for i in first]
+        got = least_documents(ctx, x["before"][first].astype(np.int64), x["n"][first].astype(np.int64), low, least)
+        n = x["n"].astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        nth = ranges(n)
+        hit = np.flatnonzero(got[which[owner], x["before"][owner].astype(np.int64) - nth] < x["id"][owner])
+        own, nth = owner[hit], nth[hit]
+        start = np.append(True, (np.diff(nth) != 1) | (np.diff(own) != 0)) if len(hit) else np.empty(0, bool)
+        i = np.flatnonzero(start)
+        j = np.append(i[1:], len(hit)).astype(np.int64) - 1
+        return _spans(x["id"][own[i]], x["tkey"][own[i]], x["first"][own[i]] + nth[i], nth[j] - nth[i] + least)
+
+    schema = "g long, " + ", ".join(f"{k} binary" for k in [*COLUMNS, "body"])
+    return docs.mapInArrow(packed, schema).groupBy("g").applyInArrow(decided, SPANS)
+
+
+def hot_contexts(docs: DataFrame, least: int, shared) -> DataFrame:
+    """(id, tkey, span) covered among hot grams, in rows: equal contexts and equal windows are reduced before and
+    after the shuffle, and the join back is one that Spark can split."""
+
+    def rows(batches):
+        for batch in batches:
+            for x in _runs(batch, least, shared.value, True, True):
+                size = x["n"].astype(np.int64) - 1 + least
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(x["body"])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x["id"]), pa.array(x["tkey"]), pa.array(x["first"]), pa.array(x["n"].astype(np.int32)), pa.array(x["gram"].view(np.int64)), pa.array(x["ctx"].view(np.int64)), body],
+                    ["id", "tkey", "first", "n", "gram", "ctx", "body"],
+                )
+
+    found = written(docs.mapInArrow(rows, "id long, tkey long, first long, n int, gram long, ctx long, body binary"), "hot")
+    unique = found.groupBy("gram", "ctx", "n", "body").agg(F.min("id").alias("doc"))
+    windows = unique.select("gram", "ctx", "doc", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w")).select(
+        "gram", "ctx", "doc", "w", F.expr(f"substring(body, w + 1, {least})").alias("win")
+    )
+    lows = windows.groupBy("win").agg(F.min("doc").alias("low"))
+    known = windows.select("gram", "ctx", "w", "win").join(lows, "win").select("gram", "ctx", "w", "low")
+    return (
+        found.select("id", "tkey", "first", "gram", "ctx")
+        .join(known, ["gram", "ctx"])
+        .where(F.col("low") < F.col("id"))
+        .select("id", "tkey", (F.shiftleft(F.col("first") + F.col("w"), 16) + least).alias("span"))
+    )
 
 
 def lcp_intervals(lcp: list[int]):
@@ -264,79 +388,28 @@ def least_documents(ctx: list[bytes], before: np.ndarray, n: np.ndarray, doc: np
     return back
 
 
-def _part(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        before = table["before"].to_numpy().astype(np.int64)
-        n = table["n"].to_numpy().astype(np.int64)
-        got = least_documents(table["ctx"].to_pylist(), before, n, table["doc"].to_numpy(), least)
-        # Offsets from the first window (largest) to the last of the run.
-        flat = got[np.repeat(np.arange(len(n)), n), np.repeat(before, n) - ranges(n)]
-        ends = np.zeros(len(n) + 1, np.int32)
-        np.cumsum(n, out=ends[1:])
-        return pa.table({"k1": table["k1"], "k2": table["k2"], "docs": pa.ListArray.from_arrays(ends, flat)})
-
-    return run
-
-
-def _covered(batches):
-    """From (id, tkey, first, docs): the covered byte spans of each run."""
-    least = None
-    for batch in batches:
-        ids, tkey, first, docs, least = (batch.column(i) for i in range(5))
-        n = np.diff(docs.offsets.to_numpy())
-        low = docs.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(n)), n)
-        hit = np.flatnonzero(low < ids.to_numpy()[owner])
-        if not len(hit):
-            continue
-        own = owner[hit]
-        at = first.to_numpy()[own] + ranges(n)[hit]
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(own) != 0))
-        i = np.flatnonzero(new)
-        j = np.append(i[1:], len(at)) - 1
-        take = pa.array(own[i])
-        yield pa.RecordBatch.from_arrays([ids.take(take), tkey.take(take), pa.array(at[i]), pa.array(at[j] + least[0].as_py())], ["id", "tkey", "s", "e"])
-
-
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, tkey, s, e): byte spans covered by windows that start in a smaller document; spans may overlap.
+    """(id, tkey, span): runs of bytes covered by windows that start in a smaller document; runs may overlap.
 
     docs: (id, text, tkey).
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-(total // 13) // GROUP))
-    region, bitmaps = repeated_filter(docs, least, groups)
-    found = written(contexts(docs, least, groups, region, spark.sparkContext.broadcast(bitmaps)), "contexts")
-    unique = written(
-        found.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("gram", "before", "n", "ctx")], F.min("id").alias("doc")), "suffixes"
-    )
-    count = unique.count()
-    hot = unique.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram")  # count / HOT rows at most
-    cool = unique.join(F.broadcast(hot), "gram", "left_anti")
-    parts = max(1, -(-count // PART))
-    decided = (
-        cool.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
-        .groupBy("part")
-        .applyInArrow(_part(least), "k1 long, k2 long, docs array<long>")
-    )
-    windows = unique.join(F.broadcast(hot), "gram").select(
-        "k1", "k2", "doc", "ctx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w")
-    ).select("k1", "k2", "doc", "w", F.expr(f"substring(ctx, w + 1, {least})").alias("win"))
-    lows = windows.groupBy("win").agg(F.min("doc").alias("low"))
-    wide = windows.select("k1", "k2", "w", "win").join(lows, "win").groupBy("k1", "k2").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("w", "low"))), lambda x: x["low"]).alias("docs")
-    )
-    known = written(decided.unionByName(wide), "windows")
-    spans = (
-        found.select("id", "tkey", "first", "k1", "k2")
-        .join(known, ["k1", "k2"])
-        .select("id", "tkey", "first", "docs", F.lit(least).cast("long").alias("least"))
-        .mapInArrow(_covered, "id long, tkey long, s long, e long")
-    )
-    spans = written(spans, "spans")
-    for used in (found, unique, known):
-        dropped(used)
+    region = REGION_BITS
+    while region * groups > FILTER_BITS and region > 64:
+        region //= 2
+    share = spark.sparkContext.broadcast
+    bitmaps, hot = repeated_filter(docs, least, groups, region)
+    freed(spark)
+    equal = written(equal_contexts(docs, least, share(Filter(groups, region, bitmaps, hot)), region), "equal")
+    freed(spark)
+    others = {r["g"]: bytes(r["bits"]) for r in equal.where("bits is not null").select("g", "bits").collect()}  # FILTER_BITS at most
+    spans = equal.where("bits is null").select("id", "tkey", "span")
+    spans = spans.unionByName(written(unequal_contexts(docs, least, share(Filter(groups, region, others, hot))), "unequal"))
+    if len(hot):
+        spans = spans.unionByName(written(hot_contexts(docs, least, share(Filter(groups, region, {}, hot))), "hot"))
+    freed(spark)
     return spans
 
 
@@ -347,19 +420,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
     keyed = _keyed(docs)
     spans = repeated_spans(keyed.select(F.col("rp_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("rp_key").alias("tkey")), least)
-    own = spans.groupBy(F.col("id").alias("sp_id"), F.col("tkey").alias("sp_key")).agg(F.collect_list(F.struct("s", "e")).alias("rp_spans"))
+    own = spans.groupBy(F.col("id").alias("sp_id"), F.col("tkey").alias("sp_key")).agg(F.collect_list("span").alias("rp_spans"))
     return keyed.join(own, (F.col("rp_id") == F.col("sp_id")) & (F.col("rp_key") == F.col("sp_key")), "left").drop("sp_id", "sp_key")
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans) -> list[tuple[int, int]]:
     """Spans in order, those that overlap or touch as one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+    code = np.sort(np.asarray(spans, np.int64))
+    start = code >> 16
+    end = np.maximum.accumulate(start + (code & 0xFFFF))
+    cuts = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return list(zip(start[cuts].tolist(), end[np.append(cuts[1:], len(code)) - 1].tolist()))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
