@@ -43,9 +43,9 @@ GRAM = 24
 #: Windows worked on at once.
 CHUNK = 1 << 18
 #: Anchors of the corpus that a group of the first shuffle holds about, and the bits of the filter at most.
-GROUP = 1 << 21
+GROUP = 1 << 19
 FILTER_BITS = 1 << 28
-REGION_BITS = 1 << 22
+REGION_BITS = 1 << 20
 PROBES = 3
 #: Entries of a gram in the first shuffle (two a batch at most) beyond which it is not gathered.
 HOT = 20_000
