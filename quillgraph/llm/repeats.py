@@ -47,6 +47,8 @@ GROUP = 1 << 19
 FILTER_BITS = 1 << 28
 REGION_BITS = 1 << 20
 PROBES = 3
+#: Anchors that a task gathers before it deals them out.
+GATHER = 1 << 18
 #: Entries of a gram in the first shuffle (two a batch at most) beyond which it is not gathered.
 HOT = 20_000
 LAST_ID = (1 << 63) - 1
@@ -148,20 +150,32 @@ class Filter:
         return ok
 
 
+def _gathered(parts):
+    """Dicts of arrays, joined until they hold GATHER grams."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part["gram"])
+        if n >= GATHER:
+            yield {k: np.concatenate([p[k] for p in held]) for k in part}
+            held, n = [], 0
+    if n:
+        yield {k: np.concatenate([p[k] for p in held]) for k in held[0]}
+
+
 def repeated_filter(docs: DataFrame, least: int, groups: int, region: int) -> tuple[dict[int, bytes], np.ndarray]:
     """Bitmaps of the grams that anchor windows in two documents or more; the hot ones among them."""
 
-    def found(batches):
+    def met(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            grams, owners = [], []
             for first, _, data, offsets in slices(batch):
                 for row, _, _, _, gram in anchors(data, offsets, least):
-                    grams.append(gram)
-                    owners.append(ids[first + row])
-            if not grams:
-                continue
-            gram, doc = np.concatenate(grams), np.concatenate(owners)
+                    yield {"gram": gram, "doc": ids[first + row]}
+
+    def found(batches):
+        for x in _gathered(met(batches)):
+            gram, doc = x["gram"], x["doc"]
             order = np.lexsort((doc, gram))
             gram, doc = gram[order], doc[order]
             cuts = _cut(gram)
@@ -219,13 +233,10 @@ def equal_contexts(docs: DataFrame, least: int, shared, region: int) -> DataFram
     """(id, tkey, span) covered where all contexts of a gram are equal, and (g, bits) of the other grams."""
 
     def packed(batches):
-        for batch in batches:
-            parts = list(_runs(batch, least, shared.value, False, False))
-            if parts:
-                all_ = {k: np.concatenate([p[k] for p in parts]) for k in COLUMNS}
-                group = _group_of(all_["gram"], shared.value.groups)
-                order = np.argsort(group, kind="stable")
-                yield _packed(group[order], **{k: v[order] for k, v in all_.items() if k != "before"})
+        for x in _gathered(part for batch in batches for part in _runs(batch, least, shared.value, False, False)):
+            group = _group_of(x["gram"], shared.value.groups)
+            order = np.argsort(group, kind="stable")
+            yield _packed(group[order], **{k: v[order] for k, v in x.items() if k != "before"})
 
     def decided(table: pa.Table) -> pa.Table:
         x = {k: _unpacked(table, k, kind) for k, kind in COLUMNS.items() if k != "before"}
@@ -250,12 +261,8 @@ def unequal_contexts(docs: DataFrame, least: int, shared) -> DataFrame:
     """(id, tkey, span) covered among grams with different contexts."""
 
     def packed(batches):
-        for batch in batches:
-            parts = list(_runs(batch, least, shared.value, False, True))
-            if not parts:
-                continue
-            all_ = {k: np.concatenate([p[k] for p in parts]) for k in COLUMNS}
-            body = np.concatenate([p["body"] for p in parts])
+        for all_ in _gathered(part for batch in batches for part in _runs(batch, least, shared.value, False, True)):
+            body = all_.pop("body")
             size = all_["n"].astype(np.int64) - 1 + least
             starts = np.cumsum(size) - size
             group = _group_of(all_["gram"], shared.value.groups)
