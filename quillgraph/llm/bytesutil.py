@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,15 @@ LOWER[65:91] += 32
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def trim() -> None:
+    """Gives memory of finished work back to the system; called between batches, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(which: str, n: int) -> np.ndarray:
     """The first n powers of BASE ('up') or of its inverse ('down')."""
     if len(_powers[which]) < n:
@@ -43,6 +53,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) ->
         own = offsets[first : end + 1]
         yield first, end, data[own[0] : own[-1]], own - own[0]
         first = end
+    trim()
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
