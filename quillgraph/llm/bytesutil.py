@@ -38,7 +38,7 @@ def powers(which: str, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; a row is never cut; null is empty."""
     text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     n = len(text)

@@ -34,21 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bytesutil import U64, mixed_bits, powers, prefix_hash, ranges, slices, span_hash
+from quillgraph.llm.bytesutil import U64, mixed_bits, powers, prefix_hash, ranges, slices, span_hash, trim
 from quillgraph.llm.store import freed, written
 
 #: Bytes of a passage; any number from 32 to 250.
 LEAST = 50
 GRAM = 24
 #: Windows worked on at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Anchors of the corpus that a group of the first shuffle holds about, and the bits of the filter at most.
 GROUP = 1 << 19
 FILTER_BITS = 1 << 28
 REGION_BITS = 1 << 20
 PROBES = 3
 #: Anchors that a task gathers before it deals them out.
-GATHER = 1 << 18
+GATHER = 1 << 17
 #: Entries of a gram in the first shuffle (two a batch at most) beyond which it is not gathered.
 HOT = 20_000
 LAST_ID = (1 << 63) - 1
@@ -239,6 +239,7 @@ def equal_contexts(docs: DataFrame, least: int, shared, region: int) -> DataFram
             yield _packed(group[order], **{k: v[order] for k, v in x.items() if k != "before"})
 
     def decided(table: pa.Table) -> pa.Table:
+        trim()
         x = {k: _unpacked(table, k, kind) for k, kind in COLUMNS.items() if k != "before"}
         order = np.lexsort((x["ctx"], x["gram"]))
         x = {k: v[order] for k, v in x.items()}
@@ -273,6 +274,7 @@ def unequal_contexts(docs: DataFrame, least: int, shared) -> DataFrame:
             yield out.append_column("body", pa.array(bodies, pa.binary()))
 
     def decided(table: pa.Table) -> pa.Table:
+        trim()
         x = {k: _unpacked(table, k, kind) for k, kind in COLUMNS.items()}
         body = _unpacked(table, "body", np.uint8).tobytes()
         size = x["n"].astype(np.int64) - 1 + least
