@@ -2,5 +2,308 @@
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph import oracles as O
+from quillgraph.functions import text as X
+from quillgraph.operators import edges as E
+from quillgraph.operators import graph as G
+from quillgraph.operators import nodes as N
+from quillgraph.plans import dims
+from quillgraph.sources import readers as R
+from quillgraph.store import written
+from quillgraph.streaming import jobs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def _sentences(spark, sf_dir):
+    return R.sentences(R.table(spark, sf_dir, "documents"))
+
+
+def _hits(spark, sf_dir):
+    return N.rule_hits(N.sentence_tokens(_sentences(spark, sf_dir)), dims.rule_steps(spark))
+
+
+def _best(spark, sf_dir):
+    return N.best_types(N.sentence_scores(_sentences(spark, sf_dir), _hits(spark, sf_dir)))
+
+
+def _nodes(spark, sf_dir):
+    return N.document_nodes(_sentences(spark, sf_dir), dims.rule_steps(spark))
+
+
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (written, as several joins read them), and all raw edges with the proximity candidates."""
+    nodes = written(_nodes(spark, sf_dir), "nodes")
+    candidates = E.proximity_candidates(spark, nodes)
+    near = E.proximity_edges(candidates)
+    return nodes, near.unionByName(E.long_edges(spark, nodes, near)), candidates
+
+
+def _final(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Kept nodes and checked edges."""
+    nodes, edges, _ = _graph(spark, sf_dir)
+    dedup = written(G.node_dedup(nodes), "dedup")
+    return G.kept_nodes(dedup), written(G.edge_dedup(G.relinked(spark, G.remapped(edges, dedup))), "edges")
+
+
+EDGE = "doc_id, src, dst, type, conf, hint"
+
+
+@query("sentence_split", O.sql("SELECT doc_id, sent_idx, page, section, md5(text) AS text_md5 FROM s", "s"))
+def _(spark, sf):
+    return _sentences(spark, sf).select("doc_id", "sent_idx", "page", "section", F.md5("text").alias("text_md5"))
+
+
+@query("sentence_stats", O.sql("SELECT doc_id, count(*) AS sentences, max(page) + 1 AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY doc_id", "s"))
+def _(spark, sf):
+    return _sentences(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), (F.max("page") + 1).alias("page_count"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("norm_text", O.sql("SELECT doc_id, sent_idx, md5(regexp_replace(regexp_replace(trim(lower(text)), '[“”\"''`]+', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS norm_md5 FROM s", "s"))
+def _(spark, sf):
+    return _sentences(spark, sf).select("doc_id", "sent_idx", F.md5(X.norm_text(F.col("text"))).alias("norm_md5"))
+
+
+@query(
+    "normalize_inline",
+    O.sql(
+        "SELECT doc_id, sent_idx, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r', '', 'g'), '[ \\t ]+', ' ', 'g'), "
+        "' +([),.;:}]|\\])', '\\1', 'g'), '([(\\[{]) +', '\\1', 'g'), '([a-z])(Figure|Table)', '\\1 \\2', 'g'), '([0-9]%)of', '\\1 of', 'g'))) AS inline_md5 FROM s",
+        "s",
+    ),
+)
+def _(spark, sf):
+    return _sentences(spark, sf).select("doc_id", "sent_idx", F.md5(X.normalize_inline(F.col("text"))).alias("inline_md5"))
+
+
+@query(
+    "sentence_flags",
+    O.sql(
+        f"SELECT doc_id, sent_idx, {O.NUMERIC.format('text')} AS has_numeric, {O.reference('text')} AS is_reference, {O.STRENGTH} AS strength, {O.HEAVY} AS heavy, regexp_matches(text, {O.q(X.NUMERIC_HINT)}) AS numeric_hint, len({O.REFS}) AS marks FROM s",
+        "s",
+    ),
+)
+def _(spark, sf):
+    t = F.col("text")
+    return _sentences(spark, sf).select(
+        "doc_id", "sent_idx", X.has_numeric(t).alias("has_numeric"), X.looks_like_reference(t).alias("is_reference"), X.citation_strength(t).alias("strength"),
+        X.citation_heavy(t).alias("heavy"), t.rlike(X.NUMERIC_HINT).alias("numeric_hint"), F.size(X.references(t)).cast("long").alias("marks"),
+    )
+
+
+HINT = (
+    "CASE WHEN regexp_matches(x, '^(introduction|background)') THEN 'INTRO' WHEN regexp_matches(x, '^(materials and methods|methods?|methodology|experimental|patients and methods|study design)') THEN 'METHODS' "
+    "WHEN regexp_matches(x, '^(results and discussion|discussion|conclusions?|limitations)') THEN 'DISCUSSION' WHEN regexp_matches(x, '^results') THEN 'RESULTS' WHEN regexp_matches(x, '^(references|bibliography)') THEN 'REFERENCES' ELSE 'OTHER' END"
+)
+ELEMENTS = (
+    "WITH h AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|p)>[^<]*') AS l FROM pages), e0 AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS hit FROM h), "
+    "e AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(hit, '<h1>') THEN 'head' ELSE 's' END AS tag, regexp_replace(hit, '^<(h1|p)>', '') AS text FROM e0), "
+    f"x AS (SELECT *, lower(regexp_replace(regexp_replace(trim(text), '^([0-9.]+|[IVX]+\\.) *', ''), '&', 'and', 'g')) AS x FROM e), v AS (SELECT *, {HINT} AS own FROM x) "
+)
+
+
+@query("page_elements", ELEMENTS + "SELECT page_id, pos, tag, md5(text) AS text_md5 FROM e")
+def _(spark, sf):
+    return R.page_elements(R.table(spark, sf, "pages")).select("page_id", "pos", "tag", F.md5("text").alias("text_md5"))
+
+
+@query("section_carry_forward", ELEMENTS + "SELECT page_id, pos, hint FROM (SELECT *, coalesce(last_value(CASE WHEN tag = 'head' AND own <> 'OTHER' THEN own END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'OTHER') AS hint FROM v) WHERE tag = 's'")
+def _(spark, sf):
+    return R.carried_sections(R.page_elements(R.table(spark, sf, "pages")))
+
+
+@query("token_rule_match", O.sql("SELECT * FROM hits", "hits"))
+def _(spark, sf):
+    return _hits(spark, sf)
+
+
+@query("rule_histogram", O.sql("SELECT rule, label, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS sentences FROM hits GROUP BY ALL", "hits"))
+def _(spark, sf):
+    return _hits(spark, sf).groupBy("rule", "label").agg(F.sum("hits").alias("hits"), F.count("*").alias("sentences"))
+
+
+@query("sentence_scores", O.sql("SELECT doc_id, sent_idx, label, round(score, 6) AS score FROM scores", "scores"))
+def _(spark, sf):
+    return N.sentence_scores(_sentences(spark, sf), _hits(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query("sentence_type", O.sql("SELECT doc_id, sent_idx, type, round(conf, 6) AS conf FROM best", "best"))
+def _(spark, sf):
+    return _best(spark, sf).select("doc_id", "sent_idx", "type", F.round("conf", 6).alias("conf"))
+
+
+@query("sentence_decision", O.sql("SELECT doc_id, sent_idx, page, section, type, conf FROM d", "d"))
+def _(spark, sf):
+    return N.decided(_sentences(spark, sf), _best(spark, sf)).drop("text")
+
+
+@query("nodes", O.sql("SELECT doc_id, sent_idx, node_idx, id, type, conf, polarity FROM n", "n"))
+def _(spark, sf):
+    return _nodes(spark, sf).select("doc_id", "sent_idx", "node_idx", "id", "type", "conf", "polarity")
+
+
+@query("node_counts", O.sql("SELECT doc_id, type, count(*) AS nodes FROM d GROUP BY ALL", "d"))
+def node_counts(spark, sf):
+    return N.decided(_sentences(spark, sf), _best(spark, sf)).groupBy("doc_id", "type").agg(F.count("*").alias("nodes"))
+
+
+@query("theme_router", O.sql("SELECT doc_id, CAST(coalesce(min(CASE WHEN c >= 6 THEN c END), max(c)) AS BIGINT) AS score FROM (SELECT doc_id, sum(CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(ci|or|vs)($|[^\\p{L}\\p{N}_])') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS c FROM s WHERE sent_idx < 400) GROUP BY doc_id", "s"))
+def _(spark, sf):
+    return N.routed(_sentences(spark, sf), r"(^|[^\p{L}\p{N}_])(ci|or|vs)($|[^\p{L}\p{N}_])")
+
+
+@query("proximity_edges", O.sql(f"SELECT {EDGE} FROM prox", "prox"))
+def _(spark, sf):
+    nodes = written(_nodes(spark, sf), "nodes")
+    return E.proximity_edges(E.proximity_candidates(spark, nodes))
+
+
+@query("longrange_edges", O.sql(f"SELECT {EDGE} FROM long", "long"))
+def _(spark, sf):
+    return _graph(spark, sf)[1].where("hint = 'longrange'")
+
+
+@query("reinforced_edges")
+def _(spark, sf):
+    return E.reinforced(_graph(spark, sf)[2])
+
+
+@query("figtable_edges")
+def _(spark, sf):
+    return E.figure_edges(_nodes(spark, sf).withColumn("is_caption", F.trim("text").rlike("^(Figure|Table) ")))
+
+
+@query("node_dedup", O.sql("SELECT doc_id, node_idx, kept, merged, polarity FROM nd", "nd"))
+def _(spark, sf):
+    return G.node_dedup(_nodes(spark, sf)).select("doc_id", "node_idx", "kept", "merged", "polarity")
+
+
+@query("relink_edges", O.sql(f"SELECT {EDGE} FROM rl", "rl"))
+def _(spark, sf):
+    nodes, edges, _ = _graph(spark, sf)
+    return G.relinked(spark, G.remapped(edges, G.node_dedup(nodes))).drop("st", "dt")
+
+
+@query("edge_dedup", O.sql(f"SELECT {EDGE} FROM ed", "ed"))
+def _(spark, sf):
+    return _final(spark, sf)[1].drop("st", "dt")
+
+
+@query("coherence", O.sql("SELECT doc_id, nodes, touched, hypotheses, results, round(coherence, 6) AS coherence, (results < 1 OR hypotheses < 1 OR coherence < 0.6e0) AS needs_llm FROM coh", "coh"))
+def _(spark, sf):
+    return G.coherence(*_final(spark, sf)).withColumn("coherence", F.round("coherence", 6))
+
+
+@query("degree", O.sql("SELECT doc_id, node_idx, count(*) AS degree FROM (SELECT doc_id, unnest([src, dst]) AS node_idx FROM ed) GROUP BY ALL", "ed"))
+def _(spark, sf):
+    return G.degrees(_final(spark, sf)[1])
+
+
+@query(
+    "backbone",
+    O.sql(
+        "SELECT a.doc_id, a.node_idx AS src, b.node_idx AS dst, CASE WHEN etype = 'supports' AND a.polarity = 'negative' THEN 'refutes' ELSE etype END AS type, 0.56e0 AS conf, 'fallback' AS hint FROM "
+        "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY node_idx) AS k FROM kn WHERE doc_id NOT IN (SELECT doc_id FROM ed)) WHERE k <= 2) a "
+        "JOIN (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)}, {O.q(t)})" for a, b, t in dims.BACKBONE) + ") v(st, dt, etype) ON a.type = st "
+        "JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY node_idx) AS k FROM kn) WHERE k <= 2) b ON a.doc_id = b.doc_id AND b.type = dt",
+        "ed",
+    ),
+)
+def _(spark, sf):
+    return G.backbone(spark, *_final(spark, sf))
+
+
+COLUMN = O.case({t: i for i, t in enumerate(dims.TYPES)}, "type", default="8", show=str)
+
+
+@query("layout_columns", O.sql(f"SELECT *, col * 320 + 120 AS x, \"row\" * 100 + 250 AS y FROM (SELECT doc_id, node_idx, {COLUMN} AS col, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY page, sent_idx, node_idx) - 1 AS INTEGER) AS \"row\" FROM kn)", "kn"))
+def _(spark, sf):
+    return G.layout(G.kept_nodes(G.node_dedup(_nodes(spark, sf))))
+
+
+@query(
+    "llm_payload_topk",
+    O.sql(
+        f"SELECT doc_id, node_idx, type, CAST(k AS INTEGER) AS k, CASE WHEN length(text) <= 220 THEN text WHEN instr(substr(text, 221, 40), '.') > 0 THEN left(text, 220 + instr(substr(text, 221, 40), '.')) || '…' ELSE left(text, 220) || '…' END AS text "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY conf DESC, node_idx) AS k FROM kn) WHERE k <= {O.case(dims.PAYLOAD, 'type', default='0', show=str)}",
+        "kn",
+    ),
+)
+def _(spark, sf):
+    return G.payload(G.kept_nodes(G.node_dedup(_nodes(spark, sf))))
+
+
+@query("ui_fanout", O.sql("SELECT doc_id, src, dst, type, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src ORDER BY dst, type) AS k FROM ed) WHERE k <= 3", "ed"))
+def _(spark, sf):
+    return G.fan_out(_final(spark, sf)[1])
+
+
+@query("top12_per_label", O.sql("SELECT type, CAST(nth AS INTEGER) AS nth, doc_id, sent_idx, conf FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY conf DESC, doc_id, sent_idx) AS nth FROM n) WHERE nth <= 12", "n"))
+def _(spark, sf):
+    return R.top_per_label(_nodes(spark, sf))
+
+
+@query(
+    "merge_adjacent",
+    "WITH a AS (SELECT conv_id, turn, role, text, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+    "b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) AS nth FROM b) "
+    "SELECT conv_id, CAST(island AS BIGINT) AS island, CAST((nth - 1) // 2 AS BIGINT) AS pair, role, min(turn) AS first, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY ALL",
+)
+def _(spark, sf):
+    return G.merged_runs(R.table(spark, sf, "conversations"), "conv_id", "turn", "role")
+
+
+@query("corpus_totals", O.sql("SELECT type, doc_id, count(*) AS nodes, round(avg(conf), 6) AS mean_conf FROM n GROUP BY ROLLUP (type, doc_id) HAVING type IS NOT NULL", "n"))
+def _(spark, sf):
+    nodes = _nodes(spark, sf)
+    return G.report(nodes, nodes)
+
+
+@query(
+    "q_score",
+    O.sql(
+        "SELECT doc_id, q, CASE WHEN q >= 0.75e0 THEN 'green' WHEN q >= 0.6e0 THEN 'yellow' ELSE 'red' END AS band FROM (SELECT p.doc_id, round(types / 8e0 * 0.35e0 + sure * 0.25e0 + coherence * 0.25e0 + least(1e0, CAST(coalesce(edges, 0) AS DOUBLE) / nn) * 0.15e0, 6) AS q FROM "
+        "(SELECT doc_id, count(DISTINCT type) AS types, avg(CASE WHEN conf >= 0.6e0 THEN 1e0 ELSE 0e0 END) AS sure, count(*) AS nn FROM kn GROUP BY doc_id) p JOIN coh USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS edges FROM ed GROUP BY doc_id) l USING (doc_id))",
+        "coh",
+    ),
+)
+def _(spark, sf):
+    return G.quality(*_final(spark, sf))
+
+
+@query("status_latest", "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def _(spark, sf):
+    return jobs.latest(R.table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type")
+
+
+@query("stage_durations", "SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS micros FROM events")
+def _(spark, sf):
+    return jobs.durations(R.table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "micros")
+
+
+TYPE_WORDS = ["Hypotesis", "methodology", "cohort", "Data", "Result", "observations", "Input Fact", "assumption", "Conclusions", "analyses", "evidence", "nothing", " Experiment "]
+
+
+@query(
+    "normalize_types",
+    "SELECT raw, CASE WHEN trim(raw) IN (" + ", ".join(O.q(t) for t in dims.TYPES) + ") THEN trim(raw) WHEN contains(l, 'hypo') THEN 'Hypothesis' WHEN contains(l, 'experi') THEN 'Experiment' WHEN regexp_matches(l, 'techni|method') THEN 'Technique' "
+    "WHEN regexp_matches(l, 'result|observ|finding|eviden') THEN 'Result' WHEN regexp_matches(l, 'dataset|data set|corpus|benchmark|cohort') OR l = 'data' THEN 'Dataset' WHEN contains(l, 'conclu') THEN 'Conclusion' WHEN contains(l, 'analys') THEN 'Analysis' "
+    "WHEN regexp_matches(l, 'fact|assump') THEN 'Input Fact' ELSE 'Other' END AS type FROM (SELECT raw, lower(trim(raw)) AS l FROM (VALUES " + ", ".join(f"({O.q(w)})" for w in TYPE_WORDS) + ") v(raw))",
+)
+def _(spark, sf):
+    return spark.createDataFrame([(w,) for w in TYPE_WORDS], "raw string").withColumn("type", X.normalize_type(F.col("raw")))
