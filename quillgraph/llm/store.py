@@ -1,45 +1,5 @@
-"""Written tables in the shared checkpoint folder, used to cut lineage and to reuse a result."""
+"""Written tables in the shared checkpoint folder."""
 
-from __future__ import annotations
+from quillgraph.store import dropped, freed, shared_dir, written
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    place = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-    spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: later jobs start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a table made by written(), once nothing reads it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["dropped", "freed", "shared_dir", "written"]
