@@ -20,13 +20,20 @@ LOWER[65:91] += 32
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    # Arrays go back to the system when freed: M_MMAP_THRESHOLD (-3) fixed at 512 KB, one arena (M_ARENA_MAX, -8).
+    _libc.mallopt(-3, 1 << 19)
+    _libc.mallopt(-8, 1)
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 def trim() -> None:
     """Gives memory of finished work back to the system; called between batches, as workers live on."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def powers(which: str, n: int) -> np.ndarray:

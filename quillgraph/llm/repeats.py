@@ -159,6 +159,7 @@ def _gathered(parts):
         if n >= GATHER:
             yield {k: np.concatenate([p[k] for p in held]) for k in part}
             held, n = [], 0
+            trim()
     if n:
         yield {k: np.concatenate([p[k] for p in held]) for k in held[0]}
 
