@@ -100,7 +100,8 @@ def _probe_bits(gram: np.ndarray, region_bits: int) -> list[np.ndarray]:
 
 
 def _group_of(gram: np.ndarray, groups: int) -> np.ndarray:
-    return ((gram >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
+    # Anchors are least hashes, so their values lie low: spread them first.
+    return ((mixed_bits(gram) >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
 
 
 def _cut(key: np.ndarray) -> np.ndarray:
