@@ -184,7 +184,9 @@ def repeated_filter(docs: DataFrame, least: int, groups: int, region: int) -> tu
             low, high = cuts[:-1], cuts[1:] - 1
             high = high[doc[high] != doc[low]]  # the least document and, if another, the greatest
             keep = np.sort(np.concatenate([low, high]))
-            yield _packed(_group_of(gram[keep], groups), gram=gram[keep], doc=doc[keep])
+            group = _group_of(gram[keep], groups)
+            order = np.argsort(group, kind="stable")
+            yield _packed(group[order], gram=gram[keep][order], doc=doc[keep][order])
 
     def region_of(table: pa.Table) -> pa.Table:
         gram, doc = _unpacked(table, "gram", np.uint64), _unpacked(table, "doc", np.int64)
