@@ -135,7 +135,7 @@ class Languages:
                 lost = np.flatnonzero(to < 0)
                 if len(lost):
                     was = own[lost]
-                    count[j, lost] += (was > 0) | (c[lost] == 0)
+                    count[j, lost] += (was > 0).astype(np.float64) + (c[lost] == 0)
                     often[j, lost] += a.often[was // a.letters]
                     to[lost] = a.root[c[lost]]
                 state[j, :m] = to

@@ -126,6 +126,11 @@ def vector_pack(sizes: np.ndarray, limits: np.ndarray, min_piece: int = MIN_PIEC
             else:
                 stock[k].append((item, first))
                 left[k] += 1
+        if not own and left.any():  # beyond a limit by itself: a sequence of its own
+            k = int(np.flatnonzero(left)[-1])
+            item, first = stock[k].pop()
+            left[k] -= 1
+            own.append((item, first, int(kinds[k, 0])))
         bins.append(own)
         room, own = limits.astype(np.int64).copy(), []
     if own:
