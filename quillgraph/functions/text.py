@@ -93,18 +93,92 @@ def soft_cut(text: Column, most: int = 220, slack: int = 40) -> Column:
     return F.when(F.length(text) <= most, text).when(stop > 0, F.concat(F.left(text, F.lit(most) + stop), F.lit("…"))).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("…")))
 
 
-def polarity(words: Column, text: Column) -> Column:
-    """Outcome of a sentence by lemma; a negation right before a word turns it (or, for a harm, voids it)."""
+def polarity(text: Column) -> Column:
+    """Outcome of a sentence by lemma; a negation right before a word turns it (or, for a harm, voids it).
+
+    Words after a negation are counted apart from all, so that no lookup runs word by word.
+    """
     low = F.lower(text)
     phrase = F.greatest(*[low.contains(p) for p in dims.NEGATIVE_PHRASES])
-    forms = lambda lemmas: F.array(*[F.lit(f) for w in lemmas for f in inflections(w)])
-    negated = F.transform(words, lambda w, i: F.when(i > 0, F.get(words, i - 1).isin("no", "not", "never")).otherwise(False))
-    pairs = F.arrays_zip(words.alias("w"), negated.alias("n"))
-    hit = lambda lemmas, n: F.exists(pairs, lambda p: F.array_contains(forms(lemmas), p["w"]) & (p["n"] == n))
-    harm = hit(dims.NEGATIVE, False) | hit([w for w in dims.NEGATIVE if w not in dims.NEUTRALISED], True) | hit(dims.POSITIVE, True)
-    return F.when(phrase | harm, "negative").when(hit(dims.POSITIVE, False), "positive").otherwise("neutral")
+
+    def count(lemmas: list[str], before: str = "") -> Column:
+        forms = "|".join(form for w in lemmas for form in inflections(w))
+        return F.regexp_count(low, F.lit(f"(?<![a-z0-9]){before}(?:{forms})(?![a-z0-9])"))
+
+    after = "(?:no|not|never)[^a-z0-9]+"
+    plain = lambda lemmas: count(lemmas) > count(lemmas, after)
+    harm = plain(dims.NEGATIVE) | (count([w for w in dims.NEGATIVE if w not in dims.NEUTRALISED], after) > 0) | (count(dims.POSITIVE, after) > 0)
+    return F.when(phrase | harm, "negative").when(plain(dims.POSITIVE), "positive").otherwise("neutral")
 
 
 def inflections(lemma: str) -> list[str]:
     stem = lemma[:-1] if lemma.endswith("e") else lemma
     return [lemma, lemma + "s", stem + "ed", stem + "ing"]
+
+
+def join_lines(text: Column) -> Column:
+    """Extracted text on one line: hyphenated words and split numbers joined, single line ends as spaces; blank lines stay."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    x = F.regexp_replace(x, "([\\p{L}\\p{N}_])[-\u00ad]\n([\\p{L}\\p{N}_])", "$1$2")
+    x = F.regexp_replace(x, "([0-9])[ \t]*\n\\s*([0-9])", "$1.$2")
+    x = F.regexp_replace(x, "\\)\\s*\n\\s*([0-9])", ") $1")
+    x = F.regexp_replace(x, "(?<!\n)\n(?!\n)", " ")
+    return F.trim(F.regexp_replace(x, "[ \t]{2,}", " "))
+
+
+def boxes(coords: Column) -> Column:
+    """Boxes (page, x, y, w, h) of a coordinate list such as 1,10,20,30,40;2,..., with or without p or page before the page; others are left out."""
+    one = r"^\s*(?:p(?:age)?)?[ :]*([0-9]+)[ :,]+(-?[0-9.]+),(-?[0-9.]+),(-?[0-9.]+),(-?[0-9.]+)\s*$"
+    part = lambda x, i: F.regexp_extract(x, one, i)
+    fits = F.filter(F.split(F.coalesce(coords, F.lit("")), ";"), lambda x: x.rlike(one))
+    return F.transform(fits, lambda x: F.struct(part(x, 1).cast("int").alias("page"), *[part(x, i).cast("double").alias(n) for i, n in enumerate("xywh", 2)]))
+
+
+def union_box(found: Column) -> Column:
+    """(page, x0, y0, x1, y1) around the boxes on the first box's page; a null page and zeros without boxes."""
+    same = F.filter(found, lambda b: b["page"] == F.get(found, 0)["page"])
+    low = lambda f: F.coalesce(F.array_min(F.transform(same, f)), F.lit(0.0))
+    high = lambda f: F.coalesce(F.array_max(F.transform(same, f)), F.lit(0.0))
+    return F.struct(
+        F.get(found, 0)["page"].alias("page"), low(lambda b: b["x"]).alias("x0"), low(lambda b: b["y"]).alias("y0"),
+        high(lambda b: b["x"] + b["w"]).alias("x1"), high(lambda b: b["y"] + b["h"]).alias("y1"),
+    )
+
+
+def slug(text: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit("")), F.lit("x"))
+
+
+def stable_id(path: Column) -> Column:
+    """The file's name without its ending, and eight digits of its whole path's digest."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.concat(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), F.lit("-"), F.substring(F.md5(path), 1, 8))
+
+
+def cache_key(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def estimated_tokens(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
+
+
+def theme_list(given: Column) -> Column:
+    """Themes of a list split by commas or semicolons, without auto, each once, common first."""
+    parts = F.transform(F.split(F.coalesce(given, F.lit("")), "[,;]"), lambda x: F.lower(F.trim(x)))
+    return F.array_distinct(F.concat(F.array(F.lit("common")), F.filter(parts, lambda x: (x != "") & (x != "auto"))))
+
+
+def file_name(text: Column, most: int = 180) -> Column:
+    return F.left(F.trim(F.regexp_replace(text, r"[\\\\/:*?\"<>|\s]+", " ")), F.lit(most))
+
+
+def listed_items(text: Column) -> Column:
+    """Whether numbers in a text number a list rather than cite: no group of numbers in one bracket, no two cited authors."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    group = text.rlike(r"\(\s*[0-9]+(\s*[,;–-]\s*[0-9]+)+\s*\)")
+    authors = count(r"\b\p{Lu}[\p{L}’'-]+(\s+et\s+al\.?)?\s*\(\s*[0-9]+\s*\)") >= 2
+    marks = count(r"\(\s*[0-9]+\s*\)") + count(r"(?i)(^|[\s;])([0-9]+|[ivxlcdm]+)\s*[).*]\s")
+    aims = text.rlike(r"(?i)\b(aims?|objectives?|goals?|purpose|hypothes[ie]s)\b")
+    colon = text.rlike(r"(?i):\s*(\(\s*1\s*\)|([0-9]+|[ivxlcdm]+)\s*[).*]\s)")
+    return ~group & ~authors & (((marks > 0) & aims) | colon | (marks >= 2))

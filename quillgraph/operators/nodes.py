@@ -61,7 +61,9 @@ def decided(sentences: DataFrame, best: DataFrame) -> DataFrame:
     rows = rows.withColumns({"type": F.when(turns, "Conclusion").otherwise(t), "conf": F.when(turns & (sec == "DISCUSSION"), F.greatest("conf", F.lit(0.52))).otherwise(F.col("conf"))})
     pull = t.isin("Other", "Input Fact", "Analysis") & (sec == "RESULTS") & text.rlike(X.NUMERIC_HINT)
     rows = rows.withColumns({"type": F.when(pull, "Result").otherwise(t), "conf": F.when(pull, F.greatest("conf", F.lit(0.46))).otherwise(F.col("conf"))})
-    return rows.where(F.col("conf") >= dims.NODE_MIN).select("doc_id", "sent_idx", "page", "section", "text", "type", F.round("conf", 3).alias("conf"))
+    # A filter on conf would be pushed through the steps, each of which it would write out several times over; explode stops it.
+    end = rows.select("doc_id", "sent_idx", "page", "section", "text", F.explode(F.array(F.struct("type", "conf"))).alias("end"))
+    return end.where(F.col("end.conf") >= dims.NODE_MIN).select("doc_id", "sent_idx", "page", "section", "text", "end.type", F.round("end.conf", 3).alias("conf"))
 
 
 def nodes(decisions: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def nodes(decisions: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("sent_idx")
     out = decisions.withColumn("node_idx", F.row_number().over(order))
     name = F.format_string("%d:%s:%04d", "doc_id", F.replace("type", F.lit(" "), F.lit("")), "node_idx")
-    return out.withColumns({"id": name, "polarity": X.polarity(X.tokens(F.col("text")), F.col("text"))})
+    return out.withColumns({"id": name, "polarity": X.polarity(F.col("text"))})
 
 
 def document_nodes(sentences: DataFrame, steps: DataFrame) -> DataFrame:
