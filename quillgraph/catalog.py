@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import oracles as O
+from quillgraph import oracles_rules as OR
 from quillgraph.functions import text as X
 from quillgraph.operators import edges as E
 from quillgraph.operators import graph as G
+from quillgraph.operators import labeler as L
 from quillgraph.operators import nodes as N
-from quillgraph.plans import dims
+from quillgraph.operators import patterns as P
+from quillgraph.operators import refine as RF
+from quillgraph.operators import regexrules as Q
+from quillgraph.plans import dims, lint
+from quillgraph.sources import latex, layout
 from quillgraph.sources import readers as R
 from quillgraph.store import written
 from quillgraph.streaming import jobs
@@ -307,3 +314,112 @@ TYPE_WORDS = ["Hypotesis", "methodology", "cohort", "Data", "Result", "observati
 )
 def _(spark, sf):
     return spark.createDataFrame([(w,) for w in TYPE_WORDS], "raw string").withColumn("type", X.normalize_type(F.col("raw")))
+
+
+@query("pattern_hits", OR.PATTERN_HITS)
+def _(spark, sf):
+    return P.pattern_hits(_sentences(spark, sf), L.PACK)
+
+
+@query("sentence_labels", OR.LABELLED)
+def _(spark, sf):
+    sentences = _sentences(spark, sf).withColumn("has_citation", X.citation_strength(F.col("text")) > 0)
+    return L.labelled(sentences, P.hit_counts(P.pattern_hits(sentences, L.PACK)), L.PACK)
+
+
+@query("regex_rule_hits", OR.REGEX_HITS)
+def _(spark, sf):
+    return Q.regex_hits(_sentences(spark, sf), Q.RULES)
+
+
+@query("theme_triggers", OR.THEMES)
+def _(spark, sf):
+    return Q.theme_scores(R.table(spark, sf, "documents"), Q.TRIGGERS)
+
+
+@query("rule_lint")
+def _(spark, sf):
+    return lint.linted(spark, [("rules", "rules", {"elements": Q.RULES}), *[(t["id"], "triggers", t) for t in Q.TRIGGERS]])
+
+
+@query(
+    "page_sections",
+    ELEMENTS + "SELECT page_id, CAST(section AS BIGINT) AS section, coalesce(max(text) FILTER (tag = 'head'), 'Body') AS heading, md5(coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (tag <> 'head'), '')) AS text_md5, min(page) AS page_start, max(page) AS page_end "
+    "FROM (SELECT *, CAST(pos // 20 AS INTEGER) AS page, sum(CASE WHEN tag = 'head' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM e) GROUP BY page_id, section",
+)
+def _(spark, sf):
+    rows = R.page_elements(R.table(spark, sf, "pages")).withColumn("page", F.expr("pos div 20").cast("int"))
+    found = layout.sections(rows, "page_id", ["pos"], F.col("tag") == "head")
+    return found.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query(
+    "file_names",
+    "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'x') AS slug, "
+    "regexp_replace(regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '_', 'g') || '-' || left(md5(url), 8) AS stable_id, "
+    "left(trim(regexp_replace(url, '[\\\\/:*?\"<>|\\s]+', ' ', 'g')), 180) AS file_name, left(sha256(html), 32) AS key, greatest(1, CAST(length(html) // 4 AS INTEGER)) AS tokens FROM pages",
+)
+def _(spark, sf):
+    url, html = F.col("url"), F.col("html")
+    return R.table(spark, sf, "pages").select("page_id", X.slug(url).alias("slug"), X.stable_id(url).alias("stable_id"), X.file_name(url).alias("file_name"), X.cache_key(html).alias("key"), X.estimated_tokens(html).alias("tokens"))
+
+
+@query(
+    "numbered_lists",
+    O.sql(
+        "SELECT doc_id, sent_idx, NOT regexp_matches(text, '\\(\\s*[0-9]+(\\s*[,;–-]\\s*[0-9]+)+\\s*\\)') AND authors < 2 AND ((marks > 0 AND regexp_matches(text, '(?i)\\b(aims?|objectives?|goals?|purpose|hypothes[ie]s)\\b')) "
+        "OR regexp_matches(text, '(?i):\\s*(\\(\\s*1\\s*\\)|([0-9]+|[ivxlcdm]+)\\s*[).*]\\s)') OR marks >= 2) AS is_list FROM (SELECT *, len(regexp_extract_all(text, '\\b\\p{Lu}[\\p{L}’''-]+(\\s+et\\s+al\\.?)?\\s*\\(\\s*[0-9]+\\s*\\)')) AS authors, "
+        "len(regexp_extract_all(text, '\\(\\s*[0-9]+\\s*\\)')) + len(regexp_extract_all(text, '(?i)(^|[\\s;])([0-9]+|[ivxlcdm]+)\\s*[).*]\\s')) AS marks FROM s)",
+        "s",
+    ),
+)
+def _(spark, sf):
+    return _sentences(spark, sf).select("doc_id", "sent_idx", X.listed_items(F.col("text")).alias("is_list"))
+
+
+@query(
+    "document_report",
+    O.sql(
+        "SELECT d.doc_id, coalesce(sentences, 0) AS sentences, coalesce(page_count, 0) AS page_count, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM documents d "
+        "LEFT JOIN (SELECT doc_id, count(*) AS sentences, max(page) + 1 AS page_count FROM s GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nodes FROM kn GROUP BY doc_id) USING (doc_id) "
+        "LEFT JOIN (SELECT doc_id, count(*) AS edges FROM ed GROUP BY doc_id) USING (doc_id)",
+        "ed",
+    ),
+)
+def _(spark, sf):
+    nodes, edges = _final(spark, sf)
+    counted = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    sentences = _sentences(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), (F.max("page") + 1).alias("page_count"))
+    rows = R.table(spark, sf, "documents").select("doc_id")
+    for part in (sentences, counted(nodes, "nodes"), counted(edges, "edges")):
+        rows = rows.join(part, "doc_id", "left")
+    return rows.fillna(0)
+
+
+def _as_latex(spark, sf) -> DataFrame:
+    """Documents in LaTeX: the language as abstract, the source as section, paragraphs as subsections."""
+    text = F.regexp_replace("text", r"\n\n+", "\n\\\\subsection{Part}\n")
+    return R.table(spark, sf, "documents").select(F.col("doc_id").alias("root"), F.concat(F.lit("\\begin{abstract}"), F.coalesce("lang", F.lit("")), F.lit("\\end{abstract}\\section{"), F.coalesce("source", F.lit("")), F.lit("}"), text).alias("text"))
+
+
+@query("latex_sections")
+def _(spark, sf):
+    return latex.sections(_as_latex(spark, sf)).withColumn("text", F.md5("text"))
+
+
+def linked_by_type(prompt: str) -> str:
+    """Stands in for a model: links the first experiment to the first result, in JSON with a trailing comma."""
+    first = {}
+    for row in json.loads(prompt):
+        first.setdefault(row["type"], row["id"])
+    edge = f'{{"from": {first["Experiment"]}, "to": {first["Result"]}, "type": "produces", "conf": 0.7}}' if {"Experiment", "Result"} <= first.keys() else ""
+    return f'```json\n{{"edges": [{edge},]'
+
+
+@query("llm_refined_edges")
+def _(spark, sf):
+    nodes, edges = _final(spark, sf)
+    asked = written(RF.prompts(nodes, edges), "prompts")
+    cache = spark.createDataFrame([], "key string, answer string, ts long")
+    cache = cache.unionByName(written(RF.answered(asked, cache, linked_by_type), "answers"))
+    return RF.merged(spark, nodes, edges, RF.proposed(asked, cache))

@@ -35,7 +35,7 @@ def test_reference_guard(spark):
 
 @pytest.mark.parametrize("text, outcome", [("The difference was not significant.", "negative"), ("pain decreased", "negative"), ("no decrease was seen", "neutral"), ("we improved it", "positive"), ("nothing here", "neutral")])
 def test_polarity(spark, text, outcome):
-    assert one(spark, text, lambda t: X.polarity(X.tokens(t), t)) == outcome
+    assert one(spark, text, X.polarity) == outcome
 
 
 def test_threshold_bounds(spark):
