@@ -12,12 +12,15 @@
    the task and links make a spanning forest, so copies of one text cost a comparison each, not one a pair.
    A bucket of more than BIG texts is dealt in chunks: all are compared with its first text, and then those not
    linked to it with all chunks. No bucket is capped.
-5. Classes are the connected components of verified links, labelled by their least document id.
+5. Classes are the connected components of verified links, labelled by their least text.
 
 Random draws are read from two tables by hash, so a draw costs array look-ups only.
 
+Texts are told apart by their word sequence, never by doc_id, so null and repeated ids take part like all others.
+
 Defined results: null text is empty; texts without a word are all one class of equal texts; fewer than five
-words make one shingle; repeated rows (same doc_id) get one row each with equal class; an empty table gives no
+words make one shingle; repeated rows get one row each with equal class; rows that share a doc_id or have none are
+of one class only if their texts are; a class_id is null if no row of the class has an id; an empty table gives no
 rows; a null doc_id counts as the largest id; other columns are kept by `deduplicated` and not read by `classes`.
 """
 
@@ -44,8 +47,6 @@ AGREE = 40
 BIG = 512
 #: Signature features worked on at once: arrays of this size stay in the cache.
 BLOCK = 1 << 14
-#: Stands for a null doc_id.
-LAST_ID = (1 << 63) - 1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +180,7 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
 
 
 def _signed(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, h0, h1, bands, sig): the word sequence's hash, the band hashes and a byte of each signature value."""
+    """(doc_id, t0, t1, h0, h1, bands, sig): the row's key, the word sequence's hash, the band hashes and a byte of each signature value."""
     kept: dict[str, object] = {}
 
     def run(batches):
@@ -196,14 +197,14 @@ def _signed(docs: DataFrame, shared) -> DataFrame:
                 small = (mixed_bits(sig) >> U64(56)).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)),
+                        *(batch.column(c).slice(a, n) for c in ("doc_id", "t0", "t1")), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel()),
                         pa.array([small[i : i + HASHES] for i in range(0, n * HASHES, HASHES)], pa.binary()),
                     ],
-                    ["doc_id", "h0", "h1", "bands", "sig"],
+                    ["doc_id", "t0", "t1", "h0", "h1", "bands", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h0 long, h1 long, bands array<long>, sig binary")
+    return docs.select("doc_id", "t0", "t1", "text").mapInArrow(run, "doc_id long, t0 long, t1 long, h0 long, h1 long, bands array<long>, sig binary")
 
 
 class Bucket:
@@ -317,18 +318,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and copies (documents with the same words), per document."""
+def _keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with t0 and t1, two hashes of the text as it stands: with doc_id they name a row, or equal rows."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({names[0]: F.xxhash64(F.lit(1), text), names[1]: F.xxhash64(F.lit(2), text)})
+
+
+def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h0, h1), and their texts (h0, h1, copies, label, lead): label names the class, lead is its least row."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
+    docs = _keyed(docs.select("doc_id", "text"), "t0", "t1")
     shared = spark.sparkContext.broadcast((docs.count(), count_sketch(docs)))  # 2 x 2^SKETCH_BITS floats
     signed = written(_signed(docs, shared), "signed")
-    texts = written(signed.groupBy("h0", "h1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
+    texts = signed.groupBy("h0", "h1").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     rows = texts.where((F.col("h0") != 0) | (F.col("h1") != 0)).select("id", F.posexplode("bands").alias("band", "key"))
     busy = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(busy, ["band", "key"]), "buckets")
-    near = met.select("id").distinct().join(texts.select("id", "bands", "sig"), "id").dropDuplicates(["id"])
-    body = docs.withColumnRenamed("doc_id", "id").join(near, "id").dropDuplicates(["id"])
+    near = met.select("id").distinct().join(texts.select("id", "row", "bands", "sig"), "id")
+    same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("t0") == F.col("row.t0")) & (F.col("t1") == F.col("row.t1"))
+    body = docs.join(near, same).select("id", "text", "bands", "sig").dropDuplicates(["id"])
     body = written(body, "bodies")
     small = met.where(F.col("n") <= BIG).withColumn("side", F.lit(0))
     links = _linked(_gathered(small, body), shared, least, True)
@@ -336,16 +346,20 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         links = links.unionByName(_big_links(met.where(F.col("n") > BIG), body, shared, least))
     label = components(written(links, "pairs"))
     dropped(body)
-    found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", F.coalesce("label", "id").alias("class_id"))
-    return (
-        signed.select("doc_id", "h0", "h1")
-        .join(found.select("h0", "h1", "copies", "class_id"), ["h0", "h1"])
-        .select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")], "copies")
-    )
+    found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", "row", F.coalesce("label", "id").alias("label"))
+    leads = found.groupBy("label").agg(F.min("row").alias("lead"))
+    return signed.select("doc_id", "h0", "h1"), found.drop("row").join(leads, "label")
+
+
+def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and copies (documents with the same words), per document."""
+    rows, texts = _classed(docs, least)
+    return rows.join(texts, ["h0", "h1"]).select("doc_id", F.col("lead.doc_id").alias("class_id"), "copies")
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs without near duplicates: the document with the least id of each class stays, once."""
-    kept = classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("nd_id")).distinct()
-    keyed = docs.withColumn("nd_key", F.coalesce("doc_id", F.lit(LAST_ID)))
-    return keyed.join(kept, F.col("nd_key") == F.col("nd_id")).dropDuplicates(["nd_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without near duplicates: the row with the least id, then text hash, of each class stays, once."""
+    kept = _classed(docs, least)[1].select(F.col("lead.doc_id").alias("nd_id"), F.col("lead.t0").alias("nd_a"), F.col("lead.t1").alias("nd_b")).distinct()
+    keyed = _keyed(docs, "nd_t0", "nd_t1")
+    same = F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_t0") == F.col("nd_a")) & (F.col("nd_t1") == F.col("nd_b"))
+    return keyed.join(kept, same).dropDuplicates(["doc_id", "nd_t0", "nd_t1"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -145,6 +145,16 @@ def test_near_duplicates(docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c, d = (prose(40) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b + " end"), (5, c), (5, d), (5, d), (2, d + " end"), (9, a + " end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in neardup.deduplicated(table).collect()}
+    assert (2, d + " end") in got and (5, c) in got and (9, a + " end") in got
+    assert len(got) == neardup.deduplicated(table).count() == 4 and len(got & set(rows[1:3])) == 1
+    assert sorted(tuple(r)[:2] for r in neardup.classes(table.where("doc_id is not null")).collect()) == [(2, 2), (5, 2), (5, 2), (5, 5), (9, 9)]
+
+
 def test_big_buckets_keep_links(spark, monkeypatch):
     words = prose(300).split()
     rows = []
