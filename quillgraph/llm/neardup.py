@@ -1,8 +1,8 @@
 """MinHash near-duplicate removal by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Features: distinct five-word shingles (lower-cased, white-space words) of a whole text, weighted
-   tf * ln(1 + N / (1 + df)). df comes from a count-min sketch of fixed size that every document is counted
-   in, so a weight is the same function of the shingle everywhere; unlike a df table its size is bounded.
+   tf * ln(1 + N / (1 + df)). df is counted exactly: slices of texts send their shingles to blocks of hashes, a
+   block adds up and sends each slice its counts back, and the number of blocks follows the input.
 2. Documents with equal word sequences form one text class first; only a representative goes on.
 3. Signature: for each of HASHES functions the least ln a over the features, after Ioffe's improved consistent
    weighted sampling. Two texts agree in one with a probability equal to their weighted Jaccard similarity.
@@ -26,20 +26,23 @@ rows; a null doc_id counts as the largest id; other columns are kept by `dedupli
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bytesutil import LOWER, U64, mixed_bits, prefix_hash, slices, span_hash, words
-from quillgraph.llm.store import dropped, written
+from quillgraph.llm.bytesutil import LOWER, U64, mixed_bits, prefix_hash, slices, span_hash, trim, words
+from quillgraph.llm.store import dropped, freed, written
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
-#: Counters in each of the two rows of the df sketch.
-SKETCH_BITS = 21
+#: Bytes of text whose shingles make a block that is counted at once.
+BLOCK_BYTES = 8 << 20
 DRAW_BITS = 16
 #: Signature bytes that must agree before texts are compared: at similarity 0.8 the expected number is 51, and 40 is
 #: 3.5 deviations below.
@@ -86,55 +89,71 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[at], h[at], tf, whole[0], whole[1]
 
 
-def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = U64((1 << SKETCH_BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> U64(32)) & mask).astype(np.int64)
+def weights(documents: int, df: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """tf-idf."""
+    return tf * np.log1p(documents / (1.0 + df)).astype(np.float32)
 
 
-class Weights:
-    """tf-idf with df from the sketch."""
+def _texts_of(data: pa.Scalar, sizes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a slice."""
+    offsets = np.append(0, np.cumsum(np.frombuffer(zlib.decompress(sizes.as_py()), "<i8")))
+    return np.frombuffer(zlib.decompress(data.as_py()), np.uint8), offsets
 
-    def __init__(self, documents: int, sketch: np.ndarray) -> None:
-        self.idf = np.log1p(documents / (1.0 + sketch)).astype(np.float32)
 
-    def of(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        a, b = _cells(h)
-        return tf * np.maximum(self.idf[0][a], self.idf[1][b])
+def _sliced(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, t0, t1, text) as one row a slice of texts, their bytes and sizes compressed; written, so that a
+    slice holds the same rows in each pass."""
+    names = ["doc_id", "t0", "t1"]
 
+    def run(batches):
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for a, b, data, offsets in slices(batch):
+                packed = [pa.array([zlib.compress(x, 1)], pa.binary()) for x in (data.tobytes(), np.diff(offsets).astype("<i8").tobytes())]
+                cut = np.array([0, b - a], np.int32)
+                lists = [pa.ListArray.from_arrays(cut, batch.column(c).slice(a, b - a)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *packed], ["slice", *names, "data", "sizes"])
+                number += 1
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """Document counts of all shingles in 2 x 2^SKETCH_BITS cells, added up per partition and then by cell block."""
-    width, chunk = 1 << SKETCH_BITS, 1 << 12
+    return written(docs.select(*names, "text").mapInArrow(run, "slice long, doc_id array<long>, t0 array<long>, t1 array<long>, data binary, sizes binary"), "slices")
 
-    def partial(batches):
-        total = np.zeros((2, width), np.int64)
+
+def document_counts(sliced: DataFrame, size: int) -> DataFrame:
+    """(slice, x array<struct<block,df>>): in how many documents each distinct shingle of the slice is, by hash. Hashes
+    are dealt in blocks of about BLOCK_BYTES, as many as `size` bytes of text need, and counted where a block meets."""
+    bits = max(0, int(np.ceil(np.log2(max(1, size / BLOCK_BYTES)))))
+
+    def hashes(batches):
         for batch in batches:
-            for _, _, data, offsets in slices(batch):
-                _, h, _, _, _ = features(data, offsets)
-                for k, cells in enumerate(_cells(h)):
-                    total[k] += np.bincount(cells, minlength=width)
-        # Only filled cells leave the task, by blocks of cells.
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        block = at // chunk
-        edges = np.flatnonzero(np.diff(block, prepend=-1))
-        cuts = np.append(edges, len(at))
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            yield pa.RecordBatch.from_pydict({"block": [int(block[i])], "cell": [(at[i:j] % chunk).astype("<u2").tobytes()], "n": [flat[at[i:j]].astype("<u4").tobytes()]}, schema)
-
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.uint64)
-        for cell, n in zip(table["cell"], table["n"]):
-            total[np.frombuffer(cell.as_py(), "<u2")] += np.frombuffer(n.as_py(), "<u4")
-        n = np.minimum(total, np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-        return pa.Table.from_pydict({"block": table["block"][:1], "n": [n]}, pa.schema([("block", pa.int32()), ("n", pa.binary())]))
-
-    schema = pa.schema([("block", pa.int32()), ("cell", pa.binary()), ("n", pa.binary())])
-    rows = docs.select("text").mapInArrow(partial, "block int, cell binary, n binary").groupBy("block").applyInArrow(added, "block int, n binary")
-    out = np.zeros(2 * width, np.float32)
-    for block, n in rows.collect():  # 2 * 2^SKETCH_BITS counters at most
-        out[block * chunk : (block + 1) * chunk] = np.frombuffer(n, "<u4")
-    return out.reshape(2, width)
+            for i in range(batch.num_rows):
+                h, n = np.unique(features(*_texts_of(batch.column(1)[i], batch.column(2)[i]))[1], return_counts=True)
+                if not len(h):
+                    continue
+                block = (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[cuts[:-1]]), pa.array(np.repeat(batch.column(0)[i].as_py(), len(spans))),
+                        pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([zlib.compress(n[a:b].astype("<u4").tobytes(), 1) for a, b in spans], pa.binary()),
+                    ],
+                    ["block", "slice", "h", "n"],
+                )
+                trim()
+
+    def counted(got: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in got["h"]]
+        n = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), "<u4") for x in got["n"]])
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(at, n)[at].astype("<u4")
+        ends = np.cumsum([len(x) for x in parts])
+        packed = [zlib.compress(df[b - len(x) : b].tobytes(), 1) for x, b in zip(parts, ends)]
+        trim()
+        return pa.Table.from_arrays([got["slice"], got["block"], pa.array(packed, pa.binary())], ["slice", "block", "df"])
+
+    rows = sliced.select("slice", "data", "sizes").mapInArrow(hashes, "block long, slice long, h binary, n binary")
+    found = rows.groupBy("block").applyInArrow(counted, "slice long, block long, df binary")
+    return found.groupBy("slice").agg(F.collect_list(F.struct("block", "df")).alias("x"))
 
 
 class Sampler:
@@ -179,39 +198,47 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return shared / (total - shared)
 
 
-def _signed(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, t0, t1, h0, h1, bands, sig): the row's key, the word sequence's hash, the band hashes and a byte of each signature value."""
-    kept: dict[str, object] = {}
+def _signed(sliced: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+    """(doc_id, t0, t1, h0, h1, bands, sig, df): the row's key, the word sequence's hash, the band hashes, a byte of each
+    signature value and the packed document counts of the text's shingles."""
+    kept: dict[str, Sampler] = {}
 
     def run(batches):
         if not kept:
-            kept.update(w=Weights(*shared.value), s=Sampler())
+            kept["s"] = Sampler()
         for batch in batches:
-            for a, b, data, offsets in slices(batch):
-                n = b - a
-                row, h, tf, x, y = features(data, offsets)
-                sig = kept["s"].signatures(row, h, kept["w"].of(h, tf), n).view(np.uint32).astype(np.uint64)
+            for i in range(batch.num_rows):
+                ids, t0, t1 = (batch.column(c)[i].values for c in ("doc_id", "t0", "t1"))
+                n = len(ids)
+                row, h, tf, x, y = features(*_texts_of(batch.column("data")[i], batch.column("sizes")[i]))
+                blocks = sorted((p["block"], p["df"]) for p in batch.column("x")[i].as_py() or ())
+                found = np.concatenate([np.frombuffer(zlib.decompress(p), "<u4") for _, p in blocks]) if blocks else np.empty(0, np.uint32)
+                df = found[np.unique(h, return_inverse=True)[1]]
+                cut = np.searchsorted(row, np.arange(n + 1))
+                sig = kept["s"].signatures(row, h, weights(documents, df, tf), n).view(np.uint32).astype(np.uint64)
                 key = np.zeros((n, BANDS), np.uint64)
-                for i in range(ROWS):
-                    key = mixed_bits(key * U64(0xE7037ED1A0B428DB) + sig[:, i::ROWS])
+                for k in range(ROWS):
+                    key = mixed_bits(key * U64(0xE7037ED1A0B428DB) + sig[:, k::ROWS])
                 small = (mixed_bits(sig) >> U64(56)).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(a, n) for c in ("doc_id", "t0", "t1")), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)),
+                        ids, t0, t1, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel()),
-                        pa.array([small[i : i + HASHES] for i in range(0, n * HASHES, HASHES)], pa.binary()),
+                        pa.array([small[k : k + HASHES] for k in range(0, n * HASHES, HASHES)], pa.binary()),
+                        pa.array([zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                     ],
-                    ["doc_id", "t0", "t1", "h0", "h1", "bands", "sig"],
+                    ["doc_id", "t0", "t1", "h0", "h1", "bands", "sig", "df"],
                 )
+                trim()
 
-    return docs.select("doc_id", "t0", "t1", "text").mapInArrow(run, "doc_id long, t0 long, t1 long, h0 long, h1 long, bands array<long>, sig binary")
+    return sliced.join(counts, "slice", "left").mapInArrow(run, "doc_id long, t0 long, t1 long, h0 long, h1 long, bands array<long>, sig binary, df binary")
 
 
 class Bucket:
     """Texts that are compared in one task; features are made when first needed."""
 
-    def __init__(self, weights: Weights, texts: list[str], sigs: list[bytes], bands: np.ndarray) -> None:
-        self.weights, self.texts, self.bands = weights, texts, bands
+    def __init__(self, documents: int, texts: list[str], dfs: list[bytes], sigs: list[bytes], bands: np.ndarray) -> None:
+        self.documents, self.texts, self.dfs, self.bands = documents, texts, dfs, bands
         self.sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(texts), -1)
         self.made: list = [None] * len(texts)
         self.label = np.arange(len(texts))
@@ -220,7 +247,7 @@ class Bucket:
         if self.made[i] is None:
             data = np.frombuffer((self.texts[i] or "").encode(), np.uint8)
             _, h, tf, _, _ = features(data, np.array([0, len(data)]))
-            self.made[i] = h, self.weights.of(h, tf)
+            self.made[i] = h, weights(self.documents, np.frombuffer(zlib.decompress(self.dfs[i]), "<u4"), tf)
         return self.made[i]
 
     def links(self, i: int, others: np.ndarray, band: int, least: float, first_band: bool):
@@ -238,14 +265,11 @@ class Bucket:
                 yield int(j)
 
 
-def _linked(groups: DataFrame, shared, least: float, first_band: bool) -> DataFrame:
-    """Links (a, b) of rows (band, x array<struct<id,side,bands,sig,text>>): side 0 is compared with all, side 1 only
+def _linked(groups: DataFrame, documents: int, least: float, first_band: bool) -> DataFrame:
+    """Links (a, b) of rows (band, x array<struct<id,side,bands,sig,df,text>>): side 0 is compared with all, side 1 only
     with side 0."""
-    kept: dict[str, Weights] = {}
 
     def run(batches):
-        if not kept:
-            kept["w"] = Weights(*shared.value)
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
@@ -255,7 +279,7 @@ def _linked(groups: DataFrame, shared, least: float, first_band: bool) -> DataFr
                 x = x.take(pa.array(order))
                 ids, side = ids[order], side[order]
                 bands = x.field("bands").flatten().to_numpy().reshape(len(ids), -1)
-                bucket = Bucket(kept["w"], x.field("text").to_pylist(), x.field("sig").to_pylist(), bands)
+                bucket = Bucket(documents, x.field("text").to_pylist(), x.field("df").to_pylist(), x.field("sig").to_pylist(), bands)
                 for i in range(int((side == 0).sum())):
                     others = np.arange(i + 1, len(ids))
                     others = others[ids[others] != ids[i]]
@@ -269,11 +293,11 @@ def _linked(groups: DataFrame, shared, least: float, first_band: bool) -> DataFr
 
 def _gathered(rows: DataFrame, body: DataFrame, *keys: str) -> DataFrame:
     """rows (band, key, id, side, *keys) with their texts, one row a group."""
-    whole = rows.join(body, "id").select("band", "key", *keys, F.struct("id", "side", "bands", "sig", "text").alias("x"))
+    whole = rows.join(body, "id").select("band", "key", *keys, F.struct("id", "side", "bands", "sig", "df", "text").alias("x"))
     return whole.groupBy("band", "key", *keys).agg(F.collect_list("x").alias("x"))
 
 
-def _big_links(rows: DataFrame, body: DataFrame, shared, least: float) -> DataFrame:
+def _big_links(rows: DataFrame, body: DataFrame, documents: int, least: float) -> DataFrame:
     """Links in buckets of more than BIG texts: rows (band, key, id, n)."""
     parts = F.ceil(F.col("n") / BIG)
     firsts = rows.groupBy("band", "key").agg(F.min("id").alias("lo"), F.first("n").alias("n"))
@@ -281,7 +305,7 @@ def _big_links(rows: DataFrame, body: DataFrame, shared, least: float) -> DataFr
     star = chunked.select("band", "key", "part", "id", F.lit(1).alias("side")).unionByName(
         firsts.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("lo").alias("id"), F.lit(0).alias("side"))
     )
-    near = written(_linked(_gathered(star, body, "part"), shared, least, False), "star")
+    near = written(_linked(_gathered(star, body, "part"), documents, least, False), "star")
     both = firsts.select("band", "key", "lo")
     left = written(
         chunked.join(both, ["band", "key"]).where(F.col("id") != F.col("lo")).join(near, (F.col("lo") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").drop("lo"), "far"
@@ -297,7 +321,7 @@ def _big_links(rows: DataFrame, body: DataFrame, shared, least: float) -> DataFr
             )
         )
     )
-    return near.unionByName(_linked(_gathered(grid, body, "line", "part"), shared, least, True))
+    return near.unionByName(_linked(_gathered(grid, body, "line", "part"), documents, least, True))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -328,22 +352,27 @@ def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h0, h1), and their texts (h0, h1, copies, label, lead): label names the class, lead is its least row."""
     spark = docs.sparkSession
     docs = _keyed(docs.select("doc_id", "text"), "t0", "t1")
-    shared = spark.sparkContext.broadcast((docs.count(), count_sketch(docs)))  # 2 x 2^SKETCH_BITS floats
-    signed = written(_signed(docs, shared), "signed")
+    documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    sliced = _sliced(docs)
+    signed = written(_signed(sliced, document_counts(sliced, size), documents), "signed")
+    dropped(sliced)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
-    texts = signed.groupBy("h0", "h1").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    texts = signed.groupBy("h0", "h1").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("df").alias("df"))
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    freed(spark)  # the counts' shuffles
     rows = texts.where((F.col("h0") != 0) | (F.col("h1") != 0)).select("id", F.posexplode("bands").alias("band", "key"))
     busy = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(busy, ["band", "key"]), "buckets")
-    near = met.select("id").distinct().join(texts.select("id", "row", "bands", "sig"), "id")
+    freed(spark)
+    near = met.select("id").distinct().join(texts.select("id", "row", "bands", "sig", "df"), "id")
     same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("t0") == F.col("row.t0")) & (F.col("t1") == F.col("row.t1"))
-    body = docs.join(near, same).select("id", "text", "bands", "sig").dropDuplicates(["id"])
+    body = docs.join(near, same).select("id", "text", "bands", "sig", "df").dropDuplicates(["id"])
     body = written(body, "bodies")
+    freed(spark)
     small = met.where(F.col("n") <= BIG).withColumn("side", F.lit(0))
-    links = _linked(_gathered(small, body), shared, least, True)
+    links = _linked(_gathered(small, body), documents, least, True)
     if met.where(F.col("n") > BIG).limit(1).count():
-        links = links.unionByName(_big_links(met.where(F.col("n") > BIG), body, shared, least))
+        links = links.unionByName(_big_links(met.where(F.col("n") > BIG), body, documents, least))
     label = components(written(links, "pairs"))
     dropped(body)
     found = texts.join(label.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("h0", "h1", "copies", "row", F.coalesce("label", "id").alias("label"))

@@ -155,6 +155,23 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(tuple(r)[:2] for r in neardup.classes(table.where("doc_id is not null")).collect()) == [(2, 2), (5, 2), (5, 2), (5, 5), (9, 9)]
 
 
+def test_document_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 18)
+    rows = [(i, " ".join(f"w{R.randrange(1 << 30)}" for _ in range(5000))) for i in range(60)] + [(60, None), (61, "x y"), (62, "X  y")]
+    rows += [(63, rows[0][1]), (64, rows[0][1] + " end")]
+    want = collections.Counter()
+    for _, t in rows:
+        w = (t or "").lower().split()
+        want.update({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else ())
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sliced = neardup._sliced(neardup._keyed(table, "t0", "t1"))
+    signed = neardup._signed(sliced, neardup.document_counts(sliced, 2_800_000), len(rows)).collect()
+    got = {r["doc_id"]: sorted(np.frombuffer(zlib.decompress(r["df"]), "<u4").tolist()) for r in signed}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        assert got[i] == sorted(want[s] for s in ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else ()))
+
+
 def test_big_buckets_keep_links(spark, monkeypatch):
     words = prose(300).split()
     rows = []
