@@ -389,6 +389,8 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs without near duplicates: the row with the least id, then text hash, of each class stays, once."""
     kept = _classed(docs, least)[1].select(F.col("lead.doc_id").alias("nd_id"), F.col("lead.t0").alias("nd_a"), F.col("lead.t1").alias("nd_b")).distinct()
+    kept = written(kept, "kept")
+    freed(docs.sparkSession)  # before the texts are shuffled again
     keyed = _keyed(docs, "nd_t0", "nd_t1")
     same = F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_t0") == F.col("nd_a")) & (F.col("nd_t1") == F.col("nd_b"))
     return keyed.join(kept, same).dropDuplicates(["doc_id", "nd_t0", "nd_t1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
