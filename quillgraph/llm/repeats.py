@@ -296,9 +296,10 @@ def unequal_contexts(docs: DataFrame, least: int, shared) -> DataFrame:
         nth = ranges(n)
         hit = np.flatnonzero(got[which[owner], x["before"][owner].astype(np.int64) - nth] < x["id"][owner])
         own, nth = owner[hit], nth[hit]
-        start = np.append(True, (np.diff(nth) != 1) | (np.diff(own) != 0)) if len(hit) else np.empty(0, bool)
-        i = np.flatnonzero(start)
-        j = np.append(i[1:], len(hit)).astype(np.int64) - 1
+        if not len(hit):  # the contexts differ, and no window of theirs is in a smaller document
+            return _spans(*(np.empty(0, np.int64) for _ in range(4)))
+        i = np.flatnonzero(np.append(True, (np.diff(nth) != 1) | (np.diff(own) != 0)))
+        j = np.append(i[1:], len(hit)) - 1
         return _spans(x["id"][own[i]], x["tkey"][own[i]], x["first"][own[i]] + nth[i], nth[j] - nth[i] + least)
 
     schema = "g long, " + ", ".join(f"{k} binary" for k in [*COLUMNS, "body"])

@@ -213,6 +213,24 @@ def test_repeats(docs, empty, monkeypatch, hot):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+@pytest.mark.parametrize("shared", [24, 34, 49, 50, 60])
+def test_repeats_of_about_a_passage(spark, shared):
+    """Documents that share a gram, but seldom a passage: groups of unequal contexts without a covered window."""
+    rows = []
+    for k in range(12):
+        both = "".join(R.choice("abcdefgh ") for _ in range(shared))
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, "".join(R.choice("ijklmnop ") for _ in range(60)) + both + "".join(R.choice("qrstuvwx ") for _ in range(60))))
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_repeats_within_documents_only(spark):
+    rows = [(i, " ".join(f"{i}-{k % 7}-{i * k % 5}" for k in range(80))) for i in range(20)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows) and not any(r[1] for r in got.values())
+
+
 def test_lcp_intervals_are_all_maximal_groups():
     lcp = [0, 3, 5, 5, 2, 0, 4]
     assert sorted(repeats.lcp_intervals(lcp)) == sorted([(5, 3, 1, 3), (3, 2, 0, 3), (2, 0, 0, 4), (4, 0, 5, 6)])
