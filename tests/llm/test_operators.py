@@ -254,6 +254,80 @@ def test_lm_score(docs, empty):
     assert lmscore.scored(empty).count() == 0
 
 
+def slow_bits(text, coder, mixer):
+    """Bits of a text, one decision after another in plain Python, from the coder's decisions and the counts' slots."""
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    ev = coder.events(data, np.array([0, len(data)]))
+    made = coder.decisions(ev, 0, len(ev["row"]))
+    total = float(sum(coder.rest[k] for k in ev["known"] if k >= 0))
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    for k, kind in enumerate(lmscore.KINDS):
+        rows = list(zip(made[kind][1].tolist(), *(s.tolist() for s in made[kind][2:])))
+        for a in range(0, len(rows), lmscore.SEGMENT[k]):
+            weight, maps, own = mixer.start[k].astype(float).tolist(), mixer.maps[k].astype(float).tolist(), [0.0] * lmscore.ONLINE
+            for bit, *slots in rows[a : a + lmscore.SEGMENT[k]]:
+                counts = [(int(mixer.slots[c][s]) >> 8, int(mixer.slots[c][s]) & 255) for c, s in enumerate(slots)]
+                seen = [0 if sum(n) == 0 else 1 if sum(n) < 8 else 2 for n in counts]
+                g, cell = seen[1] * 3 + seen[2], slots[0] % lmscore.ONLINE
+                x = [round((math.log((b + 0.3) / (z + 0.3)) + 6.8) * 255 / 13.6) * 13.6 / 255 - 6.8 for z, b in counts]
+                x[0] += own[cell]
+                dot = max(-5.99, min(5.99, sum(w * v for w, v in zip(weight[g], x))))
+                p, at = sigma(dot), int(dot + 6)
+                q = maps[g][at]
+                one = min(1 - 1e-5, max(1e-5, (p + q) / 2))
+                total -= math.log2(one if bit else 1 - one)
+                weight[g] = [w + lmscore.RATE * (bit - p) * v for w, v in zip(weight[g], x)]
+                maps[g][at] += lmscore.MAP_RATE * (bit - q)
+                own[cell] += lmscore.OWN_RATE * (bit - p)
+    return total
+
+
+def test_lm_bits_against_plain_python(monkeypatch):
+    monkeypatch.setattr(lmscore, "SEGMENT", (50, 20, 300, 200))
+    monkeypatch.setattr(lmscore, "EVENTS", 37)
+    texts = [prose(200), "", "x", prose(3) + "\n\n \t" + prose(30), "  " + prose(20) + " \n", "straße \x00 ÉÈ" * 9]
+    w = collections.Counter(" ".join(texts).encode().lower().split())
+    hashes, counts = {}, {}
+    for k, n in w.items():
+        d = np.frombuffer(k, np.uint8)
+        hashes[k] = lmscore.span_hash(lmscore.prefix_hash(d), np.array([0]), np.array([len(d)]))[0]
+        counts[hashes[k]] = n
+    known = np.array(sorted(h for h in counts if counts[h] >= 2), np.uint64)
+    pairs = np.zeros(65536, np.int64)
+    coder = lmscore.Coder(known, np.array([counts[h] for h in known]), lmscore.byte_codes(lmscore._spelling(pairs)), (12, 12, 12))
+    g = np.random.default_rng(5)
+    mixer = lmscore.Mixer([(g.integers(0, 40, 4096) << 8 | g.integers(0, 40, 4096)).astype(np.uint16) for _ in range(3)])
+    data = "".join(texts).encode().lower()
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    ev = coder.events(np.frombuffer(data, np.uint8), offsets)
+    parts = [{k: mixer.packed(v) for k, v in coder.decisions(ev, a, b).items()} for a, b in lmscore.stretches(ev)]
+    got = sum(mixer.mixed(k, [p[kind] for p in parts], len(texts)) for k, kind in enumerate(lmscore.KINDS))
+    got = got + np.bincount(ev["row"], np.append(coder.rest, 0)[ev["known"]], len(texts))
+    for t, bits in zip(texts, got):
+        assert math.isclose(bits, slow_bits(t, coder, mixer), rel_tol=1e-4)
+
+
+def test_lm_probabilities_add_up():
+    """All strings of a small alphabet up to a length: what the model gives them adds up to 1 at most; each further length adds."""
+    w = np.sort(np.array([lmscore.span_hash(lmscore.prefix_hash(np.frombuffer(k, np.uint8)), np.array([0]), np.array([len(k)]))[0] for k in (b"a", b"ab")], np.uint64))
+    pairs = np.zeros((256, 256), np.int64)
+    for x in (0x20, 0x61, 0x62):
+        for y in (0x20, 0x61, 0x62):
+            pairs[x, y] = 10**6
+    coder = lmscore.Coder(w, np.array([5, 3]), lmscore.byte_codes(lmscore._spelling(pairs.ravel())), (12, 12, 12))
+    mixer = lmscore.Mixer([np.full(4096, 3 << 8 | 2, np.uint16)] * 3)
+    texts = [""]
+    total = 0.0
+    for n in range(8):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        ev = coder.events(data, np.arange(len(texts) + 1) * n)
+        parts = [{k: mixer.packed(v) for k, v in coder.decisions(ev, a, b).items()} for a, b in lmscore.stretches(ev)]
+        bits = sum(mixer.mixed(k, [p[kind] for p in parts], len(texts)) for k, kind in enumerate(lmscore.KINDS))
+        total += np.exp2(-(bits + np.bincount(ev["row"], np.append(coder.rest, 0)[ev["known"]], len(texts)))).sum()
+        texts = [t + c for t in texts for c in " ab"]
+    assert 0.2 < total <= 1 + 1e-6
+
+
 def vectors(spark, n=300, d=8):
     g = np.random.default_rng(3)
     x = g.normal(size=(n, d)).astype(np.float32)
