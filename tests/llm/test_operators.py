@@ -113,6 +113,49 @@ def test_vector_pack_keeps_every_limit():
         assert sum(p[2] for p in b) <= 128 and len(b) <= 5 and (big or sum(loss[p[0]] for p in b) <= 60)
 
 
+def test_vector_pack_cuts_within_every_limit():
+    sizes = np.array([[R.randrange(1, 128), 1, 0] for _ in range(300)])
+    sizes[:, 2] = [R.randrange(0, min(60, n) + 1) for n in sizes[:, 0]]
+    bins = packing.vector_pack(sizes, np.array([128, 6, 60]), min_piece=4)
+    met = collections.Counter()
+    for b in bins:
+        bearing = 0
+        for item, first, n in b:
+            met[item] += n
+            silent = sizes[item][0] - sizes[item][2]
+            bearing += max(0, first + n - max(first, silent))
+        assert sum(p[2] for p in b) <= 128 and len(b) <= 6 and bearing <= 60
+    assert [met[i] for i in range(300)] == sizes[:, 0].tolist()
+
+
+def test_packing_by_loss_column(spark):
+    rows = [(i, prose(R.randrange(0, 900)), R.choice([None, -3, 0, 5, 200, 10**6])) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, bearing long")
+    got = packing.packed(table, length=256, segments=4, loss="bearing", loss_limit=100).collect()
+    bearing, seqs = {r[0]: max(0, r[2] or 0) for r in rows}, collections.defaultdict(list)
+    for r in got:
+        seqs[r["sequence_id"]].append(r)
+    for s in seqs.values():
+        live = sum(max(0, r["start"] + r["length"] - max(r["start"], r["doc_tokens"] - min(bearing[r["doc_id"]], r["doc_tokens"]))) for r in s)
+        assert sum(r["length"] for r in s) <= 256 and len(s) <= 4 and live <= 100
+
+
+def test_ids_of_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing.ids_of("word_bpe_49k.json")
+    texts = ["", " ", "A b  C", "<|x|> a <|endoftext|>", "İSTANBUL ﬁ ß", "a\u00a0b\u2003c\u3000d", "x\x00y \x1c z", packing.PROBE, "é e\u0301 漢字かな", prose(50)] * 3
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    for _ in range(2):
+        ids, cut = own.of(data, offsets)
+        for i, t in enumerate(texts):
+            assert ids[cut[i] : cut[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+    assert own.by_word
+
+
 def test_language(spark, empty):
     de, fr = "der die das und ist nicht ein schön über", "le la les est pas une été où ça"
     rows = [(i, " ".join(R.sample((de if i % 2 else fr).split(), 6)), "de" if i % 2 else "fr") for i in range(60)] + [(90, None, "de"), (91, "12 !", "fr"), (92, "", None), (93, de * 300, None)]
