@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
 
-1. Equal vectors are one node, with its k + 1 smallest ids (no more can be in a result of k).
+1. Equal vectors are one node, with its k + 1 smallest ids (no more can be in a result of k). Nodes are numbered
+   when their table is written.
 2. Each node starts with the best of the nodes that share a random-hyperplane bucket with it, in TABLES tables;
    buckets are split to about CHUNK nodes.
 3. NN-descent: a node's neighbours, forward and up to SAMPLE reverse, are joined with their vectors and compared
    with one another; each keeps its best finds and merges them into its list of DEGREE. Repeated until less than
    SETTLED of the list entries change, ROUNDS times at most.
-4. Greedy search: a query starts at its own node and expands the best BEAM nodes found so far by a join with the
-   graph, until all of them are expanded.
-5. The final candidates are scored again in double precision on the original vectors.
+4. Greedy search: a query starts at its own node and at ENTRIES nodes that all queries share, and expands the best
+   BEAM nodes found so far by a join with the graph, until all of them are expanded.
+5. The final candidates are scored again in double precision on the original vectors. Queries that found fewer than
+   k (a part of the graph that nothing leads out of) are scored against all rows, in blocks.
 
 Graph and search compare vectors rounded to one byte a component; nothing is collected, and a task holds one
 bucket chunk or one neighbourhood.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, as candidate or
 query; vectors of different lengths are never compared; ties go to the smaller id; fewer candidates than k give
-all of them; repeated rows are candidates each, but none with the query's own id; an empty table gives no rows.
+all of them; repeated rows are candidates each, but none with the query's own id; of query rows with one id and
+different vectors the least vector asks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ CHUNK = 256
 ROUNDS = 5
 SETTLED = 0.02
 BEAM = 256
-STEPS = 10
+ENTRIES = 16
+#: Rows of the blocks in which queries without enough finds are scored.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def _valid(embedding: Column) -> Column:
@@ -201,9 +206,11 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam:
     """queries (query_id, id: the node to start at, qq: rounded vector): (query_id, id) of the best nodes found."""
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     edges = _edges(graph)
-    front = written(_scored(queries.join(nodes, "id")).withColumn("open", F.lit(True)), "beam")
+    shared = [r["id"] for r in nodes.select("id").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(ENTRIES).collect()]
+    starts = queries.select("query_id", "qq", F.explode(F.array_distinct(F.concat(F.array("id"), F.array(*[F.lit(i) for i in shared])))).alias("id"))
+    front = written(_scored(starts.join(nodes, "id")).withColumn("open", F.lit(True)), "beam")
     asked = queries.select("query_id", "qq")
-    for _ in range(STEPS):
+    while front.where("open").limit(1).count():  # a beam only gets better, so no node opens twice
         step = front.where("open").select("query_id", F.col("id").alias("u")).join(edges.select("u", F.col("v").alias("id")), "u").select("query_id", "id").distinct()
         new = step.join(front.select("query_id", "id"), ["query_id", "id"], "left_anti")
         found = _scored(new.join(nodes, "id").join(asked, "query_id")).withColumn("open", F.lit(True))
@@ -211,24 +218,50 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam:
         kept = written(kept, "beam")
         dropped(front)
         front = kept
-        if not front.where("open").limit(1).count():
-            break
     return front.select("query_id", "id")
 
 
+PAIR = "query_id long, vec_id long, score double"
+
+
+def exact(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best rows (vec_id, embedding) for asked (query_id, qe), block by block. A query
+    is compared with the rows of its vector's length; all of them, so this is for few queries."""
+    blocks, wanted = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-asked.count() // BLOCK_QUERIES))
+
+    def best(key, queries, held):
+        import pandas as pd
+
+        out = []
+        sizes = held["embedding"].map(len).to_numpy() if len(held) else np.empty(0, np.int64)
+        for q, v in zip(queries["query_id"], queries["qe"]):
+            own = held[(sizes == len(v)) & (held["vec_id"].to_numpy() != q)] if len(held) else held
+            if len(own):
+                ids, x = own["vec_id"].to_numpy(np.int64), np.stack(own["embedding"].to_numpy()).astype(np.float64)
+                # Added up in the order of the components, as the other scores are.
+                score = np.add.accumulate(x * np.asarray(v, np.float64), axis=1)[:, -1]
+                keep = np.lexsort((ids, -score))[:k]
+                out.append(pd.DataFrame({"query_id": np.full(len(keep), q, np.int64), "vec_id": ids[keep], "score": score[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+    left = asked.select("query_id", "qe", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(wanted)).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"))
+    right = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wanted - 1).cast("long"))).alias("qb"))
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, PAIR)
+
+
 def nearest(table: DataFrame, k: int, query: Column) -> DataFrame:
     """table (vec_id, embedding); queries are its rows for which `query` holds: query_id, rank, vec_id, score."""
     spark = table.sparkSession
     rows = table.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & _valid(F.col("embedding")))
     nth = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
-    members = written(few.withColumn("id", F.min("vec_id").over(Window.partitionBy("embedding"))), "members")
-    nodes = members.where(F.col("nth") == 1).select("id", "embedding")
-    asked = rows.where(query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    nodes = written(few.where("nth = 1").select("embedding").withColumn("id", F.monotonically_increasing_id()), "vectors")
+    members = written(few.select("vec_id", "embedding").join(nodes, "embedding"), "members")
+    asked = table.where(query & F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("qe"))
     asked = written(asked.join(nodes, F.col("qe") == F.col("embedding")).select("query_id", "qe", "id"), "asked")
     out = []
-    for (width,) in nodes.select(F.size("embedding")).distinct().collect():
-        own = written(nodes.where(F.size("embedding") == width).mapInArrow(_rounded, "id long, q binary"), "nodes")
+    for (width,) in nodes.select(F.size("embedding")).distinct().collect():  # lengths of vectors
+        own = written(nodes.where(F.size("embedding") == width).select("id", "embedding").mapInArrow(_rounded, "id long, q binary"), "nodes")
         graph = neighbour_graph(own)
         queries = asked.where(F.size("qe") == width).select("query_id", "id").join(own.withColumnRenamed("q", "qq"), "id")
         out.append(greedy_search(queries, graph, own))
@@ -245,4 +278,13 @@ def nearest(table: DataFrame, k: int, query: Column) -> DataFrame:
         .select("query_id", "vec_id", product.alias("score"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = written(ranked(scored), "best")
+    full = best.where(F.col("rank") == k).select("query_id")
+    short = written(asked.select("query_id", "qe").join(full, "query_id", "left_anti"), "short")
+    if not short.limit(1).count():
+        return best
+    return best.join(full, "query_id", "left_semi").unionByName(ranked(exact(short, rows, k)))

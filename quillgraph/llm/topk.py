@@ -2,8 +2,8 @@
 
 Candidates are dealt by hash into blocks and queries into blocks; a task takes one pair of blocks. In a block
 each dimension has its list of candidates sorted by component, read from the top where the query's component is
-positive and from the bottom where it is negative. Lists are read to equal depth; a candidate met for the first
-time is scored in full; the threshold is the score that the components at this depth would give. Reading stops
+positive and from the bottom where it is negative; where it is zero the list is not read. Lists are read to equal
+depth, in steps that double; a candidate met for the first time is scored in full; the threshold is the score that the components at this depth would give. Reading stops
 when the threshold is below the kth score so far: nothing unread can reach it, ties included. The k best of each
 block are then merged.
 
@@ -12,7 +12,7 @@ Both sides are dealt in blocks of a bounded number of rows, so a task's memory d
 Defined results: vectors that are null, or hold null or non-finite components, take no part; vectors of another
 length than the query's are no candidates of it; equal scores go to the smaller vec_id; fewer candidates than k
 give them all; an empty table gives no rows; repeated rows are separate candidates except those with the query's
-own vec_id. Components are floor(scale * x); scores are exact while they stay below 2^63.
+own vec_id; of query rows with one vec_id the least vector counts. Components are floor(scale * x); scores are exact while they stay below 2^63.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 4096
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -37,37 +37,40 @@ def integer_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
     )
 
 
-def threshold_search(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, lists: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best of one block for one query. lists: 'at' and 'rank' of the sorted lists."""
+def sorted_lists(vectors: np.ndarray) -> dict[str, np.ndarray]:
+    """Of one block: in each dimension the rows by ascending component (order) and those components (at)."""
+    order = np.argsort(vectors, axis=0, kind="stable")
+    return {"order": order, "at": np.take_along_axis(vectors, order, axis=0)}
+
+
+def threshold_search(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, lists: dict, read: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of one block for one query. read: gets the depth at which reading stopped."""
     n = len(ids)
-    up = query > 0
-    used = query != 0
-    # The depth at which the query meets each candidate first, over the lists that it reads.
-    if used.any():
-        depth = np.where(up[used], n - 1 - lists["rank"][:, used], lists["rank"][:, used]).min(axis=1)
-    else:
-        depth = np.zeros(n, np.int64)
-    order = np.argsort(depth, kind="stable")
-    met = depth[order]
+    dims = np.flatnonzero(query)
+    if not len(dims):  # nothing to read: all scores are 0
+        keep = np.sort(ids[ids != own], kind="stable")[:k]
+        return keep, np.zeros(len(keep), np.int64)
+    q, up = query[dims], query[dims] > 0
+    order, at = lists["order"], lists["at"]
+    met = np.zeros(n, bool)
     best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    at, step = 0, max(4, k // 4)
-    reach = 0
-    while at < n:
-        reach = min(n, reach + step)
-        end = int(np.searchsorted(met, reach, "left"))
-        new = order[at:end]
+    depth, step = 0, max(2, k // 4)
+    while depth < n:
+        reach = min(n, depth + step)
+        new = np.concatenate([order[n - reach : n - depth][:, dims[up]].ravel(), order[depth:reach][:, dims[~up]].ravel()])
+        new = np.unique(new[~met[new]])
+        met[new] = True
         new = new[ids[new] != own]
-        score = vectors[new] @ query
-        best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, score])
-        keep = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[keep], best[keep]
-        at = end
-        if reach >= n:
-            break
-        edge = np.where(up, lists["at"][n - reach], lists["at"][reach - 1])
-        if len(best) == k and int((edge * query).sum()) < best[-1]:
+        depth, step = reach, step * 2
+        if len(new):
+            best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, vectors[new] @ query])
+            keep = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[keep], best[keep]
+        edge = np.where(up, at[n - depth, dims], at[depth - 1, dims])
+        if len(best) == k and int(edge @ q) < best[-1]:
             break
-        step *= 2
+    if read is not None:
+        read.append(depth)
     return best_ids, best
 
 
@@ -84,10 +87,7 @@ def _search_block(k: int):
                 vectors = np.zeros((len(ids), 0), np.int64)
             else:
                 vectors = np.stack(held["v"].to_numpy()).astype(np.int64)
-            order = np.argsort(vectors, axis=0, kind="stable")
-            rank = np.empty_like(order)
-            np.put_along_axis(rank, order, np.arange(len(ids))[:, None], axis=0)
-            lists = {"rank": rank, "at": np.take_along_axis(vectors, order, axis=0)}
+            lists = sorted_lists(vectors)
             for q, v in zip(asked["vec_id"], asked["v"]):
                 got, score = threshold_search(ids, vectors, np.asarray(v, np.int64), q, k, lists)
                 out.append(pd.DataFrame({"query_id": np.full(len(got), q, np.int64), "vec_id": got, "score": score}))
@@ -103,7 +103,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = vectors.select(
         "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("qb")
     )
-    wanted = queries.dropDuplicates(["vec_id"]).select(
+    wanted = queries.groupBy("vec_id").agg(F.min("v").alias("v")).select(
         "vec_id", "v", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(asked)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"),
     )

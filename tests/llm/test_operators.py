@@ -394,6 +394,54 @@ def test_top_k(spark):
     assert topk.exact_top_k(v.limit(0), v.limit(0), 10).count() == 0
 
 
+def test_threshold_reading_stops_early():
+    g = np.random.default_rng(8)
+    z = g.integers(-1000, 1000, (2000, 4))
+    z[:30] *= 20
+    lists, depths = topk.sorted_lists(z), []
+    for q in range(0, 60, 2):
+        got, score = topk.threshold_search(np.arange(2000), z, z[q], q, 10, lists, depths)
+        s = z @ z[q]
+        order = [i for i in np.lexsort((np.arange(2000), -s)) if i != q][:10]
+        assert got.tolist() == order and score.tolist() == s[order].tolist()
+    assert max(depths) < 1000
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (0, [2.0, 1.0]), (7, [5.0, 5.0]), (100, [0.5, 0.0])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.exact_top_k(v, v.where("vec_id = 0 or vec_id = 100"), 10).collect()
+    best = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100)}
+    unit = 1024 * 1024
+    assert best[0] == [(7, 15 * unit), (100, 5 * unit), (100, unit // 2)] and best[100] == [(7, 5 * unit // 2), (0, unit), (0, unit // 2)]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (0, [2.0, 1.0]), (3, [0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, F.col("vec_id") % 20 == 0).collect()
+    best = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20)}
+    assert best == {0: [(20, 5.0), (3, 2.0)], 20: [(0, 5.0), (0, 4.0), (3, 2.0)]}
+
+
+def test_neighbours_of_outliers(spark, monkeypatch):
+    """Vectors that share no bucket with others, and clusters without a way out, still get all their neighbours."""
+    monkeypatch.setattr(neighbours, "CHUNK", 4)
+    monkeypatch.setattr(neighbours, "DEGREE", 3)
+    monkeypatch.setattr(neighbours, "BEAM", 8)
+    g = np.random.default_rng(2)
+    x = np.concatenate([g.normal(size=(60, 6)) * 0.01 + np.eye(6)[i % 6] * (1 - 2 * (i % 2)) for i in range(6)]).astype(np.float32)
+    x[0] = [-50, 50, -50, 50, -50, 50]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, 5, F.col("vec_id") % 20 == 0).collect()
+    assert all(sum(r["query_id"] == q for r in got) == 5 for q in range(0, 360, 20))
+    short = table.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as qe")
+    whole = neighbours.exact(short, table, 5).collect()
+    for q in range(0, 360, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        assert {r["vec_id"] for r in whole if r["query_id"] == q} == set(np.lexsort((np.arange(360), -s))[:5])
+
+
 def test_neighbours(spark):
     x, table = vectors(spark)
     got = neighbours.nearest(table, 20, F.col("vec_id") % 20 == 0).collect()
