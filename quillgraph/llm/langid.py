@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ SAMPLE_ROWS = 64
 SAMPLE_CHARS = 16_000
 CHUNK = 512
 SLICE_CHARS = 2_000_000
+#: A text is in no learned language if its phrases cost more than FOREIGN times single letters of the language, by
+#: EVIDENCE bits: tables and lists in a language stay, and short texts always do.
+FOREIGN, EVIDENCE = 1.25, 400.0
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -103,6 +107,8 @@ class Languages:
         for i, c in enumerate(alphabet):
             self.code[ord(c)] = i + 1
         self.automata = [Automaton(self.coded(sample[x]).tolist(), self.letters) for x in self.names]
+        share = [np.bincount(self.coded(sample[x])) / max(1, len(sample[x])) for x in self.names]
+        self.entropy = [float(-(p[p > 0] * np.log2(p[p > 0])).sum()) for p in share]
         self.bits = np.array([np.log2(max(2, len(sample[x]))) for x in self.names])
 
     def coded(self, text: str) -> np.ndarray:
@@ -153,6 +159,17 @@ class Languages:
         share = 1.0 / np.exp2(np.minimum(0.0, least[:, None] - cost)).sum(axis=1)
         return [self.names[i] for i in best], share
 
+    def accepted(self, texts: list[str]) -> list[str | None]:
+        """The language of each text, None for one that is in none of them: its phrases take more bits, by EVIDENCE,
+        than FOREIGN times what as many letters of the language take one by one (the sample's entropy of letters)."""
+        count, frequent = self.phrases(texts)
+        cost = np.round(count * self.bits, 6)
+        best = np.lexsort((np.broadcast_to(np.arange(len(self.names)), cost.shape), -frequent, cost), axis=1)[:, 0]
+        out: list[str | None] = []
+        for text, k, bits in zip(texts, best, cost.min(axis=1)):
+            out.append(None if bits > FOREIGN * self.entropy[k] * len(text) + EVIDENCE else self.names[k])
+        return out
+
 
 def _runs(texts: list[str]):
     first, held = 0, 0
@@ -200,22 +217,25 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
 
 
 def without_rejects(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """docs whose text is in some learned language; a null lang becomes the predicted one."""
+    """docs whose text is in some learned language, by its letters and by the parse's cost; a null lang becomes the
+    predicted one. Null texts and those without a letter go; without a learned language all do."""
     shared = docs.sparkSession.sparkContext.broadcast(labelled_sample(train))
-    held: dict[str, Languages] = {}
+    columns = docs.columns
+    text_at, lang_at = columns.index("text"), columns.index("lang") if "lang" in columns else None
 
-    @F.pandas_udf("string")
-    def language(texts):
-        import pandas as pd
-
-        if "l" not in held:
-            held["l"] = Languages(shared.value)
-        out, values = [], texts.tolist()
-        for a, b in _runs(values):
-            out += held["l"].decided(values[a:b])[0] if held["l"].names else ["und"] * (b - a)
-        return pd.Series(out, dtype=object)
-
-    known = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("li_pred", language("text")).where("li_pred <> 'und'")
-    if "lang" in docs.columns:
-        known = known.withColumn("lang", F.coalesce("lang", "li_pred"))
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches):
+        languages = None
+        for batch in batches:
+            languages = languages or Languages(shared.value)
+            texts = batch.column(text_at).to_pylist()
+            names: list[str | None] = []
+            for a, b in _runs(texts):
+                names += languages.accepted(texts[a:b]) if languages.names else [None] * (b - a)
+            out = batch
+            if lang_at is not None:
+                filled = pc.coalesce(batch.column(lang_at), pa.array(names, pa.string()))
+                out = pa.RecordBatch.from_arrays([filled if i == lang_at else c for i, c in enumerate(batch.columns)], names=columns)
+            yield out.filter(pa.array([x is not None for x in names], pa.bool_()))
+
+    # The predictor stands in no filter or projection that Spark could move or write out twice.
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ their running total within the source gives each bucket its first rank, so no ta
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; repeated rows
 are separate documents; a source without words has target 0 and is not taken; an empty table gives an
-empty result; further columns of the input stay in `mixed` and are never touched.
+empty result; further columns of the input stay in `resampled`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm.rows import BOX, boxed, unboxed
 from quillgraph.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,66 +62,46 @@ def mixed(
     cap: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row)."""
+    """boxed docs with size, source_size, target and copies (how often the mix takes the row).
+
+    All documents of a source have one rate, so the running total of expected copies is the rank times the rate."""
     n = docs.count()
     parts = max(1, min(MAX_PARTS, -(-n // PART_ROWS)))
-    rows = docs.withColumns({"mix_size": word_count(F.col("text"))}).withColumns({
-        "mix_class": F.floor(F.log2(F.col("mix_size") + 1) * 8).cast("int"),
-        "mix_part": F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts)).cast("int"),
+    rows = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text"))).withColumns({
+        "class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
+        "part": F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts)).cast("int"),
     })
-    key = ["mix_class", "mix_part"]
-    buckets = written(
-        rows.groupBy(F.col("source").alias("mix_source"), *key).agg(
-            F.count("*").alias("mix_n"), F.sum("mix_size").alias("mix_words")
-        ),
-        "mix-buckets",
-    )
-    sizes = buckets.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_words").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select(
-        F.col("source").alias("t_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-    )
-    before = Window.partitionBy("mix_source").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    key = ["class", "part"]
+    buckets = written(rows.groupBy("source", *key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-buckets")
+    sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("t_source"), "source_size", "target")
+    before = Window.partitionBy("source").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
-        buckets.withColumn("mix_first", F.coalesce(F.sum("mix_n").over(before), F.lit(0)))
-        .join(targets, F.col("mix_source").eqNullSafe(F.col("t_source")))
-        .select("mix_source", *(F.col(k).alias(f"b_{k}") for k in key), "mix_first", "mix_source_size", "mix_target")
+        buckets.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(targets, F.col("source").eqNullSafe(F.col("t_source")))
+        .select(F.col("source").alias("b_source"), *(F.col(k).alias(f"b_{k}") for k in key), "first", "source_size", "target")
     )
-    at = Window.partitionBy("source", *key).orderBy("mix_size", "doc_id")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
+    at = Window.partitionBy("source", *key).orderBy("size", "doc_id")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("part") == F.col("b_part"))
     return (
-        rows.withColumn("mix_rank", F.row_number().over(at))
-        .join(
-            firsts,
-            F.col("source").eqNullSafe(F.col("mix_source"))
-            & (F.col("mix_class") == F.col("b_mix_class"))
-            & (F.col("mix_part") == F.col("b_mix_part")),
-        )
-        .withColumn("mix_rank", F.col("mix_rank") + F.col("mix_first"))
-        .withColumn(
-            "mix_copies",
-            F.floor(F.col("mix_rank") * rate + offset) - F.floor((F.col("mix_rank") - 1) * rate + offset),
-        )
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_copies")
+        rows.withColumn("nth", F.row_number().over(at))
+        .join(firsts, same)
+        .withColumn("nth", F.col("nth") + F.col("first"))
+        .withColumn("copies", F.floor(F.col("nth") * rate + offset) - F.floor((F.col("nth") - 1) * rate + offset))
+        .select(BOX, "size", "source_size", "target", "copies")
     )
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """The contract of op2: doc_id, size, source_size, target, taken."""
     return mixed(docs.select("doc_id", "text", "source"), **how).select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"),
+        F.col(BOX).getField("doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
 def resampled(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: each row of docs as often as the mix takes it, with the columns of docs."""
-    out = mixed(docs, **how).where(F.col("mix_copies") > 0)
-    return out.withColumn("mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    out = mixed(docs, **how).where(F.col("copies") > 0)
+    return unboxed(out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)

@@ -31,10 +31,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytesutil import LOWER, U64, mixed_bits, prefix_hash, slices, span_hash, trim, words
+from quillgraph.llm.rows import BOX, boxed, unboxed
 from quillgraph.llm.store import dropped, freed, written
 
 SHINGLE = 5
@@ -342,16 +343,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _keyed(docs: DataFrame, *names: str) -> DataFrame:
-    """docs with t0 and t1, two hashes of the text as it stands: with doc_id they name a row, or equal rows."""
+def _keyed(docs: DataFrame, *names: str) -> tuple[Column, Column]:
+    """t0 and t1, two hashes of the text as it stands: with doc_id they name a row, or equal rows."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({names[0]: F.xxhash64(F.lit(1), text), names[1]: F.xxhash64(F.lit(2), text)})
+    return tuple(F.xxhash64(F.lit(k), text).alias(name) for k, name in enumerate(names, 1))
 
 
 def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h0, h1), and their texts (h0, h1, copies, label, lead): label names the class, lead is its least row."""
     spark = docs.sparkSession
-    docs = _keyed(docs.select("doc_id", "text"), "t0", "t1")
+    docs = docs.select("doc_id", "text", *_keyed(docs, "t0", "t1"))
     documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sliced = _sliced(docs)
     signed = written(_signed(sliced, document_counts(sliced, size), documents), "signed")
@@ -387,10 +388,13 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs without near duplicates: the row with the least id, then text hash, of each class stays, once."""
-    kept = _classed(docs, least)[1].select(F.col("lead.doc_id").alias("nd_id"), F.col("lead.t0").alias("nd_a"), F.col("lead.t1").alias("nd_b")).distinct()
+    """docs without near duplicates: the row with the least id, then text hash, of each class stays, once; of rows
+    with that id and text the one whose hash over all columns is least."""
+    kept = _classed(docs, least)[1].select(F.col("lead.doc_id").alias("k_id"), F.col("lead.t0").alias("k_t0"), F.col("lead.t1").alias("k_t1")).distinct()
     kept = written(kept, "kept")
     freed(docs.sparkSession)  # before the texts are shuffled again
-    keyed = _keyed(docs, "nd_t0", "nd_t1")
-    same = F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_t0") == F.col("nd_a")) & (F.col("nd_t1") == F.col("nd_b"))
-    return keyed.join(kept, same).dropDuplicates(["doc_id", "nd_t0", "nd_t1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = _keyed(docs, "t0", "t1")
+    rows = boxed(docs, doc_id=F.col("doc_id"), t0=own[0], t1=own[1])
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t0") == F.col("k_t0")) & (F.col("t1") == F.col("k_t1"))
+    one = rows.join(kept, same).groupBy("doc_id", "t0", "t1").agg(F.min_by(BOX, F.xxhash64(BOX)).alias(BOX))
+    return unboxed(one, docs.columns)

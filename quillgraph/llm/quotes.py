@@ -91,13 +91,13 @@ def linked(messages: DataFrame) -> DataFrame:
         quotes.join(firsts, ["conv_id", "key", "key2"]).where(F.col("origin") < F.col("turn")).groupBy("conv_id", "turn").agg(best.alias("parent")), "links"
     )
     # Roots by pointer jumping: each round doubles the distance covered.
-    roots = links.select("conv_id", "turn", F.col("parent").alias("root"))
+    roots, own = links.select("conv_id", "turn", F.col("parent").alias("root")), False
     while True:
         up = roots.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("higher"))
         new = written(roots.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "roots")
-        if roots is not None and "roots-" in (roots.inputFiles() or [""])[0]:
+        if own:  # the first are the links, which are read again
             dropped(roots)
-        roots = new.select("conv_id", "turn", "root")
+        roots, own = new.select("conv_id", "turn", "root"), True
         if not new.where("moved").limit(1).count():
             break
     known = links.join(roots, ["conv_id", "turn"])

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytesutil import U64, mixed_bits, powers, prefix_hash, ranges, slices, span_hash, trim
+from quillgraph.llm.rows import BOX, boxed, unboxed
 from quillgraph.llm.store import freed, written
 
 #: Bytes of a passage; any number from 32 to 250.
@@ -427,15 +428,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return spans
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"rp_id": F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), "rp_key": F.xxhash64("text")})
-
-
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select(F.col("rp_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("rp_key").alias("tkey")), least)
-    own = spans.groupBy(F.col("id").alias("sp_id"), F.col("tkey").alias("sp_key")).agg(F.collect_list("span").alias("rp_spans"))
-    return keyed.join(own, (F.col("rp_id") == F.col("sp_id")) & (F.col("rp_key") == F.col("sp_key")), "left").drop("sp_id", "sp_key")
+    """boxed docs with text and spans (null where nothing is covered)."""
+    rows = boxed(docs, text=F.col("text"), id=F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), tkey=F.xxhash64("text"))
+    spans = repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "tkey"), least)
+    own = spans.groupBy(F.col("id").alias("s_id"), F.col("tkey").alias("s_key")).agg(F.collect_list("span").alias("spans"))
+    return rows.join(own, (F.col("id") == F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left").select(BOX, "text", "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -471,7 +469,8 @@ def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = _with_spans(docs.select("doc_id", "text"), least).select("doc_id", "text", "rp_spans")
+    found = _with_spans(docs.select("doc_id", "text"), least)
+    found = found.select(F.col(BOX).getField("doc_id").alias("doc_id"), "text", "spans")
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -486,10 +485,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         return pd.Series([t if t is None or x is None or not len(x) else _kept(t.encode(), merged(x)).decode("utf-8", "ignore") for t, x in zip(text, spans)])
 
-    cut = kept(F.col("text"), F.col("rp_spans"))
     # Only texts with spans visit Python.
-    out = _with_spans(docs, least)
-    out = out.where("rp_spans is null").unionByName(out.where("rp_spans is not null").withColumn("text", cut))
+    rows = _with_spans(docs, least)
+    rows = rows.where("spans is null").unionByName(rows.where("spans is not null").withColumn("text", kept("text", "spans")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unboxed(rows, docs.columns, **changed)

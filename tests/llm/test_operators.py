@@ -207,7 +207,7 @@ def test_document_counts_are_exact(spark, monkeypatch):
         w = (t or "").lower().split()
         want.update({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else ())
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    sliced = neardup._sliced(neardup._keyed(table, "t0", "t1"))
+    sliced = neardup._sliced(table.select("*", *neardup._keyed(table, "t0", "t1")))
     signed = neardup._signed(sliced, neardup.document_counts(sliced, 2_800_000), len(rows)).collect()
     got = {r["doc_id"]: sorted(np.frombuffer(zlib.decompress(r["df"]), "<u4").tolist()) for r in signed}
     for i, t in rows:
