@@ -92,12 +92,23 @@ def test_regex_rules(spark):
     assert [(r["doc_id"], r["theme"], r["rank"]) for r in Q.theme_scores(d, Q.TRIGGERS).orderBy("doc_id", "rank").collect()] == [(1, "prose", 1), (2, "romance", 1), (2, "german", 2)]
 
 
-def test_lint(spark):
+def test_lint(spark, tmp_path):
     bad = {"elements": [{"id": "a", "type": "Result", "weight": 0.5, "sections": ["Results"], "pattern": "x"}, {"id": "a", "type": "Nope", "weight": 2, "sections": [], "pattern": "(", "captures": [""]}, 3]}
-    issues = lint.linted(spark, [("f", "rules", bad), ("t", "triggers", {"should": [["a"]], "topk": 0}), ("l", "lexicon", {"abbr": [["a"]]})])
+    issues = lint.linted(spark, [("f", "rules", bad), ("t", "triggers", {"should": [["a"]], "topk": 0}), ("l", "lexicon", {"abbr": [["a"]]}), ("n", "rules", None)])
     got = {(r["path"], r["where"]) for r in issues.where("kind = 'ERROR'").collect()}
-    assert got == {("f", "elements[1]"), ("f", "elements[1].captures[0]"), ("f", "elements[2]"), ("t", "name"), ("t", "should[0]"), ("t", "topk"), ("l", "abbr[0]")}
+    second = {("f", f"elements[1].{x}") for x in ("id", "type", "sections", "pattern", "captures[0]")}
+    assert got == second | {("f", "elements[2]"), ("t", "name"), ("t", "should[0]"), ("t", "topk"), ("l", "abbr[0]"), ("n", "file")}
     assert not lint.passes(issues) and lint.passes(lint.linted(spark, []), strict=True)
+    assert lint.exit_code(spark, str(tmp_path)) == 2
+    (tmp_path / "themes" / "x").mkdir(parents=True)
+    (tmp_path / "themes" / "x" / "triggers.yaml").write_text("name: x\nmust: [a]\n")
+    assert lint.exit_code(spark, str(tmp_path)) == 0 and lint.exit_code(spark, str(tmp_path), strict=True, report=str(tmp_path / "r.json")) == 2
+    assert "no version" in (tmp_path / "r.json").read_text()
+
+
+@pytest.mark.parametrize("pattern, n", [("a.*b", 1), ("a.*?b", 0), ("a.{0,9}b", 0), ("(?:.*)+", 2), ("(a+)*", 1), ("[a++]", 0), ("(x|y)z", 0), ("(", 1), (None, 0)])
+def test_doubtful_patterns(pattern, n):
+    assert len(lint.doubts(pattern)) == n
 
 
 TEX = r"""\documentclass{x} % comment
