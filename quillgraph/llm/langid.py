@@ -26,9 +26,6 @@ SAMPLE_ROWS = 64
 SAMPLE_CHARS = 16_000
 CHUNK = 512
 SLICE_CHARS = 2_000_000
-#: A text is in no learned language if its phrases cost more than FOREIGN times single letters of the language, by
-#: EVIDENCE bits: tables and lists in a language stay, and short texts always do.
-FOREIGN, EVIDENCE = 1.25, 400.0
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -107,8 +104,6 @@ class Languages:
         for i, c in enumerate(alphabet):
             self.code[ord(c)] = i + 1
         self.automata = [Automaton(self.coded(sample[x]).tolist(), self.letters) for x in self.names]
-        share = [np.bincount(self.coded(sample[x])) / max(1, len(sample[x])) for x in self.names]
-        self.entropy = [float(-(p[p > 0] * np.log2(p[p > 0])).sum()) for p in share]
         self.bits = np.array([np.log2(max(2, len(sample[x]))) for x in self.names])
 
     def coded(self, text: str) -> np.ndarray:
@@ -160,14 +155,14 @@ class Languages:
         return [self.names[i] for i in best], share
 
     def accepted(self, texts: list[str]) -> list[str | None]:
-        """The language of each text, None for one that is in none of them: its phrases take more bits, by EVIDENCE,
-        than FOREIGN times what as many letters of the language take one by one (the sample's entropy of letters)."""
-        count, frequent = self.phrases(texts)
-        cost = np.round(count * self.bits, 6)
-        best = np.lexsort((np.broadcast_to(np.arange(len(self.names)), cost.shape), -frequent, cost), axis=1)[:, 0]
-        out: list[str | None] = []
-        for text, k, bits in zip(texts, best, cost.min(axis=1)):
-            out.append(None if bits > FOREIGN * self.entropy[k] * len(text) + EVIDENCE else self.names[k])
+        """The language of each text, None for one that is in none of them: most of its letters occur in no sample, so
+        that no phrase can hold them."""
+        out: list[str | None] = list(self.decided(texts)[0])
+        for i, text in enumerate(texts):
+            low = text.lower()
+            unknown = np.flatnonzero(self.coded(low) == 0)
+            if len(unknown) and 2 * sum(low[k].isalpha() for k in unknown) > sum(map(str.isalpha, low)):
+                out[i] = None
         return out
 
 
@@ -217,7 +212,7 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
 
 
 def without_rejects(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """docs whose text is in some learned language, by its letters and by the parse's cost; a null lang becomes the
+    """docs whose text is in some learned language, by its letters and those of the samples; a null lang becomes the
     predicted one. Null texts and those without a letter go; without a learned language all do."""
     shared = docs.sparkSession.sparkContext.broadcast(labelled_sample(train))
     columns = docs.columns

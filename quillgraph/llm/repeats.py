@@ -429,11 +429,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """boxed docs with text and spans (null where nothing is covered)."""
-    rows = boxed(docs, text=F.col("text"), id=F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), tkey=F.xxhash64("text"))
-    spans = repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "tkey"), least)
+    """boxed docs with spans (null where nothing is covered)."""
+    rows = boxed(docs, id=F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), tkey=F.xxhash64("text"))
+    text = F.coalesce(F.col(BOX).getField("text"), F.lit(""))
+    spans = repeated_spans(rows.select("id", text.alias("text"), "tkey"), least)
     own = spans.groupBy(F.col("id").alias("s_id"), F.col("tkey").alias("s_key")).agg(F.collect_list("span").alias("spans"))
-    return rows.join(own, (F.col("id") == F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left").select(BOX, "text", "spans")
+    return rows.join(own, (F.col("id") == F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left").select(BOX, "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -470,7 +471,7 @@ def digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = _with_spans(docs.select("doc_id", "text"), least)
-    found = found.select(F.col(BOX).getField("doc_id").alias("doc_id"), "text", "spans")
+    found = found.select(F.col(BOX).getField("doc_id").alias("doc_id"), F.col(BOX).getField("text").alias("text"), "spans")
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -485,10 +486,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         return pd.Series([t if t is None or x is None or not len(x) else _kept(t.encode(), merged(x)).decode("utf-8", "ignore") for t, x in zip(text, spans)])
 
+    text = F.col(BOX).getField("text")
     # Only texts with spans visit Python.
-    rows = _with_spans(docs, least)
-    rows = rows.where("spans is null").unionByName(rows.where("spans is not null").withColumn("text", kept("text", "spans")))
-    changed = {"text": F.col("text")}
+    rows = _with_spans(docs, least).withColumn("cut", kept(F.when(F.col("spans").isNotNull(), text), F.col("spans")))
+    left = F.coalesce("cut", text)
+    changed = {"text": left}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.length(left).cast(docs.schema["n_chars"].dataType)
     return unboxed(rows, docs.columns, **changed)
