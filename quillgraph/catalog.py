@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,31 +42,37 @@ def _sentences(spark, sf_dir):
     return R.sentences(R.table(spark, sf_dir, "documents"))
 
 
-def _hits(spark, sf_dir):
-    return N.rule_hits(N.sentence_tokens(_sentences(spark, sf_dir)), dims.rule_steps(spark))
-
+def _nodes(spark, sf_dir):
+    return N.document_nodes(_sentences(spark, sf_dir))
 
-def _best(spark, sf_dir):
-    return N.best_types(N.sentence_scores(_sentences(spark, sf_dir), _hits(spark, sf_dir)))
 
+class Graph(NamedTuple):
+    """Of a corpus: nodes as they were found, raised by links and marked with the node that stands for them; their links,
+    all of them, checked, and final (strong ones, or the backbone)."""
 
-def _nodes(spark, sf_dir):
-    return N.document_nodes(_sentences(spark, sf_dir), dims.rule_steps(spark))
+    nodes: DataFrame
+    dedup: DataFrame
+    raw: DataFrame
+    checked: DataFrame
+    edges: DataFrame
 
 
-def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (written, as several joins read them), and all raw edges with the proximity candidates."""
-    nodes = written(_nodes(spark, sf_dir), "nodes")
-    candidates = E.proximity_candidates(spark, nodes)
-    near = E.proximity_edges(candidates)
-    return nodes, near.unionByName(E.long_edges(spark, nodes, near)), candidates
+def run_corpus(spark, sentences: DataFrame, pack=dims.PACK, boosts: dict[str, float] | None = None, by_section: bool = True) -> Graph:
+    """Sentences to the final graph: nodes, links of every kind, dedup, relation check, backbone. What several joins read
+    is written once."""
+    nodes = written(N.document_nodes(sentences, pack, boosts), "nodes")
+    said = written(E.features(nodes), "features")
+    folded = written(E.reinforced(E.proximity_candidates(spark, said, by_section)), "folded")
+    far = E.long_edges(spark, E.raised(said, folded), folded.where("dst is not null"))
+    raw = written(E.all_edges(folded, far, E.figure_edges(nodes)), "links")
+    dedup = written(G.node_dedup(E.raised(nodes, folded)), "dedup")
+    checked = written(G.edge_dedup(G.relinked(spark, G.remapped(raw, dedup))), "checked")
+    kept = G.kept_nodes(dedup)
+    return Graph(nodes, dedup, raw, G.with_backbone(spark, kept, checked), G.with_backbone(spark, kept, checked.where(F.col("conf") >= dims.GRAPH_MIN)))
 
 
-def _final(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Kept nodes and checked edges."""
-    nodes, edges, _ = _graph(spark, sf_dir)
-    dedup = written(G.node_dedup(nodes), "dedup")
-    return G.kept_nodes(dedup), written(G.edge_dedup(G.relinked(spark, G.remapped(edges, dedup))), "edges")
+def _graph(spark, sf_dir) -> Graph:
+    return run_corpus(spark, _sentences(spark, sf_dir))
 
 
 EDGE = "doc_id, src, dst, type, conf, hint"
@@ -101,7 +108,7 @@ def _(spark, sf):
 @query(
     "sentence_flags",
     O.sql(
-        f"SELECT doc_id, sent_idx, {O.NUMERIC.format('text')} AS has_numeric, {O.reference('text')} AS is_reference, {O.STRENGTH} AS strength, {O.HEAVY} AS heavy, regexp_matches(text, {O.q(X.NUMERIC_HINT)}) AS numeric_hint, len({O.REFS}) AS marks FROM s",
+        f"SELECT doc_id, sent_idx, {O.NUMERIC.format('text')} AS has_numeric, {O.reference('text')} AS is_reference, {O.STRENGTH} AS strength, {O.HEAVY} AS heavy, {O.NOTED} AS numeric_hint, len({O.REFS}) AS marks FROM s",
         "s",
     ),
 )
@@ -136,27 +143,28 @@ def _(spark, sf):
 
 @query("token_rule_match", O.sql("SELECT * FROM hits", "hits"))
 def _(spark, sf):
-    return _hits(spark, sf)
+    return N.rule_hits(_sentences(spark, sf))
 
 
 @query("rule_histogram", O.sql("SELECT rule, label, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS sentences FROM hits GROUP BY ALL", "hits"))
 def _(spark, sf):
-    return _hits(spark, sf).groupBy("rule", "label").agg(F.sum("hits").alias("hits"), F.count("*").alias("sentences"))
+    return N.rule_hits(_sentences(spark, sf)).groupBy("rule", "label").agg(F.sum("hits").alias("hits"), F.count("*").alias("sentences"))
 
 
 @query("sentence_scores", O.sql("SELECT doc_id, sent_idx, label, round(score, 6) AS score FROM scores", "scores"))
 def _(spark, sf):
-    return N.sentence_scores(_sentences(spark, sf), _hits(spark, sf)).withColumn("score", F.round("score", 6))
+    rows = N.scored(_sentences(spark, sf)).select("doc_id", "sent_idx", F.explode("scores").alias("x"))
+    return rows.select("doc_id", "sent_idx", "x.label", F.round("x.score", 6).alias("score"))
 
 
 @query("sentence_type", O.sql("SELECT doc_id, sent_idx, type, round(conf, 6) AS conf FROM best", "best"))
 def _(spark, sf):
-    return _best(spark, sf).select("doc_id", "sent_idx", "type", F.round("conf", 6).alias("conf"))
+    return N.best_types(N.scored(_sentences(spark, sf))).where("type <> ''").select("doc_id", "sent_idx", "type", F.round("conf", 6).alias("conf"))
 
 
 @query("sentence_decision", O.sql("SELECT doc_id, sent_idx, page, section, type, conf FROM d", "d"))
 def _(spark, sf):
-    return N.decided(_sentences(spark, sf), _best(spark, sf)).drop("text")
+    return N.decisions(_sentences(spark, sf)).drop("text", "place")
 
 
 @query("nodes", O.sql("SELECT doc_id, sent_idx, node_idx, id, type, conf, polarity FROM n", "n"))
@@ -166,7 +174,7 @@ def _(spark, sf):
 
 @query("node_counts", O.sql("SELECT doc_id, type, count(*) AS nodes FROM d GROUP BY ALL", "d"))
 def node_counts(spark, sf):
-    return N.decided(_sentences(spark, sf), _best(spark, sf)).groupBy("doc_id", "type").agg(F.count("*").alias("nodes"))
+    return N.decisions(_sentences(spark, sf)).groupBy("doc_id", "type").agg(F.count("*").alias("nodes"))
 
 
 @query("theme_router", O.sql("SELECT doc_id, CAST(coalesce(min(CASE WHEN c >= 6 THEN c END), max(c)) AS BIGINT) AS score FROM (SELECT doc_id, sum(CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(ci|or|vs)($|[^\\p{L}\\p{N}_])') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS c FROM s WHERE sent_idx < 400) GROUP BY doc_id", "s"))
@@ -176,88 +184,81 @@ def _(spark, sf):
 
 @query("proximity_edges", O.sql(f"SELECT {EDGE} FROM prox", "prox"))
 def _(spark, sf):
-    nodes = written(_nodes(spark, sf), "nodes")
-    return E.proximity_edges(E.proximity_candidates(spark, nodes))
-
-
-@query("longrange_edges", O.sql(f"SELECT {EDGE} FROM long", "long"))
-def _(spark, sf):
-    return _graph(spark, sf)[1].where("hint = 'longrange'")
+    said = written(E.features(_nodes(spark, sf)), "features")
+    return E.proximity_edges(E.proximity_candidates(spark, said))
 
 
-@query("reinforced_edges")
+@query("reinforced_edges", O.sql("SELECT doc_id, src, dst, type, conf FROM rein UNION ALL SELECT doc_id, en.key, NULL, NULL, round(en.value, 3) FROM lasts", "lasts"))
 def _(spark, sf):
-    return E.reinforced(_graph(spark, sf)[2])
+    said = written(E.features(_nodes(spark, sf)), "features")
+    return E.reinforced(E.proximity_candidates(spark, said)).select("doc_id", "src", "dst", "type", F.round("conf", 3).alias("conf"))
 
 
-@query("figtable_edges")
+@query("longrange_edges", O.sql(f"SELECT {EDGE} FROM long", "long"))
 def _(spark, sf):
-    return E.figure_edges(_nodes(spark, sf).withColumn("is_caption", F.trim("text").rlike("^(Figure|Table) ")))
+    return _graph(spark, sf).raw.where("hint = 'longrange'").drop("pos")
 
 
 @query("node_dedup", O.sql("SELECT doc_id, node_idx, kept, merged, polarity FROM nd", "nd"))
 def _(spark, sf):
-    return G.node_dedup(_nodes(spark, sf)).select("doc_id", "node_idx", "kept", "merged", "polarity")
+    return _graph(spark, sf).dedup.select("doc_id", "node_idx", "kept", "merged", "polarity")
 
 
 @query("relink_edges", O.sql(f"SELECT {EDGE} FROM rl", "rl"))
 def _(spark, sf):
-    nodes, edges, _ = _graph(spark, sf)
-    return G.relinked(spark, G.remapped(edges, G.node_dedup(nodes))).drop("st", "dt")
+    graph = _graph(spark, sf)
+    return G.relinked(spark, G.remapped(graph.raw, graph.dedup)).drop("pos", "st", "dt")
 
 
-@query("edge_dedup", O.sql(f"SELECT {EDGE} FROM ed", "ed"))
+@query("edge_dedup", O.sql(f"SELECT {EDGE} FROM ea", "ea"))
 def _(spark, sf):
-    return _final(spark, sf)[1].drop("st", "dt")
+    return _graph(spark, sf).checked.where("hint <> 'fallback'").drop("pos")
 
 
 @query("coherence", O.sql("SELECT doc_id, nodes, touched, hypotheses, results, round(coherence, 6) AS coherence, (results < 1 OR hypotheses < 1 OR coherence < 0.6e0) AS needs_llm FROM coh", "coh"))
 def _(spark, sf):
-    return G.coherence(*_final(spark, sf)).withColumn("coherence", F.round("coherence", 6))
+    graph = _graph(spark, sf)
+    return G.coherence(G.kept_nodes(graph.dedup), graph.checked).withColumn("coherence", F.round("coherence", 6))
 
 
 @query("degree", O.sql("SELECT doc_id, node_idx, count(*) AS degree FROM (SELECT doc_id, unnest([src, dst]) AS node_idx FROM ed) GROUP BY ALL", "ed"))
 def _(spark, sf):
-    return G.degrees(_final(spark, sf)[1])
+    return G.degrees(_graph(spark, sf).edges)
 
 
-@query(
-    "backbone",
-    O.sql(
-        "SELECT a.doc_id, a.node_idx AS src, b.node_idx AS dst, CASE WHEN etype = 'supports' AND a.polarity = 'negative' THEN 'refutes' ELSE etype END AS type, 0.56e0 AS conf, 'fallback' AS hint FROM "
-        "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY node_idx) AS k FROM kn WHERE doc_id NOT IN (SELECT doc_id FROM ed)) WHERE k <= 2) a "
-        "JOIN (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)}, {O.q(t)})" for a, b, t in dims.BACKBONE) + ") v(st, dt, etype) ON a.type = st "
-        "JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY node_idx) AS k FROM kn) WHERE k <= 2) b ON a.doc_id = b.doc_id AND b.type = dt",
-        "ed",
-    ),
-)
+@query("backbone", O.sql(f"SELECT {EDGE} FROM ed WHERE hint = 'fallback'", "ed"))
 def _(spark, sf):
-    return G.backbone(spark, *_final(spark, sf))
+    return _graph(spark, sf).edges.where("hint = 'fallback'").drop("pos")
 
 
-COLUMN = O.case({t: i for i, t in enumerate(dims.TYPES)}, "type", default="8", show=str)
+@query("final_graph", O.sql(f"SELECT {EDGE} FROM ed", "ed"))
+def _(spark, sf):
+    return _graph(spark, sf).edges.drop("pos")
+
+
+COLUMN = O.case({t: i for i, t in enumerate(O.TYPES)}, "type", default="8", show=str)
 
 
 @query("layout_columns", O.sql(f"SELECT *, col * 320 + 120 AS x, \"row\" * 100 + 250 AS y FROM (SELECT doc_id, node_idx, {COLUMN} AS col, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY page, sent_idx, node_idx) - 1 AS INTEGER) AS \"row\" FROM kn)", "kn"))
 def _(spark, sf):
-    return G.layout(G.kept_nodes(G.node_dedup(_nodes(spark, sf))))
+    return G.layout(G.kept_nodes(_graph(spark, sf).dedup))
 
 
 @query(
     "llm_payload_topk",
     O.sql(
         f"SELECT doc_id, node_idx, type, CAST(k AS INTEGER) AS k, CASE WHEN length(text) <= 220 THEN text WHEN instr(substr(text, 221, 40), '.') > 0 THEN left(text, 220 + instr(substr(text, 221, 40), '.')) || '…' ELSE left(text, 220) || '…' END AS text "
-        f"FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY conf DESC, node_idx) AS k FROM kn) WHERE k <= {O.case(dims.PAYLOAD, 'type', default='0', show=str)}",
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY conf DESC, node_idx) AS k FROM kn) WHERE k <= {O.case(O.PAYLOAD, 'type', default='0', show=str)}",
         "kn",
     ),
 )
 def _(spark, sf):
-    return G.payload(G.kept_nodes(G.node_dedup(_nodes(spark, sf))))
+    return G.payload(G.kept_nodes(_graph(spark, sf).dedup))
 
 
-@query("ui_fanout", O.sql("SELECT doc_id, src, dst, type, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src ORDER BY dst, type) AS k FROM ed) WHERE k <= 3", "ed"))
+@query("ui_fanout", O.sql("SELECT doc_id, src, dst, type, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src ORDER BY pos, dst, type) AS k FROM ed) WHERE k <= 3", "ed"))
 def _(spark, sf):
-    return G.fan_out(_final(spark, sf)[1])
+    return G.fan_out(_graph(spark, sf).edges)
 
 
 @query("top12_per_label", O.sql("SELECT type, CAST(nth AS INTEGER) AS nth, doc_id, sent_idx, conf FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY conf DESC, doc_id, sent_idx) AS nth FROM n) WHERE nth <= 12", "n"))
@@ -290,7 +291,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return G.quality(*_final(spark, sf))
+    graph = _graph(spark, sf)
+    return G.quality(G.kept_nodes(graph.dedup), graph.edges, graph.checked)
 
 
 @query("status_latest", "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -303,17 +305,22 @@ def _(spark, sf):
     return jobs.durations(R.table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "micros")
 
 
-TYPE_WORDS = ["Hypotesis", "methodology", "cohort", "Data", "Result", "observations", "Input Fact", "assumption", "Conclusions", "analyses", "evidence", "nothing", " Experiment "]
+TYPE_WORDS = ["Hypotesis", "methodology", "cohort", "Data", "data:", "-Data set-", "Result", "observations", "Input Fact", "input", "HYP", "assumption", "Conclusions", "analyses", "evidence", "nothing", " Experiment "]
 
 
 @query(
     "normalize_types",
-    "SELECT raw, CASE WHEN trim(raw) IN (" + ", ".join(O.q(t) for t in dims.TYPES) + ") THEN trim(raw) WHEN contains(l, 'hypo') THEN 'Hypothesis' WHEN contains(l, 'experi') THEN 'Experiment' WHEN regexp_matches(l, 'techni|method') THEN 'Technique' "
-    "WHEN regexp_matches(l, 'result|observ|finding|eviden') THEN 'Result' WHEN regexp_matches(l, 'dataset|data set|corpus|benchmark|cohort') OR l = 'data' THEN 'Dataset' WHEN contains(l, 'conclu') THEN 'Conclusion' WHEN contains(l, 'analys') THEN 'Analysis' "
-    "WHEN regexp_matches(l, 'fact|assump') THEN 'Input Fact' ELSE 'Other' END AS type FROM (SELECT raw, lower(trim(raw)) AS l FROM (VALUES " + ", ".join(f"({O.q(w)})" for w in TYPE_WORDS) + ") v(raw))",
+    O.sql(
+        "SELECT raw, CASE WHEN list_contains(" + O.listed(O.TYPES) + ", trim(raw)) THEN trim(raw) WHEN contains(l, 'hypo') THEN 'Hypothesis' WHEN contains(l, 'experi') THEN 'Experiment' WHEN regexp_matches(l, 'techni|method') THEN 'Technique' "
+        "WHEN regexp_matches(l, 'result|observ|finding|eviden') THEN 'Result' WHEN regexp_matches(l, 'dataset|data set|corpus|benchmark|cohort') OR l = 'data' THEN 'Dataset' WHEN contains(l, 'conclu') THEN 'Conclusion' WHEN contains(l, 'analys') THEN 'Analysis' "
+        "WHEN regexp_matches(l, 'fact|assump') THEN 'Input Fact' WHEN lower(trim(raw)) = 'input' THEN 'Input Fact' WHEN lower(trim(raw)) = 'hyp' THEN 'Hypothesis' ELSE 'Other' END AS type "
+        "FROM (SELECT raw, trim(lower(trim(raw)), ' :._-') AS l FROM (SELECT * FROM (VALUES " + ", ".join(f"({O.q(w)})" for w in TYPE_WORDS) + ") v(raw) UNION SELECT string_split(text, ' ')[1] FROM s))",
+        "s",
+    ),
 )
 def _(spark, sf):
-    return spark.createDataFrame([(w,) for w in TYPE_WORDS], "raw string").withColumn("type", X.normalize_type(F.col("raw")))
+    words = spark.createDataFrame([(w,) for w in TYPE_WORDS], "raw string").unionByName(_sentences(spark, sf).select(F.get(F.split("text", " "), F.lit(0)).alias("raw"))).distinct()
+    return words.withColumn("type", X.normalize_type(F.col("raw")))
 
 
 @query("pattern_hits", OR.PATTERN_HITS)
@@ -387,7 +394,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    nodes, edges = _final(spark, sf)
+    graph = _graph(spark, sf)
+    nodes, edges = G.kept_nodes(graph.dedup), graph.edges
     counted = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     sentences = _sentences(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), (F.max("page") + 1).alias("page_count"))
     rows = R.table(spark, sf, "documents").select("doc_id")
@@ -418,7 +426,8 @@ def linked_by_type(prompt: str) -> str:
 
 @query("llm_refined_edges")
 def _(spark, sf):
-    nodes, edges = _final(spark, sf)
+    graph = _graph(spark, sf)
+    nodes, edges = G.kept_nodes(graph.dedup), graph.edges
     asked = written(RF.prompts(nodes, edges), "prompts")
     cache = spark.createDataFrame([], "key string, answer string, ts long")
     cache = cache.unionByName(written(RF.answered(asked, cache, linked_by_type), "answers"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillgraph.plans import dims
 
-CITE_AUTHOR = r"\([A-Z][a-zA-Z-]+( et al\.)?( *& *[A-Z][a-zA-Z-]+)?,? *[0-9]{4}[a-z]?\)"
-CITE_NUMBER = r"\[[0-9]+( *[-–] *[0-9]+)?( *, *[0-9]+)*\]"
-NOT_CITE = r"(?i)\((n *= *[0-9]+|p *[<≤] *0\.[0-9]+|Fig\.|Table|Eq\.)"
-NUMERIC_HINT = r"(?i)([0-9]+(\.[0-9]+)? ?%|by +[0-9]+(\.[0-9]+)?|p *[<≤] *0\.0[1-5]|\bAUC\b|\bRMSE\b)"
-REFERENCE_WORD = r"(?i)(^|[^\p{L}\p{N}_])(vol|no|pp|doi|issn|et al\.[\p{L}\p{N}_])($|[^\p{L}\p{N}_])"
-YEAR = r"(^|[^0-9])(19|20)[0-9]{2}($|[^0-9])"
-PAGES = r"(^|[^0-9])[0-9]{1,4} *[–-] *[0-9]{1,4}($|[^0-9])"
+# What counts as a citation, a number of note, a reference's line, and a mark of a figure or table.
+CITE_AUTHOR = r"\([A-Z][a-zA-Z-]+(?:\s+et\s+al\.)?(?:\s*&\s*[A-Z][a-zA-Z-]+)?,?\s*[0-9]{4}[a-z]?\)"
+CITE_NUMBER = r"\[[0-9]+(?:\s*[-–]\s*[0-9]+)?(?:\s*,\s*[0-9]+)*\]"
+NOT_CITE = r"(?i)\((?:n\s*=\s*[0-9]+|p\s*[<≤]\s*0\.[0-9]+|Fig\.|Table|Eq\.)"
+NUMERIC_HINT = r"(?iU)(?:\b[0-9]+(?:\.[0-9]+)?\s?%|\bby\s+[0-9]+(?:\.[0-9]+)?\b|\bp\s*[<≤]\s*0\.0[1-5]\b|\bAUC\b|\bRMSE\b)"
+REFERENCE_WORD = r"(?iU)\b(?:vol\.?|no\.?|pp\.?|doi:?|issn|et al\.)\b"
+YEAR = r"(?U)\b(?:19|20)[0-9]{2}\b"
+PAGES = r"(?U)\b[0-9]{1,4}\s*[–-]\s*[0-9]{1,4}\b"
+FIGURE, TABLE = r"(?i)\b(?:Fig\.|Figure)\s*([IVXLC0-9]+)\b", r"(?i)\bTable\s*([IVXLC0-9]+)\b"
 
 
 def tokens(text: Column) -> Column:
@@ -45,11 +49,8 @@ def edge_tokens(text: Column) -> Column:
 
 def references(text: Column) -> Column:
     """Figure and table marks such as F2 or TIV."""
-    def found(word: str, mark: str) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(rf"(?i)\b{word}\.? *([0-9]+|[IVX]+)\b"), F.lit(1))
-        return F.transform(hits, lambda x: F.concat(F.lit(mark), F.upper(x)))
-
-    return F.array_distinct(F.concat(found("(?:Figure|Fig)", "F"), found("(?:Table|Tab)", "T")))
+    found = lambda pattern, mark: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(mark), F.upper(x)))
+    return F.array_distinct(F.concat(found(FIGURE, "F"), found(TABLE, "T")))
 
 
 def norm_text(text: Column) -> Column:
@@ -77,16 +78,29 @@ def head_hint(head: Column) -> Column:
 
 
 def normalize_type(t: Column) -> Column:
-    low = F.lower(F.trim(t))
-    has = lambda *words: F.greatest(*[low.contains(w) for w in words]) if len(words) > 1 else low.contains(words[0])
+    """Any spelling of a type as one of the eight, else Other: signs around it do not count, the first word that fits does."""
+    exact = F.trim(t)
+    low = F.regexp_replace(F.lower(exact), "^[ :._-]+|[ :._-]+$", "")
+    has = lambda *words: reduce(Column.__or__, [low.contains(w) for w in words])
     return (
-        F.when(F.trim(t).isin(*dims.TYPES), F.trim(t)).when(has("hypo"), "Hypothesis").when(has("experi"), "Experiment")
+        F.when(exact.isin(*dims.TYPES), exact).when(has("hypo"), "Hypothesis").when(has("experi"), "Experiment")
         .when(has("techni", "method"), "Technique").when(has("result", "observ", "finding", "eviden"), "Result")
         .when(has("dataset", "data set", "corpus", "benchmark", "cohort") | (low == "data"), "Dataset")
-        .when(has("conclu"), "Conclusion").when(has("analys"), "Analysis").when(has("fact", "assump"), "Input Fact").otherwise("Other")
+        .when(has("conclu"), "Conclusion").when(has("analys"), "Analysis").when(has("fact", "assump"), "Input Fact")
+        .otherwise(dims.lookup(dims.SYNONYMS, F.lower(exact), default="Other"))
     )
 
 
+def imrad_norm(section: Column) -> Column:
+    """The standard section that a section name stands for."""
+    return dims.lookup(dims.IMRAD, F.upper(F.coalesce(section, F.lit(""))), default="OTHER")
+
+
+def canon_type(t: Column) -> Column:
+    """A type whatever its case and spaces; null for what is none."""
+    return dims.lookup({x.lower().replace(" ", ""): x for x in dims.TYPES}, F.replace(F.lower(t), F.lit(" "), F.lit("")), default=None)
+
+
 def soft_cut(text: Column, most: int = 220, slack: int = 40) -> Column:
     """At most `most` characters, longer by up to `slack` to end with a sentence, with an ellipsis if cut."""
     stop = F.locate(".", F.substring(text, most + 1, slack))
@@ -94,21 +108,23 @@ def soft_cut(text: Column, most: int = 220, slack: int = 40) -> Column:
 
 
 def polarity(text: Column) -> Column:
-    """Outcome of a sentence by lemma; a negation right before a word turns it (or, for a harm, voids it).
+    """Outcome of a sentence by lemma. A negated word counts for neither side; a negated harm voids all harms; a phrase of
+    a missing effect is a harm; both sides or none are neutral. Negations reach the next word.
 
     Words after a negation are counted apart from all, so that no lookup runs word by word.
     """
     low = F.lower(text)
-    phrase = F.greatest(*[low.contains(p) for p in dims.NEGATIVE_PHRASES])
+    phrase = reduce(Column.__or__, [low.contains(p) for p in dims.NEGATIVE_PHRASES])
+    negation, word = r"(?:(?<![a-z0-9])(?:not|never)|n['’]t)[^a-z0-9]+", "(?<![a-z0-9])"
 
-    def count(lemmas: list[str], before: str = "") -> Column:
+    def count(lemmas: list[str], before: str) -> Column:
         forms = "|".join(form for w in lemmas for form in inflections(w))
-        return F.regexp_count(low, F.lit(f"(?<![a-z0-9]){before}(?:{forms})(?![a-z0-9])"))
+        return F.regexp_count(low, F.lit(f"{before}(?:{forms})(?![a-z0-9])"))
 
-    after = "(?:no|not|never)[^a-z0-9]+"
-    plain = lambda lemmas: count(lemmas) > count(lemmas, after)
-    harm = plain(dims.NEGATIVE) | (count([w for w in dims.NEGATIVE if w not in dims.NEUTRALISED], after) > 0) | (count(dims.POSITIVE, after) > 0)
-    return F.when(phrase | harm, "negative").when(plain(dims.POSITIVE), "positive").otherwise("neutral")
+    plain = lambda lemmas: count(lemmas, word) > count(lemmas, negation)
+    void = (count(dims.NEUTRALISED, negation) > 0) | (count(dims.NEUTRALISED, word + "no[^a-z0-9]+") > 0)
+    good, harm = plain(dims.POSITIVE), phrase | (~void & plain(dims.NEGATIVE))
+    return F.when(good & ~harm, "positive").when(harm & ~good, "negative").otherwise("neutral")
 
 
 def inflections(lemma: str) -> list[str]:

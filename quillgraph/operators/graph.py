@@ -31,7 +31,7 @@ def remapped(edges: DataFrame, dedup: DataFrame) -> DataFrame:
     ends = dedup.select("doc_id", F.col("node_idx").alias("n"), F.col("kept"), F.col("type").alias("t"), F.col("polarity").alias("p"))
     a = ends.select("doc_id", F.col("n").alias("src"), F.col("kept").alias("ksrc"), F.col("t").alias("st"), F.col("p").alias("sp"))
     b = ends.select("doc_id", F.col("n").alias("dst"), F.col("kept").alias("kdst"), F.col("t").alias("dt"), F.col("p").alias("dp"))
-    return edges.join(a, ["doc_id", "src"]).join(b, ["doc_id", "dst"]).select("doc_id", F.col("ksrc").alias("src"), F.col("kdst").alias("dst"), "type", "conf", "hint", "st", "dt", "sp", "dp")
+    return edges.join(a, ["doc_id", "src"]).join(b, ["doc_id", "dst"]).select("doc_id", F.col("ksrc").alias("src"), F.col("kdst").alias("dst"), "type", "conf", "hint", "pos", "st", "dt", "sp", "dp")
 
 
 def relinked(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -42,12 +42,20 @@ def relinked(spark: SparkSession, edges: DataFrame) -> DataFrame:
     joined = edges.join(allowed, ["st", "dt"]).withColumn("fallback", default)
     ok = F.expr("array_contains(kinds, type)")
     hint = F.when(ok, F.col("hint")).otherwise(F.concat("hint", F.lit(";retyped")))
-    return joined.where(ok | F.expr("array_contains(kinds, fallback)")).select("doc_id", "src", "dst", F.when(ok, F.col("type")).otherwise(F.col("fallback")).alias("type"), "conf", hint.alias("hint"), "st", "dt")
+    return joined.where(ok | F.expr("array_contains(kinds, fallback)")).select("doc_id", "src", "dst", F.when(ok, F.col("type")).otherwise(F.col("fallback")).alias("type"), "conf", hint.alias("hint"), "pos", "st", "dt")
 
 
-def edge_dedup(edges: DataFrame, least: float = dims.GRAPH_MIN) -> DataFrame:
-    """One edge for each (source, target, type): the most confident, then the first hint; below `least` none."""
-    return edges.where(F.col("conf") >= least).groupBy("doc_id", "src", "dst", "type", "st", "dt").agg(F.max("conf").alias("conf"), F.min_by("hint", F.struct(-F.col("conf"), F.col("hint"))).alias("hint"))
+def edge_dedup(edges: DataFrame) -> DataFrame:
+    """One edge for each (source, target, type): the most confident, of equal ones the first."""
+    best = F.min(F.struct((-F.col("conf")).alias("c"), "pos", "hint"))
+    found = edges.groupBy("doc_id", "src", "dst", "type").agg(best.alias("b"), F.min("pos").alias("pos"))
+    return found.select("doc_id", "src", "dst", "type", (-F.col("b.c")).alias("conf"), F.col("b.hint").alias("hint"), "pos")
+
+
+def with_backbone(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges, and the backbone of the documents that have none."""
+    last = F.struct(F.lit(9).alias("a"), F.col("src").alias("b"), F.col("dst").alias("c"), F.lit(0).alias("d"), F.lit("").alias("e"))
+    return edges.unionByName(backbone(spark, nodes, edges).withColumn("pos", last))
 
 
 def coherence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,9 +84,10 @@ def backbone(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFra
 
 
 def layout(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_idx, col, row, x, y): a column for each type, rows by page, sentence and number."""
+    """(doc_id, node_idx, col, row, x, y): a column for each type, rows by page, sentence, height on the page (y0, if
+    there) and number; what has none of them, or a negative one, comes last."""
     col = dims.lookup({t: i for i, t in enumerate(dims.TYPES)}, F.col("type"), default=8)
-    order = Window.partitionBy("doc_id", "type").orderBy("page", "sent_idx", "node_idx")
+    order = Window.partitionBy("doc_id", "type").orderBy(*[F.when(F.col(c) >= 0, F.col(c)).asc_nulls_last() for c in ("page", "sent_idx", "y0") if c in nodes.columns], "node_idx")
     out = nodes.select("doc_id", "node_idx", col.alias("col"), (F.row_number().over(order) - 1).alias("row"))
     return out.withColumns({"x": F.col("col") * 320 + 120, "y": F.col("row") * 100 + 250})
 
@@ -91,7 +100,8 @@ def payload(nodes: DataFrame) -> DataFrame:
 
 
 def fan_out(edges: DataFrame, most: int = 3) -> DataFrame:
-    order = Window.partitionBy("doc_id", "src").orderBy("dst", "type")
+    """The first edges of each source that a view shows, in the order of the edges (pos)."""
+    order = Window.partitionBy("doc_id", "src").orderBy("pos", "dst", "type")
     return edges.where(F.col("conf") >= dims.GRAPH_MIN).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "src", "dst", "type", "k")
 
 
@@ -112,11 +122,11 @@ def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per.select("type", "doc_id", "nodes", "mean_conf")
 
 
-def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def quality(nodes: DataFrame, edges: DataFrame, checked: DataFrame) -> DataFrame:
     """Q = .35 types present + .25 confident nodes + .25 coherence + .15 edges a node; bands green, yellow, red."""
     per = nodes.groupBy("doc_id").agg(F.countDistinct("type").alias("types"), F.avg(F.when(F.col("conf") >= 0.6, 1.0).otherwise(0.0)).alias("sure"), F.count("*").alias("nodes"))
     links = edges.groupBy("doc_id").agg(F.count("*").alias("edges"))
-    c = coherence(nodes, edges).select("doc_id", "coherence")
+    c = coherence(nodes, checked).select("doc_id", "coherence")
     q = F.col("types") / 8.0 * 0.35 + F.col("sure") * 0.25 + F.col("coherence") * 0.25 + F.least(F.lit(1.0), F.coalesce("edges", F.lit(0)) / F.col("nodes")) * 0.15
     out = per.join(c, "doc_id").join(links, "doc_id", "left").select("doc_id", F.round(q, 6).alias("q"))
     return out.withColumn("band", F.when(F.col("q") >= 0.75, "green").when(F.col("q") >= 0.6, "yellow").otherwise("red"))

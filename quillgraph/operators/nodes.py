@@ -1,69 +1,104 @@
-"""Token rules, scores and the decision chain that turns sentences into nodes."""
+"""Token rules, scores and the decision chain that turns sentences into nodes: all within a sentence's row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.plans import dims
 
 
-def sentence_tokens(sentences: DataFrame) -> DataFrame:
-    return sentences.select("doc_id", "sent_idx", F.posexplode(X.tokens(F.col("text"))).alias("i", "token"))
+def _occurrences(joined: Column, words: list[str]) -> Column:
+    """How often the words follow each other in tokens joined as <a><b><c>."""
+    mark = "".join(f"<{w}>" for w in words)
+    if any(words[:k] == words[-k:] for k in range(1, len(words))):  # occurrences may overlap
+        return F.regexp_count(joined, F.lit(f"(?={mark})"))
+    return ((F.length(joined) - F.length(F.replace(joined, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+
+
+def matched(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
+    """sentences with counts: one number for each rule of the pack. Nothing is exploded, joined or shuffled."""
+    joined = F.concat(F.lit("<"), F.array_join(X.tokens(F.col("text")), "><"), F.lit(">"))
+    rows = sentences.withColumn("joined", joined)
+    return rows.withColumn("counts", F.array(*[_occurrences(F.col("joined"), words) for _, _, words in pack])).drop("joined")
+
+
+def rule_hits(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
+    """(doc_id, sent_idx, rule, label, hits): the rules that a sentence meets."""
+    found = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("label"), F.get("counts", F.lit(i)).cast("long").alias("hits")) for i, (rule, label, _) in enumerate(pack)])
+    return matched(sentences, pack).select("doc_id", "sent_idx", F.explode(F.filter(found, lambda h: h["hits"] > 0)).alias("h")).select("doc_id", "sent_idx", "h.*")
+
+
+def hit_map(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
+    """(doc_id, sent_idx, rules): rule to hits, of the sentences with any."""
+    entries = F.array(*[F.struct(F.lit(rule).alias("key"), F.get("counts", F.lit(i)).alias("value")) for i, (rule, _, _) in enumerate(pack)])
+    found = matched(sentences, pack).withColumn("found", F.filter(entries, lambda x: x["value"] > 0))
+    return found.where(F.size("found") > 0).select("doc_id", "sent_idx", F.map_from_entries("found").alias("rules"))
 
 
-def rule_hits(tokens: DataFrame, steps: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, rule, label, hits): one hit for each start at which all steps of a rule line up.
+def scored(sentences: DataFrame, pack=dims.PACK, boosts: dict[str, float] | None = None) -> DataFrame:
+    """sentences with scores, an array of (label, score) of the labels hit: hits times section prior, type weight and
+    theme boost, with numeric bonus and hedging."""
+    rows = matched(sentences, pack).withColumns({
+        "bonus": F.when(X.has_numeric(F.col("text")), dims.NUMERIC_BONUS).otherwise(0.0),
+        "hedge": F.when(F.arrays_overlap(X.tokens(F.col("text")), F.array(*[F.lit(h) for h in dims.HEDGES])), dims.HEDGE_PENALTY).otherwise(0.0),
+    })
+    entries = []
+    for t in dims.TYPES:
+        own = [F.get("counts", F.lit(i)) for i, (_, label, _) in enumerate(pack) if label == t]
+        if own:
+            raw = reduce(Column.__add__, own).cast("double")
+            score = raw * dims.lookup({s: x for (s, label), x in dims.PRIORS.items() if label == t}, F.col("section"), default=1.0) * dims.BASE.get(t, 1.0) * (boosts or {}).get(t, 1.0)
+            if t in ("Result", "Analysis", "Dataset"):
+                score = score + F.col("bonus")
+            entries.append(F.struct(F.lit(t).alias("label"), F.when(raw > 0, score - F.col("hedge")).alias("score")))
+    return rows.withColumn("scores", F.filter(F.array(*entries), lambda x: x["score"].isNotNull())).drop("counts", "bonus", "hedge")
 
-    steps is the rule pack, read by the driver; its rows are the steps of the rules.
+
+def best_types(rows: DataFrame) -> DataFrame:
+    """scored rows with type, conf and conclusion (the score of Conclusion): the best label, ties by the fixed order; a
+    sentence without a hit has type '' and conf 0."""
+    order = lambda label: dims.lookup({t: -i for i, t in enumerate(dims.TIE_ORDER)}, label, default=-99)
+    best = F.array_max(F.transform("scores", lambda x: F.struct(x["score"].alias("score"), order(x["label"]).alias("o"), x["label"].alias("label"))))
+    own = F.get(F.filter("scores", lambda x: x["label"] == "Conclusion"), F.lit(0))
+    rows = rows.withColumns({"best": best, "conclusion": F.coalesce(own["score"], F.lit(0.0))})
+    return rows.withColumns({"type": F.coalesce(F.col("best.label"), F.lit("")), "conf": F.coalesce(F.col("best.score"), F.lit(0.0))}).drop("best", "scores")
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """The chain after scoring, each step on the outcome of the one before; rows below NODE_MIN stay out.
+
+    rows: best_types; has_citation, citation_strength, is_caption and caption_type are read if they are there.
     """
-    lined = tokens.join(F.broadcast(steps), F.col("token") == F.col("value")).groupBy("doc_id", "sent_idx", "rule", "label", "len", (F.col("i") - F.col("step")).alias("start")).agg(
-        F.countDistinct("step").alias("met")
-    )
-    return lined.where("met = len").groupBy("doc_id", "sent_idx", "rule", "label").agg(F.count("*").alias("hits"))
-
-
-def sentence_scores(sentences: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, label, score): hits times section prior and type weight, with numeric bonus and hedging."""
-    raw = hits.groupBy("doc_id", "sent_idx", "label").agg(F.sum("hits").cast("double").alias("raw"))
-    label = F.col("label")
-    bonus = F.when(label.isin("Result", "Analysis", "Dataset") & X.has_numeric(F.col("text")), dims.NUMERIC_BONUS).otherwise(0.0)
-    hedge = F.when(F.arrays_overlap(X.tokens(F.col("text")), F.array(*[F.lit(h) for h in dims.HEDGES])), dims.HEDGE_PENALTY).otherwise(0.0)
-    score = F.col("raw") * dims.lookup(dims.PRIORS, F.col("section"), label, default=1.0) * dims.lookup(dims.BASE, label, default=1.0)
-    return raw.join(sentences, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "label", (score + bonus - hedge).alias("score"))
-
-
-def best_types(scores: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, type, conf, conclusion): the best label; ties by the fixed order."""
-    order = dims.lookup({t: i for i, t in enumerate(dims.TIE_ORDER)}, F.col("label"), default=99)
-    best = F.max(F.struct("score", (-order).alias("o"), "label"))
-    return scores.groupBy("doc_id", "sent_idx").agg(best.alias("b"), F.max(F.when(F.col("label") == "Conclusion", F.col("score"))).alias("conclusion")).select(
-        "doc_id", "sent_idx", F.col("b.label").alias("type"), F.col("b.score").alias("conf"), F.coalesce("conclusion", F.lit(0.0)).alias("conclusion")
-    )
-
-
-def decided(sentences: DataFrame, best: DataFrame) -> DataFrame:
-    """The chain after scoring, each step on the outcome of the one before; rows below NODE_MIN stay out."""
-    t, text, sec = F.col("type"), F.col("text"), F.col("section")
-    rows = best.join(sentences, ["doc_id", "sent_idx"])
+    t, text, sec, conf = F.col("type"), F.col("text"), F.col("section"), F.col("conf")
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in rows.columns else F.lit(default)
+    cited, strength = given("has_citation", False), given("citation_strength", 0.0)
+    caption, kind = given("is_caption", False), given("caption_type", "")
+    place = F.when(caption & kind.isin("Figure", "Table"), F.concat(kind, F.lit("Caption"))).otherwise("Body")
+    rows = rows.withColumns({"cited": cited, "strength": F.when(strength > 0, strength).otherwise(X.citation_strength(text)), "captioned": caption & kind.isin("Figure", "Table"), "place": place})
     guard = (sec == "REFERENCES") | X.looks_like_reference(text)
-    rows = rows.withColumns({"type": F.when(guard, "Other").otherwise(t), "conf": F.when(guard, 0.39).otherwise(F.col("conf"))})
-    gain = F.least(F.lit(0.12), F.lit(0.08) * F.round(X.citation_strength(text) * 10) / 10)
-    rows = rows.withColumn("conf", F.when(t.isin("Input Fact", "Result", "Conclusion"), F.least(F.lit(1.0), F.col("conf") + gain)).otherwise(F.col("conf")))
-    rows = rows.withColumn("conf", F.when(X.citation_heavy(text), F.greatest(F.lit(0.0), F.col("conf") - 0.08)).otherwise(F.col("conf")))
-    weak = (t == "Input Fact") & (F.col("conf") < dims.NODE_MIN + 0.02)
-    rows = rows.withColumns({"type": F.when(weak, "Other").otherwise(t), "conf": F.when(weak, 0.39).otherwise(F.col("conf"))})
+    rows = rows.withColumns({"type": F.when(guard, "Other").otherwise(t), "conf": F.when(guard, 0.39).otherwise(conf)})
+    gain = F.least(F.lit(0.12), F.lit(0.08) * F.round(F.col("strength") * 10) / 10)
+    rows = rows.withColumn("conf", F.when(t.isin("Input Fact", "Result", "Conclusion"), F.least(F.lit(1.0), conf + gain)).otherwise(conf))
+    rows = rows.withColumn("conf", F.when(F.col("cited") & (t == "Input Fact"), F.least(F.lit(1.0), conf + dims.CITED_FACT)).otherwise(conf))
+    rows = rows.withColumn("conf", F.when(X.citation_heavy(text), F.greatest(F.lit(0.0), conf - 0.08)).otherwise(conf))
+    weak = (t == "Input Fact") & ~F.col("cited") & (conf < dims.NODE_MIN + 0.02)
+    rows = rows.withColumns({"type": F.when(weak, "Other").otherwise(t), "conf": F.when(weak, 0.39).otherwise(conf)})
     low = F.trim(F.lower(text))
-    opens = F.greatest(*[low.startswith(p) for p in ("these results", "overall", "in conclusion", "in summary")])
-    says = F.greatest(*[low.contains(p) for p in ("suggest", "indicate", "support", "imply", "show")])
-    turns = (F.col("conf") >= dims.NODE_MIN) & sec.isin("DISCUSSION", "RESULTS") & opens & says & (F.col("conclusion") >= F.col("conf") * 0.9) & (t != "Conclusion")
-    rows = rows.withColumns({"type": F.when(turns, "Conclusion").otherwise(t), "conf": F.when(turns & (sec == "DISCUSSION"), F.greatest("conf", F.lit(0.52))).otherwise(F.col("conf"))})
-    pull = t.isin("Other", "Input Fact", "Analysis") & (sec == "RESULTS") & text.rlike(X.NUMERIC_HINT)
-    rows = rows.withColumns({"type": F.when(pull, "Result").otherwise(t), "conf": F.when(pull, F.greatest("conf", F.lit(0.46))).otherwise(F.col("conf"))})
+    opens = low.rlike("^(these results|overall|in conclusion|in summary)")
+    says = low.rlike("suggest|indicate|support|imply|show")
+    turns = (t != "") & (conf >= dims.NODE_MIN) & sec.isin("DISCUSSION", "RESULTS") & opens & says & (F.col("conclusion") >= conf * 0.9) & (t != "Conclusion")
+    rows = rows.withColumns({"type": F.when(turns, "Conclusion").otherwise(t), "conf": F.when(turns & (sec == "DISCUSSION"), F.greatest("conf", F.lit(0.52))).otherwise(conf)})
+    rows = rows.withColumn("conf", F.when(F.col("captioned") & t.isin(*dims.CAPTIONED), F.least(F.lit(1.0), conf + dims.CAPTION_BOOST)).otherwise(conf))
+    pull = t.isin("Other", "Input Fact", "Analysis") & sec.startswith("RESULT") & text.rlike(X.NUMERIC_HINT)
+    rows = rows.withColumns({"type": F.when(pull, "Result").otherwise(t), "conf": F.when(pull, F.greatest("conf", F.lit(0.46))).otherwise(conf)})
     # A filter on conf would be pushed through the steps, each of which it would write out several times over; explode stops it.
-    end = rows.select("doc_id", "sent_idx", "page", "section", "text", F.explode(F.array(F.struct("type", "conf"))).alias("end"))
-    return end.where(F.col("end.conf") >= dims.NODE_MIN).select("doc_id", "sent_idx", "page", "section", "text", "end.type", F.round("end.conf", 3).alias("conf"))
+    out = ["doc_id", "sent_idx", "page", "section", "text", "place"]
+    end = rows.select(*out, F.explode(F.array(F.struct("type", "conf"))).alias("end"))
+    return end.where((F.col("end.type") != "") & (F.col("end.conf") >= dims.NODE_MIN)).select(*out, "end.type", F.round("end.conf", 3).alias("conf"))
 
 
 def nodes(decisions: DataFrame) -> DataFrame:
@@ -74,8 +109,12 @@ def nodes(decisions: DataFrame) -> DataFrame:
     return out.withColumns({"id": name, "polarity": X.polarity(F.col("text"))})
 
 
-def document_nodes(sentences: DataFrame, steps: DataFrame) -> DataFrame:
-    return nodes(decided(sentences, best_types(sentence_scores(sentences, rule_hits(sentence_tokens(sentences), steps)))))
+def decisions(sentences: DataFrame, pack=dims.PACK, boosts: dict[str, float] | None = None) -> DataFrame:
+    return decided(best_types(scored(sentences, pack, boosts)))
+
+
+def document_nodes(sentences: DataFrame, pack=dims.PACK, boosts: dict[str, float] | None = None) -> DataFrame:
+    return nodes(decisions(sentences, pack, boosts))
 
 
 def routed(sentences: DataFrame, pattern: str, cap: int = 400, enough: int = 6) -> DataFrame:

@@ -79,7 +79,7 @@ LABELLED = (
     f"a + {_prior('Analysis')} + CASE WHEN a > 0 THEN 3 ELSE 0 END AS Analysis, c + {_prior('Conclusion')} AS Conclusion FROM p1), "
     f"g AS (SELECT *, greatest({', '.join(SHORT.values())}) AS best FROM p), "
     "ch AS (SELECT *, CASE section " + " ".join(f"WHEN {q(s)} THEN {_first(order)}" for s, order in L.ORDERS.items()) + f" ELSE {_first(L.ELSEWHERE)} END AS chosen FROM g) "
-    f"SELECT doc_id, sent_idx, CASE WHEN regexp_matches(text, {q(X.REFERENCE_WORD)}) OR (regexp_matches(text, {q(X.YEAR)}) AND regexp_matches(text, {q(X.PAGES)})) THEN 'OTHER' "
+    f"SELECT doc_id, sent_idx, CASE WHEN {O.guarded('text')} THEN 'OTHER' "
     "WHEN section = 'REFERENCES' OR NOT (any_hit OR cited) THEN CASE WHEN section = 'RESULTS' THEN 'Result' ELSE 'OTHER' END "
     "WHEN chosen = 'Technique' AND a > 0 THEN 'Analysis' WHEN chosen = 'Technique' AND r > 0 THEN CASE WHEN section IN ('DISCUSSION', 'INTRO', 'ABSTRACT') THEN 'Conclusion' ELSE 'Result' END "
     "WHEN chosen = 'Dataset' AND sig THEN 'Result' ELSE chosen END AS label, CAST(best AS INTEGER) AS best FROM ch"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Node types in column order, and the order that settles equal scores.
@@ -68,6 +68,19 @@ BACKBONE = [("Result", "Hypothesis", "supports"), ("Technique", "Experiment", "u
 # Rows of a type in a language-model payload.
 PAYLOAD = {"Result": 25, "Hypothesis": 15, "Experiment": 12, "Conclusion": 12, "Technique": 10, "Dataset": 10, "Analysis": 10, "Input Fact": 8}
 
+# Section names and the standard section that each stands for; types that older packs spell otherwise.
+IMRAD = {
+    "INTRO": "INTRODUCTION", "BACKGROUND": "INTRODUCTION", "METHODS": "METHODS", "MATERIALS AND METHODS": "METHODS", "RESULTS": "RESULTS",
+    "RESULTS AND DISCUSSION": "DISCUSSION", "DISCUSSION": "DISCUSSION", "CONCLUSION": "CONCLUSION", "CONCLUSIONS": "CONCLUSION", "OTHER": "OTHER",
+    "UNKNOWN": "OTHER", "ABSTRACT": "INTRODUCTION", "REFERENCES": "REFERENCES", "BIBLIOGRAPHY": "REFERENCES",
+}
+SYNONYMS = {"input": "Input Fact", "hyp": "Hypothesis"}
+# What a caption and a structural citation add, and to which types a caption does.
+CAPTION_BOOST, CITED_FACT = 0.08, 0.12
+CAPTIONED = ["Result", "Analysis", "Experiment", "Dataset"]
+# What an accepted link adds to both of its nodes.
+REINFORCEMENT = 0.02
+
 #: The synthetic rule pack: rule, label, token sequence.
 PACK = [
     ("R_THE", "Result", ["the", "and"]), ("D_OF", "Dataset", ["of"]), ("I_IN", "Input Fact", ["in"]), ("A_IS", "Analysis", ["is"]),
@@ -85,8 +98,3 @@ def lookup(table: dict, *keys: Column, default: object) -> Column:
             test = test & (column == wanted)
         out = F.when(test, F.lit(value)).otherwise(out)
     return out
-
-
-def rule_steps(spark: SparkSession, pack=PACK) -> DataFrame:
-    rows = [(rule, label, len(words), i, w) for rule, label, words in pack for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, "rule string, label string, len int, step int, value string")
