@@ -19,7 +19,8 @@ from quillgraph.operators import patterns as P
 from quillgraph.operators import refine as RF
 from quillgraph.operators import regexrules as Q
 from quillgraph.plans import dims, lint
-from quillgraph.sources import latex, layout
+from quillgraph.operators import dependencies as D
+from quillgraph.sources import files, latex, layout, tei
 from quillgraph.sources import readers as R
 from quillgraph.store import written
 from quillgraph.streaming import jobs
@@ -75,6 +76,33 @@ def _graph(spark, sf_dir) -> Graph:
     return run_corpus(spark, _sentences(spark, sf_dir))
 
 
+def _tei_files(spark, sf_dir) -> DataFrame:
+    """(path, tei): the documents' sentences as TEI, with heads, figure and table captions, boxes and references."""
+    i, clean = F.col("sent_idx"), F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F\x7F]", "")
+    number = lambda x, n: ((x % n) + 1).cast("string")
+    cited = F.when(i % 9 == 2, " [3, 7]").when(i % 9 == 5, " (Smith et al., 2019)").otherwise("")
+    named = F.when(i % 11 == 4, F.concat(F.lit(" (Fig. "), number(i - 1, 5), F.lit(")"))).when(i % 11 == 8, F.concat(F.lit(" in Table "), number(i - 2, 3))).otherwise("")
+    body = F.when(i % 11 == 3, F.concat(F.lit("Figure "), number(i, 5), F.lit(". "), clean)).when(i % 11 == 6, F.concat(F.lit("Table "), number(i, 3), F.lit(". "), clean)).otherwise(F.concat(clean, named, cited))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(sign), F.lit(name))
+    page = (F.col("page") + 1).cast("string")
+    head = F.when(i % 7 == 0, F.concat(F.lit("<head>"), F.element_at(F.array(*map(F.lit, ["1. Introduction", "2 Methods", "III. Results &amp; Discussion", "Appendix"])), (F.floor(i / 7) % 4 + 1).cast("int")), F.lit("</head>"))).otherwise("")
+    figure = F.format_string('<figure coords="p%s,10,20,30,40"><figDesc>%s</figDesc></figure>', page, body)
+    table = F.format_string('<figure><table coords="%s,1,2,3,4"><head>%s</head></table></figure>', page, body)
+    plain = F.format_string('<s coords="p%s,%d,10,50,12;%s,%d,30,60,12">%s</s>', page, i, page, i, body)
+    item = F.when(i % 11 == 3, figure).when(i % 11 == 6, table).when(i % 13 == 5, F.concat(F.lit('<div type="abstract">'), plain, F.lit("</div>"))).otherwise(plain)
+    rows = _sentences(spark, sf_dir).select("doc_id", "sent_idx", F.concat(head, item).alias("item"))
+    xml = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "item"))), lambda x: x["item"]), "")
+    title = F.format_string('<teiHeader><fileDesc><titleStmt><title>Document %d</title><author><persName>A. Writer</persName></author><author>B. Other</author></titleStmt><publicationStmt><date>2020</date></publicationStmt></fileDesc></teiHeader>', F.col("doc_id"))
+    return rows.groupBy("doc_id").agg(xml.alias("xml")).select(
+        F.format_string("/in/%d.xml", "doc_id").alias("path"), F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0">'), title, F.lit("<text><body>"), F.col("xml"), F.lit("</body></text></TEI>")).alias("tei")
+    )
+
+
+def _tei_sentences(spark, sf_dir) -> DataFrame:
+    return tei.documents(_tei_files(spark, sf_dir), 2027)[1].withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 EDGE = "doc_id, src, dst, type, conf, hint"
 
 
@@ -432,3 +460,176 @@ def _(spark, sf):
     cache = spark.createDataFrame([], "key string, answer string, ts long")
     cache = cache.unionByName(written(RF.answered(asked, cache, linked_by_type), "answers"))
     return RF.merged(spark, nodes, edges, RF.proposed(asked, cache))
+
+
+@query("tei_sentences", O.sql("SELECT doc_id, sent_idx, page, section, md5(text) AS text_md5, has_citation, citation_strength, is_caption, caption_type, x0, y0, x1, y1 FROM s", "s", tei=True))
+def _(spark, sf):
+    rows = _tei_sentences(spark, sf)
+    return rows.select("doc_id", "sent_idx", "page", "section", F.md5("text").alias("text_md5"), "has_citation", "citation_strength", "is_caption", "caption_type", "x0", "y0", "x1", "y1")
+
+
+@query("tei_documents", O.sql("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Document ' || doc_id AS title, 'A. Writer, B. Other' AS author, '2020' AS created, '' AS arxiv_id, coalesce(pages, 0) AS page_count FROM (SELECT DISTINCT doc_id FROM cut) LEFT JOIN (SELECT doc_id, max(page) + 1 AS pages FROM s GROUP BY doc_id) USING (doc_id)", "s", tei=True))
+def _(spark, sf):
+    return tei.documents(_tei_files(spark, sf), 2027)[0].select("doc_id", "title", "author", "created", "arxiv_id", "page_count")
+
+
+@query("caption_decision", O.sql("SELECT doc_id, sent_idx, place, type, conf FROM d", "d", tei=True))
+def _(spark, sf):
+    return N.decisions(_tei_sentences(spark, sf)).select("doc_id", "sent_idx", "place", "type", "conf")
+
+
+@query("figtable_edges", O.sql(f"SELECT {EDGE} FROM fig", "fig", tei=True))
+def _(spark, sf):
+    return E.figure_edges(N.document_nodes(_tei_sentences(spark, sf))).drop("ref", "k")
+
+
+@query("tei_graph", O.sql(f"SELECT {EDGE} FROM ed", "ed", tei=True))
+def _(spark, sf):
+    return run_corpus(spark, written(_tei_sentences(spark, sf), "sentences")).edges.drop("pos")
+
+
+@query(
+    "node_geometry",
+    O.sql("SELECT n.doc_id, node_idx, id, n.page, x0 AS x, y0 AS y, round(x1 - x0, 6) AS w, round(y1 - y0, 6) AS h FROM n JOIN s USING (doc_id, sent_idx)", "n", tei=True),
+)
+def _(spark, sf):
+    sentences = written(_tei_sentences(spark, sf), "sentences")
+    nodes = written(N.with_boxes(N.document_nodes(sentences), sentences), "boxed")
+    # As after a refinement that lost them.
+    bare = nodes.withColumns({"page": F.when(F.col("node_idx") % 2 == 0, -1).otherwise(F.col("page")), "coords": F.when(F.col("node_idx") % 3 > 0, F.col("coords"))})
+    found = N.with_geometry(bare.select("doc_id", "node_idx", "id", "page", "coords"), nodes)
+    box = F.get("coords", F.lit(0))
+    return found.select("doc_id", "node_idx", "id", "page", box["x"].alias("x"), box["y"].alias("y"), F.round(box["w"], 6).alias("w"), F.round(box["h"], 6).alias("h"))
+
+
+#: Synthetic themes over words that the tables have.
+REGISTRY = {
+    "common": {"any": ["."]},
+    "trials": {"any": [r"\bci\b", r"\bvs\b"], "methods_bias": [r"\bor\b"]},
+    "prose": {"intro_bias": [r"\bthe\b", r"\bof\b"], "methods_bias": [r"\band\b"]},
+    "empty": {},
+}
+
+
+def _points(theme: dict) -> str:
+    word = lambda x: O.q(f"(?i)(^|{O.W}){x.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}($|{O.W})") if x.startswith(chr(92)) else O.q(x)
+    fits = lambda field: "false" if not theme.get(field) else "(" + " OR ".join(f"regexp_matches(text, {word(x)})" for x in theme[field]) + ")"
+    return f"CASE WHEN {fits('any')} THEN 2 ELSE 0 END + CASE WHEN section = 'INTRO' AND {fits('intro_bias')} THEN 1 ELSE 0 END + CASE WHEN section IN ('METHODS', 'OTHER', 'RESULTS') AND {fits('methods_bias')} THEN 1 ELSE 0 END"
+
+
+@query(
+    "theme_ranking",
+    O.sql(
+        "SELECT doc_id, theme, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS INTEGER) AS rank FROM ("
+        + " UNION ALL ".join(
+            f"SELECT doc_id, {i} AS i, {O.q(t)} AS theme, coalesce(min(CASE WHEN c >= 6 THEN c END), max(c)) AS score FROM (SELECT doc_id, sum({_points(REGISTRY[t])}) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS c FROM s WHERE sent_idx < 400) GROUP BY doc_id"
+            for i, t in enumerate(["trials", "prose", "empty"])
+        ) + ") WHERE score >= 2",
+        "s",
+    ),
+)
+def _(spark, sf):
+    return N.themes(_sentences(spark, sf), REGISTRY)
+
+
+@query("rule_hit_map", O.sql("SELECT doc_id, sent_idx, string_agg(rule || '=' || hits, ',' ORDER BY rule) AS rules FROM hits GROUP BY doc_id, sent_idx", "hits"))
+def _(spark, sf):
+    entries = F.transform(F.array_sort(F.map_entries("rules")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return N.hit_map(_sentences(spark, sf)).select("doc_id", "sent_idx", F.array_join(entries, ",").alias("rules"))
+
+
+@query("imrad_sections", O.sql("SELECT doc_id, sent_idx, CASE WHEN section IN ('INTRO', 'ABSTRACT', 'BACKGROUND') THEN 'INTRODUCTION' ELSE section END AS imrad FROM s", "s"))
+def _(spark, sf):
+    return _sentences(spark, sf).select("doc_id", "sent_idx", X.imrad_norm(F.col("section")).alias("imrad"))
+
+
+@query("section_names", O.sql("SELECT doc_id, string_agg(section, ',' ORDER BY section) AS sections FROM (SELECT DISTINCT doc_id, section FROM s) GROUP BY doc_id", "s"))
+def _(spark, sf):
+    return _sentences(spark, sf).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"))
+
+
+@query(
+    "merged_nodes",
+    O.sql(
+        "SELECT doc_id, min(node_idx) AS first, count(*) AS n, any_value(type) AS type, md5(string_agg(text, ' ' ORDER BY node_idx)) AS text_md5, round(avg(conf), 3) AS conf FROM ("
+        "SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY node_idx) - 1) // 2 AS pair FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY node_idx ROWS UNBOUNDED PRECEDING) AS island FROM ("
+        "SELECT *, CASE WHEN lag(type) OVER w = type AND lag(section) OVER w = section AND lag(page) OVER w = page AND sent_idx - lag(sent_idx) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY node_idx)))) GROUP BY doc_id, island, pair",
+        "n",
+    ),
+)
+def _(spark, sf):
+    return G.merged_nodes(_nodes(spark, sf)).select("doc_id", "first", "n", "type", F.md5("text").alias("text_md5"), "conf")
+
+
+@query(
+    "fallback_links",
+    O.sql(
+        "SELECT doc_id, rid AS src, hid AS dst, CASE WHEN rp = 'negative' THEN 'refutes' ELSE 'supports' END AS type, round((rc + hc) / 2, 3) AS conf FROM tops WHERE rc >= 0.65e0 AND hc >= 0.6e0 "
+        "UNION ALL SELECT doc_id, tid, coalesce(rid, hid), 'uses', round((tc + coalesce(rc, hc)) / 2, 3) FROM tops WHERE tc >= 0.6e0 AND coalesce(rc, hc) >= 0.6e0",
+        "n",
+    ).replace("\nSELECT doc_id, rid", ",\ntops AS (SELECT doc_id, " + ", ".join(
+        f"arg_min({c}, (-conf, node_idx)) FILTER (type = '{t}') AS {name}" for t, x in (("Result", "r"), ("Hypothesis", "h"), ("Technique", "t")) for c, name in (("node_idx", f"{x}id"), ("conf", f"{x}c"), ("polarity", f"{x}p"))
+    ) + " FROM n GROUP BY doc_id)\nSELECT doc_id, rid"),
+)
+def _(spark, sf):
+    nodes = _nodes(spark, sf)
+    return E.safe_links(nodes, nodes.where("false"))
+
+
+REPORT_PARTS = [("sentences", "SELECT doc_id, section AS name, count(*) AS n FROM s GROUP BY ALL"), ("nodes", "SELECT doc_id, type AS name, count(*) AS n FROM kn GROUP BY ALL"), ("edges", "SELECT doc_id, type AS name, count(*) AS n FROM ed GROUP BY ALL"), ("rule hits", "SELECT doc_id, rule AS name, CAST(sum(hits) AS BIGINT) AS n FROM hits GROUP BY ALL")]
+
+
+@query(
+    "report_markdown",
+    O.sql(
+        "SELECT d.doc_id, '# Report: ' || d.doc_id || chr(10) || " + " || ".join(f"chr(10) || '## {w}: ' || coalesce(p{i}.total, 0) || chr(10) || coalesce(p{i}.rows, '')" for i, (w, _) in enumerate(REPORT_PARTS)) + " AS report FROM (SELECT DISTINCT doc_id FROM s) d "
+        + " ".join(f"LEFT JOIN (SELECT doc_id, sum(n) AS total, string_agg('- ' || name || ': ' || n || chr(10), '' ORDER BY name) AS rows FROM ({part}) GROUP BY doc_id) p{i} USING (doc_id)" for i, (_, part) in enumerate(REPORT_PARTS)),
+        "ed",
+    ),
+)
+def _(spark, sf):
+    graph, sentences = _graph(spark, sf), _sentences(spark, sf)
+    return G.report_markdown(G.tallies(G.kept_nodes(graph.dedup), graph.edges, N.rule_hits(sentences), sentences))
+
+
+@query("text_previews", "SELECT doc_id, md5(CASE WHEN length(text) > 50000 THEN left(text, 50000) || chr(10) || '... [truncated]' ELSE text END) AS preview_md5, length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents")
+def _(spark, sf):
+    text = F.col("text")
+    return R.table(spark, sf, "documents").select("doc_id", F.md5(files.preview(text)).alias("preview_md5"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
+
+
+def _pdf_names(spark, sf):
+    i = F.col("page_id")
+    name = F.when(i % 3 == 0, F.format_string("%d--%d__Page %d.pdf", 2018 + i % 7, 2017 + i % 7, i)).when(i % 3 == 1, F.format_string("%d__Page %d.pdf", 2015 + i % 9, i)).otherwise(F.format_string("notes %d.pdf", i))
+    return R.table(spark, sf, "pages").select((i % 400).alias("category"), name.alias("name"))
+
+
+@query(
+    "missing_years",
+    "WITH f AS (SELECT page_id % 400 AS category, CASE page_id % 3 WHEN 0 THEN 2018 + page_id % 7 WHEN 1 THEN 2015 + page_id % 9 END AS year FROM pages) SELECT category, year FROM (SELECT category FROM f GROUP BY category HAVING count(*) < 5), (VALUES (2018), (2019), (2020), (2021), (2022)) v(year) WHERE (category, year) NOT IN (SELECT category, year FROM f WHERE year IS NOT NULL)",
+)
+def _(spark, sf):
+    return files.missing_years(_pdf_names(spark, sf), [2018, 2019, 2020, 2021, 2022])
+
+
+#: A synthetic parse: a sentence's words form a binary tree, word i under word i // 2.
+DEP_PACK = [
+    {"name": "D_THE_AND", "label": "Result", "patterns": [[{"NAME": "a", "TOKEN": "the"}, {"NAME": "b", "ABOVE": "a", "TOKEN": "and"}]]},
+    {"name": "D_OF_IN", "label": "Dataset", "patterns": [[{"NAME": "a", "TOKEN": {"IN": ["of", "or"]}}, {"NAME": "b", "ABOVE": "a", "TOKEN": "in"}, {"NAME": "c", "ABOVE": "b", "TOKEN": "the", "OP": "?"}]]},
+]
+
+
+@query(
+    "dependency_hits",
+    O.sql(
+        "SELECT doc_id, sent_idx, rule, label, count(*) AS matches, CAST(sum(len(places)) AS BIGINT) AS tokens FROM ("
+        "SELECT DISTINCT a.doc_id, a.sent_idx, 'D_THE_AND' AS rule, 'Result' AS label, list_sort([above, below]) AS places FROM up JOIN t a ON (a.doc_id, a.sent_idx, a.i) = (up.doc_id, up.sent_idx, above) JOIN t b ON (b.doc_id, b.sent_idx, b.i) = (up.doc_id, up.sent_idx, below) WHERE a.token = 'the' AND b.token = 'and' "
+        "UNION SELECT a.doc_id, a.sent_idx, 'D_OF_IN', 'Dataset', list_sort([above, below]) FROM up JOIN t a ON (a.doc_id, a.sent_idx, a.i) = (up.doc_id, up.sent_idx, above) JOIN t b ON (b.doc_id, b.sent_idx, b.i) = (up.doc_id, up.sent_idx, below) WHERE a.token IN ('of', 'or') AND b.token = 'in' "
+        "UNION SELECT a.doc_id, a.sent_idx, 'D_OF_IN', 'Dataset', list_sort([up.above, up.below, u2.below]) FROM up JOIN up u2 ON (u2.doc_id, u2.sent_idx, u2.above) = (up.doc_id, up.sent_idx, up.below) JOIN t a ON (a.doc_id, a.sent_idx, a.i) = (up.doc_id, up.sent_idx, up.above) "
+        "JOIN t b ON (b.doc_id, b.sent_idx, b.i) = (up.doc_id, up.sent_idx, up.below) JOIN t c ON (c.doc_id, c.sent_idx, c.i) = (up.doc_id, up.sent_idx, u2.below) WHERE a.token IN ('of', 'or') AND b.token = 'in' AND c.token = 'the') GROUP BY ALL",
+        "t",
+    ).replace("\nSELECT doc_id, sent_idx, rule", ",\nup AS (SELECT doc_id, sent_idx, i // 2 AS above, i AS below FROM t WHERE i > 0 UNION SELECT t.doc_id, t.sent_idx, above // 2, below FROM up JOIN t ON (t.doc_id, t.sent_idx, t.i) = (up.doc_id, up.sent_idx, up.above) WHERE above > 0)\nSELECT doc_id, sent_idx, rule"),
+)
+def _(spark, sf):
+    tokens = _sentences(spark, sf).select("doc_id", "sent_idx", F.posexplode(X.tokens(F.col("text"))).alias("i", "token"))
+    return D.dependency_hits(written(tokens.withColumn("head", F.floor(F.col("i") / 2).cast("int")), "parse"), DEP_PACK)

@@ -193,3 +193,20 @@ def all_edges(folded: DataFrame, far: DataFrame, figures: DataFrame) -> DataFram
     far = far.select("doc_id", "src", "dst", "type", "conf", "hint", F.struct(F.lit(1).alias("a"), F.col("ord").alias("b"), F.col("src").alias("c"), F.col("k").alias("d"), F.lit("").alias("e")).alias("pos"))
     figures = figures.select("doc_id", "src", "dst", "type", "conf", "hint", F.struct(F.when(F.col("hint") == "figure", 2).otherwise(3).alias("a"), F.col("src").alias("b"), F.col("k").alias("c"), F.col("dst").alias("d"), F.col("ref").alias("e")).alias("pos"))
     return near.unionByName(far).unionByName(figures)
+
+
+def safe_links(nodes: DataFrame, linked: DataFrame, result: float = 0.65, hypothesis: float = 0.60, technique: float = 0.60) -> DataFrame:
+    """For documents without a link: the surest Result to the surest Hypothesis, if both are sure enough, and the surest
+    Technique to that Result, else that Hypothesis. Off unless asked for."""
+    order = F.struct(-F.col("conf"), "node_idx")
+    top = lambda t: F.min(F.when(F.col("type") == t, order))
+    per = nodes.join(linked.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(
+        top("Result").alias("r"), top("Hypothesis").alias("h"), top("Technique").alias("t"), F.min_by("polarity", F.when(F.col("type") == "Result", order)).alias("outcome")
+    )
+    conf, node = lambda x: -F.col(f"{x}.col1"), lambda x: F.col(f"{x}.node_idx")
+    mean = lambda a, b: F.round((a + b) / 2, 3)
+    first = F.struct(node("r").alias("src"), node("h").alias("dst"), F.when(F.col("outcome") == "negative", "refutes").otherwise("supports").alias("type"), mean(conf("r"), conf("h")).alias("conf"))
+    target, sure = F.coalesce(node("r"), node("h")), F.coalesce(conf("r"), conf("h"))
+    second = F.struct(node("t").alias("src"), target.alias("dst"), F.lit("uses").alias("type"), mean(conf("t"), sure).alias("conf"))
+    both = F.array(F.when((conf("r") >= result) & (conf("h") >= hypothesis), first), F.when((conf("t") >= technique) & (sure >= technique), second))
+    return per.select("doc_id", F.explode(F.array_compact(both)).alias("x")).select("doc_id", "x.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
@@ -130,3 +130,60 @@ def quality(nodes: DataFrame, edges: DataFrame, checked: DataFrame) -> DataFrame
     q = F.col("types") / 8.0 * 0.35 + F.col("sure") * 0.25 + F.col("coherence") * 0.25 + F.least(F.lit(1.0), F.coalesce("edges", F.lit(0)) / F.col("nodes")) * 0.15
     out = per.join(c, "doc_id").join(links, "doc_id", "left").select("doc_id", F.round(q, 6).alias("q"))
     return out.withColumn("band", F.when(F.col("q") >= 0.75, "green").when(F.col("q") >= 0.6, "yellow").otherwise("red"))
+
+
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """(doc_id, first, n, type, section, page, text, conf): nodes that follow each other in sentences, of one type, section
+    and page, joined in pairs; text with a space between, conf their mean."""
+    w = Window.partitionBy("doc_id").orderBy("node_idx")
+    same = [F.lag(c).over(w) == F.col(c) for c in ("type", "section", "page")]
+    goes_on = same[0] & same[1] & same[2] & (F.col("sent_idx") - F.lag("sent_idx").over(w) <= 1)
+    rows = nodes.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("pair", F.floor((F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("node_idx")) - 1) / 2))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_idx", "text"))), lambda x: x["text"]), " ")
+    return rows.groupBy("doc_id", "island", "pair").agg(
+        F.min("node_idx").alias("first"), F.count("*").alias("n"), F.first("type").alias("type"), F.first("section").alias("section"), F.first("page").alias("page"), texts.alias("text"), F.round(F.avg("conf"), 3).alias("conf")
+    ).drop("island", "pair")
+
+
+def tallies(nodes: DataFrame, edges: DataFrame, hits: DataFrame, sections: DataFrame, most_rules: int = 200) -> DataFrame:
+    """(doc_id, sections, nodes, edges, rules): how many of each by name, as sorted arrays; at most `most_rules` rules, which
+    reports are cut to."""
+
+    def counted(df: DataFrame, by: str, name: str, n=None) -> DataFrame:
+        per = df.groupBy("doc_id", F.col(by).alias("name")).agg((F.sum(n) if n else F.count("*")).alias("n"))
+        return per.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias(name))
+
+    out = counted(sections, "section", "sections").join(counted(nodes, "type", "nodes"), "doc_id", "left").join(counted(edges, "type", "edges"), "doc_id", "left")
+    out = out.join(counted(hits, "rule", "rules", "hits"), "doc_id", "left")
+    return out.withColumn("rules", F.slice("rules", 1, most_rules))
+
+
+def report_json(report: DataFrame) -> DataFrame:
+    return report.select("doc_id", F.to_json(F.struct("doc_id", "sections", "nodes", "edges", "rules")).alias("report"))
+
+
+def _lines(column: str, title: str, item) -> tuple[Column, Column]:
+    total = F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
+    rows = F.coalesce(F.array_join(F.transform(column, item), ""), F.lit(""))
+    return F.format_string(title, total), rows
+
+
+PARTS = [("sections", "sentences"), ("nodes", "nodes"), ("edges", "edges"), ("rules", "rule hits")]
+
+
+def report_markdown(report: DataFrame) -> DataFrame:
+    """(doc_id, report): a heading, and a list with its total for each tally."""
+    parts = [F.format_string("# Report: %s\n", F.col("doc_id").cast("string"))]
+    for column, word in PARTS:
+        parts += _lines(column, f"\n## {word}: %d\n", lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["n"].cast("string"), F.lit("\n")))
+    return report.select("doc_id", F.concat(*parts).alias("report"))
+
+
+def report_html(report: DataFrame) -> DataFrame:
+    parts = [F.format_string("<h1>Report: %s</h1>", F.col("doc_id").cast("string"))]
+    for column, word in PARTS:
+        head, rows = _lines(column, f"<h2>{word}: %d</h2><ul>", lambda x: F.concat(F.lit("<li>"), F.replace(F.replace(x["name"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(": "), x["n"].cast("string"), F.lit("</li>")))
+        parts += [head, rows, F.lit("</ul>")]
+    return report.select("doc_id", F.concat(*parts).alias("report"))

@@ -105,7 +105,7 @@ def nodes(decisions: DataFrame) -> DataFrame:
     """decisions with node_idx (from 1 in each document), id and polarity."""
     order = Window.partitionBy("doc_id").orderBy("sent_idx")
     out = decisions.withColumn("node_idx", F.row_number().over(order))
-    name = F.format_string("%d:%s:%04d", "doc_id", F.replace("type", F.lit(" "), F.lit("")), "node_idx")
+    name = F.concat_ws(":", F.translate(F.col("doc_id").cast("string"), "/:", "--"), F.replace("type", F.lit(" "), F.lit("")), F.format_string("%04d", "node_idx"))
     return out.withColumns({"id": name, "polarity": X.polarity(F.col("text"))})
 
 
@@ -123,3 +123,44 @@ def routed(sentences: DataFrame, pattern: str, cap: int = 400, enough: int = 6)
     hit = F.when(F.lower("text").rlike(pattern), 1).otherwise(0)
     run = sentences.where(F.col("sent_idx") < cap).withColumn("c", F.sum(hit).over(up))
     return run.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("c") >= enough, F.col("c"))), F.max("c")).alias("score"))
+
+
+def themes(sentences: DataFrame, registry: dict[str, dict], cap: int = 400, enough: int = 6, least: int = 2) -> DataFrame:
+    """(doc_id, theme, score, rank) of the themes that a document's first `cap` sentences reach `least` points for.
+
+    A sentence that any of a theme's `any` patterns fits gives 2; one of the introduction that `intro_bias` fits 1; one of
+    methods, results or no known section that `methods_bias` fits 1. Counting stops once `enough` are reached. common is
+    no theme to choose. Equal scores stand in the registry's order.
+    """
+    names = [t for t in registry if t != "common"]
+    if not names:
+        return sentences.select("doc_id", F.lit("").alias("theme"), F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+    up = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.upper("section")
+
+    def points(t: dict) -> Column:
+        fits = lambda field: F.col("text").rlike("(?i)" + "|".join(f"(?:{x})" for x in t[field])) if t.get(field) else F.lit(False)
+        return F.when(fits("any"), 2).otherwise(0) + F.when((section == "INTRO") & fits("intro_bias"), 1).otherwise(0) + F.when(section.isin("METHODS", "OTHER", "RESULTS") & fits("methods_bias"), 1).otherwise(0)
+
+    run = sentences.where(F.col("sent_idx") < cap).withColumns({f"c{i}": F.sum(points(registry[t])).over(up) for i, t in enumerate(names)})
+    score = lambda c: F.coalesce(F.min(F.when(F.col(c) >= enough, F.col(c))), F.max(c))
+    per = run.groupBy("doc_id").agg(*[score(f"c{i}").alias(f"c{i}") for i in range(len(names))])
+    rows = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("theme"), F.col(f"c{i}").alias("score")) for i, t in enumerate(names)])).alias("x")).select("doc_id", "x.*")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "i")
+    return rows.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).drop("i")
+
+
+def with_boxes(nodes: DataFrame, sentences: DataFrame) -> DataFrame:
+    """nodes with the box of their sentence, as corners and as coords (x, y, w, h)."""
+    boxes = sentences.select("doc_id", "sent_idx", "x0", "y0", "x1", "y1")
+    out = nodes.join(boxes, ["doc_id", "sent_idx"], "left")
+    return out.withColumn("coords", F.when(F.col("x0").isNotNull(), F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h")))).otherwise(F.array()))
+
+
+def with_geometry(nodes: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """nodes whose missing or negative page and missing coords come from the snapshot of the same node; page 0 and no
+    coords where that has none either."""
+    kept = snapshot.select("doc_id", "node_idx", F.col("page").alias("old_page"), F.col("coords").alias("old_coords"))
+    rows = nodes.join(kept, ["doc_id", "node_idx"], "left")
+    page = F.coalesce(F.when(F.col("page") >= 0, F.col("page")), F.when(F.col("old_page") >= 0, F.col("old_page")), F.lit(0))
+    return rows.withColumns({"page": page, "coords": F.coalesce("coords", "old_coords", F.array().cast(snapshot.schema["coords"].dataType))}).drop("old_page", "old_coords")

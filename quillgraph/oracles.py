@@ -129,7 +129,7 @@ TYPE_ORDER = "list_position(" + "[" + ", ".join(q(t) for t in TIES) + "], label)
 CTE = {
     "parts": "SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS parts FROM documents",
     "cut": "SELECT doc_id, CAST(len(parts) AS INTEGER) AS n, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS sent_idx, unnest(parts) AS text FROM parts",
-    "s": f"SELECT doc_id, sent_idx, n, text, CAST(sent_idx // 20 AS INTEGER) AS page, {SECTION} AS section FROM cut",
+    "s": f"SELECT doc_id, sent_idx, n, text, CAST(sent_idx // 20 AS INTEGER) AS page, {SECTION} AS section, false AS has_citation, 0e0 AS citation_strength, false AS is_caption, '' AS caption_type FROM cut",
     "tl": f"SELECT doc_id, sent_idx, {TOKENS.format('text')} AS tok FROM s",
     "t": "SELECT doc_id, sent_idx, generate_subscripts(tok, 1) - 1 AS i, unnest(tok) AS token FROM tl",
     "steps": "SELECT * FROM (VALUES " + ", ".join(f"({q(r)}, {q(l)}, {len(ws)}, {i}, {q(w)})" for r, l, ws in PACK for i, w in enumerate(ws)) + ") v(rule, label, len, step, value)",
@@ -142,18 +142,20 @@ CTE = {
     f"+ CASE WHEN label IN ('Result', 'Analysis', 'Dataset') AND {NUMERIC.format('text')} THEN 0.06e0 ELSE 0e0 END "
     f"- CASE WHEN list_has_any({TOKENS.format('text')}, {listed(HEDGES)}) THEN 0.08e0 ELSE 0e0 END AS score FROM raw JOIN s USING (doc_id, sent_idx) LEFT JOIN priors USING (section, label) LEFT JOIN bases USING (label)",
     "best": f"SELECT doc_id, sent_idx, arg_max(label, (score, -{TYPE_ORDER})) AS type, max(score) AS conf, coalesce(max(CASE WHEN label = 'Conclusion' THEN score END), 0e0) AS conclusion FROM scores GROUP BY ALL",
-    "d0": f"SELECT s.doc_id, s.sent_idx, page, section, text, coalesce(conclusion, 0e0) AS conclusion, (section = 'REFERENCES' OR {reference('text')}) AS g, coalesce(type, '') AS t0, coalesce(conf, 0e0) AS c0 FROM s LEFT JOIN best USING (doc_id, sent_idx)",
+    "d0": f"SELECT s.doc_id, s.sent_idx, page, section, text, coalesce(conclusion, 0e0) AS conclusion, (section = 'REFERENCES' OR {reference('text')}) AS g, coalesce(type, '') AS t0, coalesce(conf, 0e0) AS c0, has_citation, citation_strength, is_caption AND caption_type IN ('Figure', 'Table') AS captioned, CASE WHEN is_caption AND caption_type IN ('Figure', 'Table') THEN caption_type || 'Caption' ELSE 'Body' END AS place FROM s LEFT JOIN best USING (doc_id, sent_idx)",
     "d1": "SELECT * EXCLUDE (t0, c0, g), CASE WHEN g THEN 'Other' ELSE t0 END AS type, CASE WHEN g THEN 0.39e0 ELSE c0 END AS conf FROM d0",
-    "d2": f"SELECT * REPLACE (CASE WHEN type IN ('Input Fact', 'Result', 'Conclusion') THEN least(1e0, conf + least(0.12e0, 0.08e0 * round(({STRENGTH}) * 10) / 10)) ELSE conf END AS conf) FROM d1",
-    "d3": f"SELECT * REPLACE (CASE WHEN {HEAVY} THEN greatest(0e0, conf - 0.08e0) ELSE conf END AS conf) FROM d2",
-    "d4": "SELECT * REPLACE (CASE WHEN type = 'Input Fact' AND conf < 0.42e0 THEN 'Other' ELSE type END AS type, CASE WHEN type = 'Input Fact' AND conf < 0.42e0 THEN 0.39e0 ELSE conf END AS conf) FROM d3",
+    "d2": f"SELECT * REPLACE (CASE WHEN type IN ('Input Fact', 'Result', 'Conclusion') THEN least(1e0, conf + least(0.12e0, 0.08e0 * round(CASE WHEN citation_strength > 0 THEN citation_strength ELSE {STRENGTH} END * 10) / 10)) ELSE conf END AS conf) FROM d1",
+    "d2c": "SELECT * REPLACE (CASE WHEN has_citation AND type = 'Input Fact' THEN least(1e0, conf + 0.12e0) ELSE conf END AS conf) FROM d2",
+    "d3": f"SELECT * REPLACE (CASE WHEN {HEAVY} THEN greatest(0e0, conf - 0.08e0) ELSE conf END AS conf) FROM d2c",
+    "d4": "SELECT * REPLACE (CASE WHEN type = 'Input Fact' AND NOT has_citation AND conf < 0.42e0 THEN 'Other' ELSE type END AS type, CASE WHEN type = 'Input Fact' AND NOT has_citation AND conf < 0.42e0 THEN 0.39e0 ELSE conf END AS conf) FROM d3",
     "d5": "SELECT *, (type <> '' AND conf >= 0.4e0 AND section IN ('DISCUSSION', 'RESULTS') AND regexp_matches(trim(lower(text)), '^(these results|overall|in conclusion|in summary)') "
     "AND regexp_matches(lower(text), 'suggest|indicate|support|imply|show') AND conclusion >= conf * 0.9e0 AND type <> 'Conclusion') AS turns FROM d4",
     "d6": "SELECT * EXCLUDE (turns) REPLACE (CASE WHEN turns THEN 'Conclusion' ELSE type END AS type, CASE WHEN turns AND section = 'DISCUSSION' THEN greatest(conf, 0.52e0) ELSE conf END AS conf) FROM d5",
-    "d7": f"SELECT *, (type IN ('Other', 'Input Fact', 'Analysis') AND section = 'RESULTS' AND {NOTED}) AS pull FROM d6",
-    "d": "SELECT doc_id, sent_idx, page, section, text, CASE WHEN pull THEN 'Result' ELSE type END AS type, round(CASE WHEN pull THEN greatest(conf, 0.46e0) ELSE conf END, 3) AS conf FROM d7 WHERE CASE WHEN pull THEN greatest(conf, 0.46e0) ELSE conf END >= 0.4e0 AND type <> ''",
+    "d6c": "SELECT * REPLACE (CASE WHEN captioned AND type IN ('Result', 'Analysis', 'Experiment', 'Dataset') THEN least(1e0, conf + 0.08e0) ELSE conf END AS conf) FROM d6",
+    "d7": f"SELECT *, (type IN ('Other', 'Input Fact', 'Analysis') AND section = 'RESULTS' AND {NOTED}) AS pull FROM d6c",
+    "d": "SELECT doc_id, sent_idx, page, section, text, place, CASE WHEN pull THEN 'Result' ELSE type END AS type, round(CASE WHEN pull THEN greatest(conf, 0.46e0) ELSE conf END, 3) AS conf FROM d7 WHERE CASE WHEN pull THEN greatest(conf, 0.46e0) ELSE conf END >= 0.4e0 AND type <> ''",
     "n0": f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS INTEGER) AS node_idx, {OUTCOME_TOKENS} AS tok, {EDGE_TOKENS} AS et, {REFS} AS refs FROM d",
-    "n": f"SELECT * EXCLUDE (tok), printf('%d:%s:%04d', doc_id, replace(type, ' ', ''), node_idx) AS id, {POLARITY} AS polarity FROM n0",
+    "n": f"SELECT * EXCLUDE (tok), replace(replace(CAST(doc_id AS VARCHAR), '/', '-'), ':', '-') || ':' || replace(type, ' ', '') || printf(':%04d', node_idx) AS id, {POLARITY} AS polarity FROM n0",
     "specs": f"SELECT * FROM (VALUES {LINK_ROWS}) v(st, dt, etype, ord, max_forward, max_k, max_page, min_conf, bonus)",
     "pairs": "SELECT a.doc_id, a.node_idx AS src, b.node_idx AS dst, st, dt, etype, ord, max_k, min_conf, bonus, b.sent_idx - a.sent_idx AS gap, abs(b.page - a.page) AS dp, a.conf AS ca, b.conf AS cb, a.polarity AS sp, "
     "a.section AS sa, b.section AS sb, lower(a.text) AS la, lower(b.text) AS lb, b.text AS tb, a.et AS ea, b.et AS eb, a.refs AS ra, b.refs AS rb "
@@ -186,7 +188,11 @@ CTE = {
     "FROM rn a JOIN lspecs ON a.type = st AND list_contains(from_secs, a.section) JOIN rn b ON a.doc_id = b.doc_id AND b.type = dt AND list_contains(to_secs, b.section) AND b.sent_idx > a.sent_idx",
     "long": "SELECT doc_id, src, dst, CASE WHEN st = 'Result' AND sp = 'negative' THEN 'refutes' ELSE etype END AS type, round(c, 3) AS conf, 'longrange' AS hint, [1, ord, src, k] AS pos FROM ("
     "SELECT *, row_number() OVER (PARTITION BY doc_id, st, dt, src ORDER BY c DESC, gap, dst) AS k FROM lp WHERE c >= min_conf AND NOT EXISTS (SELECT 1 FROM rein p WHERE p.doc_id = lp.doc_id AND p.src = lp.src AND p.dst = lp.dst)) WHERE k <= per_src",
-    "edges": "SELECT * FROM rein UNION ALL SELECT * FROM long",
+    "marks": "SELECT doc_id, node_idx, sent_idx, type, place, unnest(refs) AS ref FROM n",
+    "fig": "SELECT doc_id, src, dst, CASE WHEN type IN ('Result', 'Conclusion') THEN 'summarizes' ELSE 'informs' END AS type, 0.6e0 AS conf, CASE WHEN starts_with(ref, 'F') THEN 'figure' ELSE 'table' END AS hint, [CASE WHEN starts_with(ref, 'F') THEN 2 ELSE 3 END, src, k, dst] AS pos FROM ("
+    "SELECT a.doc_id, a.ref, a.node_idx AS src, b.node_idx AS dst, b.type, row_number() OVER (PARTITION BY a.doc_id, a.ref, a.node_idx ORDER BY b.sent_idx - a.sent_idx, b.node_idx) AS k "
+    "FROM marks a JOIN marks b ON a.doc_id = b.doc_id AND a.ref = b.ref AND a.place <> 'Body' AND b.place = 'Body' AND b.sent_idx > a.sent_idx) WHERE k <= 3",
+    "edges": "SELECT * FROM rein UNION ALL SELECT * FROM long UNION ALL SELECT * FROM fig",
     "nd0": "SELECT *, trim(lower(text)) AS lowered, CASE WHEN type = 'Hypothesis' THEN CASE WHEN contains(section, 'INTRO') THEN 'INTRO' WHEN contains(section, 'DISCUSSION') THEN 'DISCUSSION' ELSE 'OTHER' END ELSE '' END AS context FROM rn",
     "nd1": "SELECT *, regexp_replace(regexp_replace(lowered, '[“”\"''`]+', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g') AS norm FROM nd0",
     "nd": "SELECT doc_id, node_idx, sent_idx, page, section, text, type, conf, first_value(node_idx) OVER (PARTITION BY doc_id, type, norm, context ORDER BY conf DESC, node_idx) AS kept, count(*) OVER (PARTITION BY doc_id, type, norm, context) AS merged, "
@@ -210,9 +216,34 @@ CTE = {
 ORDER = list(CTE)
 
 
-def sql(select: str, *last: str) -> str:
-    """select, with all expressions up to the last one that it names."""
+#: Sentences of a corpus of TEI files, as catalog._tei makes them of the documents' sentences, in place of the sentences themselves.
+INLINE = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \\t ]+', ' ', 'g'), ' +([),.;:}}]|\\])', '\\1', 'g'), '([(\\[{{]) +', '\\1', 'g'), "
+    "'([a-z])(Figure|Table)', '\\1 \\2', 'g'), '([0-9]%)of', '\\1 of', 'g'))"
+)
+_STRIPPED = "regexp_replace({0}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
+_YEARED = "'\\(\\s*[A-Z][A-Za-z''’-]+(\\s+et\\s+al\\.)?(\\s*,\\s*((18|19|20|21)[0-9]{2}))(\\s*[,;]\\s*[A-Z][A-Za-z''’-]+(\\s+et\\s+al\\.)?\\s*,\\s*((18|19|20|21)[0-9]{2}))*\\s*\\)'"
+_NONE = "'(?i)\\([^)]{0,6}(n\\s*=\\s*[0-9]+|p\\s*[<≤=]\\s*0?\\.[0-9]+|CI\\s*[0-9]{1,3}\\s*%|Fig\\.?\\s*[0-9]+|Table\\s*[0-9]+|Eq\\.?\\s*[0-9]+)[^)]{0,20}\\)'"
+TEI = {
+    "plain": CTE["s"],
+    "te": "SELECT doc_id, sent_idx AS i, page, CASE sent_idx % 11 WHEN 3 THEN 'Figure' WHEN 6 THEN 'Table' ELSE '' END AS kind, regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') AS c FROM plain",
+    "tt": "SELECT *, CASE kind WHEN 'Figure' THEN 'Figure ' || (i % 5 + 1) || '. ' || c WHEN 'Table' THEN 'Table ' || (i % 3 + 1) || '. ' || c "
+    "ELSE c || CASE i % 11 WHEN 4 THEN ' (Fig. ' || ((i - 1) % 5 + 1) || ')' WHEN 8 THEN ' in Table ' || ((i - 2) % 3 + 1) ELSE '' END || CASE i % 9 WHEN 2 THEN ' [3, 7]' WHEN 5 THEN ' (Smith et al., 2019)' ELSE '' END END AS body FROM te",
+    "tc": f"SELECT *, {INLINE.format(_STRIPPED.format('body'))} AS text FROM tt",
+    "tf": f"SELECT *, CASE WHEN regexp_matches(text, {_YEARED}) AND NOT regexp_matches(text, {_NONE}) AND (nullif(regexp_extract(text, {_YEARED}, 3), '') IS NULL OR CAST(nullif(regexp_extract(text, {_YEARED}, 3), '') AS INTEGER) BETWEEN 1800 AND 2027) "
+    f"AND (nullif(regexp_extract(text, {_YEARED}, 7), '') IS NULL OR CAST(nullif(regexp_extract(text, {_YEARED}, 7), '') AS INTEGER) BETWEEN 1800 AND 2027) THEN 0.7e0 "
+    "WHEN regexp_matches(text, '(^|[^A-Za-z])\\[\\s*[0-9]{1,3}(\\s*[-–,;]\\s*[0-9]{1,3}){0,6}\\]') THEN 0.5e0 ELSE 0e0 END AS citation_strength FROM tc WHERE text <> ''",
+    "s": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sent_idx, text, page, CASE WHEN i % 13 = 5 AND kind = '' THEN 'ABSTRACT' WHEN i // 7 % 4 = 0 THEN 'INTRO' WHEN i // 7 % 4 = 1 THEN 'METHODS' ELSE 'DISCUSSION' END AS section, "
+    "citation_strength > 0 AS has_citation, citation_strength, kind <> '' AS is_caption, kind AS caption_type, CASE kind WHEN 'Figure' THEN 10e0 WHEN 'Table' THEN 1e0 ELSE i END AS x0, CASE kind WHEN 'Figure' THEN 20e0 WHEN 'Table' THEN 2e0 ELSE 10e0 END AS y0, "
+    "CASE kind WHEN 'Figure' THEN 40e0 WHEN 'Table' THEN 4e0 ELSE i + 60e0 END AS x1, CASE kind WHEN 'Figure' THEN 60e0 WHEN 'Table' THEN 6e0 ELSE 42e0 END AS y1 FROM tf",
+}
+
+
+def sql(select: str, *last: str, tei: bool = False) -> str:
+    """select, with all expressions up to the last one that it names; tei: over the TEI corpus."""
     upto = max(ORDER.index(x) for x in last)
-    wanted = ORDER[: upto + 1]
+    wanted = {k: CTE[k] for k in ORDER[: upto + 1]}
+    if tei:
+        wanted = {k: v for k, v in CTE.items() if k in ("parts", "cut")} | TEI | {k: v for k, v in wanted.items() if k not in ("parts", "cut", "s")}
     kept = {"s", "d", "n", "cn", "rn", "rein", "kn", "ea", "bb"}  # read several times
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS {'MATERIALIZED ' if k in kept else ''}({CTE[k]})" for k in wanted) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS {'MATERIALIZED ' if k in kept else ''}({v})" for k, v in wanted.items()) + "\n" + select

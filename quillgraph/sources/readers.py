@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,40 +38,6 @@ def carried_sections(elements: DataFrame) -> DataFrame:
     return elements.withColumn("hint", F.coalesce(F.last(hint, ignorenulls=True).over(up), F.lit("OTHER"))).where("tag = 's'").select("page_id", "pos", "hint")
 
 
-TEI = "doc_id string, pos int, tag string, text string, coords string, in_abstract boolean, error string"
-
-
-def tei_elements(files: DataFrame) -> DataFrame:
-    """files (doc_id, tei): ordered heads, sentences, figure descriptions and tables; a broken file gives an error row."""
-
-    def parse(frames):
-        for frame in frames:
-            rows = []
-            for doc_id, tei in zip(frame["doc_id"], frame["tei"]):
-                try:
-                    pos = 0
-
-                    def walk(node, abstract):
-                        nonlocal pos
-                        tag = re.sub(r"\{.*\}", "", node.tag) if isinstance(node.tag, str) else ""
-                        abstract = abstract or tag == "abstract"
-                        if tag in ("head", "s", "figDesc", "table"):
-                            text = " ".join("".join(node.itertext()).split())
-                            if text:
-                                rows.append((doc_id, pos, tag, text, node.get("coords"), abstract, None))
-                                pos += 1
-                            return
-                        for child in node:
-                            walk(child, abstract)
-
-                    walk(ET.fromstring(tei), False)
-                except ET.ParseError as e:
-                    rows.append((doc_id, 0, None, None, None, False, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "tag", "text", "coords", "in_abstract", "error"])
-
-    return files.select("doc_id", "tei").mapInPandas(parse, TEI)
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
