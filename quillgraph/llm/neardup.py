@@ -46,7 +46,7 @@ HASHES = BANDS * ROWS
 BLOCK_BYTES = 8 << 20
 DRAW_BITS = 16
 #: Signature bytes that must agree before texts are compared: at similarity 0.8 the expected number is 51, and 40 is
-#: 3.5 deviations below.
+#: 3.5 deviations below. With 0 every pair of a bucket is compared.
 AGREE = 40
 BIG = 512
 #: Signature features worked on at once: arrays of this size stay in the cache.

@@ -9,8 +9,13 @@ The filter is 256-bit blocks; a key sets one bit in each of the eight 32-bit wor
 follows the number of keys up to MAX_BLOCKS (32 MB), which bounds what is broadcast; beyond that only the
 number of false positives grows, never the result.
 
+Rules are few as a rule: up to FEW_RULES of them are joined by broadcast, apart from the listed urls, so that a rule that
+half of all urls fit is no hot key. Rows are numbered in a written table, so that a verdict finds its row again after a
+lost executor.
+
 Defined results: a null url or one without :// has empty host and path, fits no rule and is allowed; repeated
-rows are judged each; two rules with the same host and path count once, block before allow.
+rows are judged each; two rules with the same host and path count once, block before allow; of two rules of equal length
+that both fit the one with the longer host decides; a rule or listed url that is null is none.
 """
 
 from __future__ import annotations
@@ -21,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.store import written
+
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 20
 WORDS = 8
+FEW_RULES = 20_000
 #: Odd multipliers, one for each word of a block.
 SALT = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,26 +97,24 @@ class BlockedBloom:
 
 def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """pages(page_id, url), rules(host, path, verdict), listed(url_key): page_id, host, path, rule, verdict."""
-    rules = rules.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("n")).agg(
+    rules = rules.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("n"), F.length("host").alias("wide")).agg(
         F.max("verdict").alias("says")  # 'block' is after 'allow'
-    )
+    ).where("rule is not null")
+    rules = written(rules, "rules")
     lengths = sorted(r[0] for r in rules.select("n").distinct().collect())  # path lengths, no more than a url is long
-    listed = listed.select("url_key").where(F.col("url_key").isNotNull()).distinct()
-    keys = rules.select(F.concat(F.lit("r:"), "rule").alias("k"), F.col("rule"), F.col("says")).unionByName(
-        listed.select(F.concat(F.lit("u:"), "url_key").alias("k"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("says"))
-    )
-    bloom = BlockedBloom(keys, "k")
-    seen = pages.select("page_id", F.monotonically_increasing_id().alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    listed = written(listed.select(F.concat(F.lit("u:"), "url_key").alias("k")).where("k is not null").distinct(), "listed")
+    keyed = rules.select(F.concat(F.lit("r:"), "rule").alias("k"), "rule", "says", "wide")
+    bloom = BlockedBloom(keyed.select("k").unionByName(listed), "k")
+    seen = written(pages.select("page_id", F.monotonically_increasing_id().alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]))
-    ruled = F.flatten(F.transform(parents, lambda d: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), d, p))))
-    own = F.when(F.col("host") != "", F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))).otherwise(F.array().cast("array<string>"))
-    tried = seen.select("row", F.explode(F.array_distinct(F.concat(own, F.when(F.col("host") != "", ruled).otherwise(F.array().cast("array<string>"))))).alias("k"))
-    hits = tried.where(bloom.may_hold(F.col("k"))).join(keys, "k")
-    best = hits.groupBy("row").agg(
-        F.max_by(F.struct("rule", "says"), F.coalesce(F.length("rule"), F.lit(-1))).alias("b")
-    )
-    return seen.join(best, "row", "left").select(
-        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce(F.col("b.says"), F.lit("allow")).alias("verdict")
+    ruled = F.array_distinct(F.flatten(F.transform(parents, lambda d: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), d, p)))))
+    hosted = seen.where("host <> ''")
+    passed = lambda keys: hosted.select("row", F.explode(keys).alias("k")).where(bloom.may_hold(F.col("k")))
+    few = rules.count() <= FEW_RULES
+    fits = passed(ruled).join(F.broadcast(keyed) if few else keyed, "k").groupBy("row").agg(F.max_by(F.struct("rule", "says"), F.struct(F.length("rule"), "wide", "rule")).alias("b"))
+    blocked = passed(F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))).join(listed, "k", "left_semi").select(F.col("row").alias("hit"))
+    return seen.join(fits, "row", "left").join(blocked, F.col("row") == F.col("hit"), "left").select(
+        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce(F.col("b.says"), F.when(F.col("hit").isNotNull(), "block"), F.lit("allow")).alias("verdict")
     )

@@ -467,6 +467,77 @@ def test_url_filter(spark):
     assert got[6][3] == got[7][3] == "block" and got[8][3] == "allow" and got[9][2:] == (None, "allow") and got[10][2:] == ("com/", "allow")
 
 
+def test_url_filter_with_a_full_filter(spark, monkeypatch):
+    """A filter so small that it lets nearly everything through changes no verdict; nor does the join's kind."""
+    hosts = [f"h{k % 40}.{'com net org'.split()[k % 3]}" for k in range(400)]
+    pages = spark.createDataFrame([(i, f"http://www.{h}/p{i % 7}/x{i % 11}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{k}.com/p{k % 7}/x{k % 11}",) for k in range(0, 300)] + [("h9.com/p2/x9",)], "url_key string")
+    rules = spark.createDataFrame([("com", "/p1/", "allow"), ("h3.com", "/", "block"), ("org", "/p2/x2/", "block"), ("h5.org", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    want = sorted(map(tuple, urlfilter.judged(pages, rules, listed).collect()))
+    keys = {r["url_key"] for r in listed.collect()}
+    for i, host, path, rule, verdict in want:
+        fit = [(h + p, v) for h, p, v in [("com", "/p1/", "allow"), ("h3.com", "/", "block"), ("org", "/p2/x2/", "block"), ("h5.org", "/", "allow")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, key=lambda f: len(f[0])) if fit else (None, "block" if host.removeprefix("www.") + path.rstrip("/") in keys else "allow")
+        assert (rule, verdict) == best
+    monkeypatch.setattr(urlfilter, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(urlfilter, "FEW_RULES", 0)
+    assert sorted(map(tuple, urlfilter.judged(pages, rules, listed).collect())) == want
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Recall of pairs at the threshold, by weighted Jaccard over all pairs of queries and documents."""
+    texts = []
+    for _ in range(30):
+        base = prose(R.randrange(30, 200)).split()
+        for k in range(4):
+            own = list(base)
+            for _ in range(k):
+                own[R.randrange(len(own))] = f"edit{R.randrange(10**6)}"
+            texts.append(" ".join(own))
+    R.shuffle(texts)
+    features = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    df = collections.Counter(s for f in features for s in f)
+    weight = [{s: n * math.log1p(len(texts) / (1 + df[s])) for s, n in f.items()} for f in features]
+    near = lambda a, b: sum(min(a[s], b[s]) for s in a.keys() & b) / (sum(a.values()) + sum(b.values()) - sum(min(a[s], b[s]) for s in a.keys() & b))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(weight[i], weight[j]) >= 0.8]
+    assert len(pairs) > 20 and sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    links: dict[int, set] = {i: {i} for i in range(len(texts))}
+    for i, j in pairs:
+        if links[i] is not links[j]:
+            links[i] |= links[j]
+            for k in links[j]:
+                links[k] = links[i]
+    assert all(got[i] in links[i] for i in range(len(texts)))  # nothing else is joined
+
+
+def test_threads_against_a_plain_linker(spark):
+    r, rows = random.Random(6), []
+    for conv in range(12):
+        said = []
+        for turn in range(10):
+            own = [f"{conv}-{turn} " + " ".join(r.choice(WORDS[:10]) for _ in range(6)) for _ in range(r.randrange(1, 4))]
+            lines, parent = [], None
+            if said and r.random() < 0.8:
+                parent = r.randrange(len(said))
+                lines = ["On Monday somebody wrote:"] + ["> " + x.replace(" ", "  ").upper() for x in said[parent][0]]
+                if said[parent][1] is not None:
+                    lines += [">> " + x for x in said[said[parent][1]][0]]
+            rows.append((conv, turn, "u", "\n".join(lines + ["", *own])))
+            said.append((own, parent))
+            rows[-1] = (*rows[-1], parent)
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.linked(spark.createDataFrame([x[:4] for x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    parents = {(c, t): p for c, t, _, _, p in rows}
+    for (c, t), p in parents.items():
+        root = t
+        while parents[c, root] is not None:
+            root = parents[c, root]
+        assert got[c, t]["parent_turn"] == p and got[c, t]["root_turn"] == root and ">" not in got[c, t]["text"]
+    for c in range(12):
+        order = sorted(range(10), key=lambda t: (got[c, t]["root_turn"], t))
+        assert [got[c, t]["position"] for t in order] == list(range(1, 11))
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "a", "Hello there.\n\nSecond  part."), (1, 1, "b", "Other topic"), (1, 2, "c", "On Monday a wrote:\n> second part.\nI agree."),
