@@ -40,7 +40,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _sentences(spark, sf_dir):
-    return R.sentences(R.table(spark, sf_dir, "documents"))
+    return R.sentences(R.spread(R.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _nodes(spark, sf_dir):

@@ -6,9 +6,10 @@ once a node, and joined to the links that are left.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.functions import text as X
 from quillgraph.plans import dims
@@ -119,27 +120,39 @@ def reinforced(candidates: DataFrame, bonus: float = dims.REINFORCEMENT) -> Data
     """(doc_id, src, dst, type, conf, nth): proximity links where each accepted link raises both ends' confidence before
     the next is weighed; and a row with dst null for each node that was raised, conf being its last.
 
-    The order is link kind, distance, source, target; a document is one fold, so documents are the unit of work.
+    The order is link kind, distance, source, target. Candidates are dealt by document and sorted; a task folds one
+    document after another as their rows stream by and holds the confidences of one document.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "gap", "src", "dst"])
-        now: dict[int, float] = {}
-        out, raised = [], set()
-        for doc, src, dst, ca, cb, extra, least, kind in zip(*(pdf[c] for c in ("doc_id", "src", "dst", "ca", "cb", "extra", "least", "type"))):
-            a, b = now.setdefault(src, ca), now.setdefault(dst, cb)
-            c = min(1.0, max(0.0, (a + b) / 2 + extra))
-            if c >= least:
-                out.append((doc, src, dst, kind, c, len(out)))
-                raised |= {src, dst}
-                now[src], now[dst] = min(1.0, a + bonus), min(1.0, b + bonus)
-        out += [(doc, n, None, None, now[n], None) for n in raised]
-        found = pd.DataFrame(out, columns=["doc_id", "src", "dst", "type", "conf", "nth"])
-        return found.astype({"dst": "Int32", "nth": "Int32"})
-
-    key = candidates.schema["doc_id"].dataType.simpleString()
-    narrow = candidates.select("doc_id", "src", "dst", "ord", "gap", "ca", "cb", "extra", "least", "type")
-    return narrow.groupBy("doc_id").applyInPandas(fold, f"doc_id {key}, src int, dst int, type string, conf double, nth int")
+    names = ["doc_id", "src", "dst", "type", "conf", "nth"]
+
+    def fold(batches):
+        doc, now, raised, links = None, {}, {}, 0
+
+        def closed(out):
+            out += [(doc, n, None, None, now[n], None) for n in raised]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row_doc, src, dst, ca, cb, extra, least, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if row_doc != doc:
+                    closed(out)
+                    doc, now, raised, links = row_doc, {}, {}, 0
+                a, b = now.setdefault(src, ca), now.setdefault(dst, cb)
+                c = min(1.0, max(0.0, (a + b) / 2 + extra))
+                if c >= least:
+                    out.append((doc, src, dst, kind, c, links))
+                    links += 1
+                    raised[src] = raised[dst] = True
+                    now[src], now[dst] = min(1.0, a + bonus), min(1.0, b + bonus)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+        last: list[tuple] = []
+        closed(last)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in last], t) for i, t in enumerate(types)], names)
+
+    key = candidates.schema["doc_id"].dataType
+    types = [to_arrow_type(key), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
+    dealt = candidates.select("doc_id", "src", "dst", "ca", "cb", "extra", "least", "type", "ord", "gap").repartition("doc_id").sortWithinPartitions("doc_id", "ord", "gap", "src", "dst")
+    return dealt.drop("ord", "gap").mapInArrow(fold, f"doc_id {key.simpleString()}, src int, dst int, type string, conf double, nth int")
 
 
 def raised(nodes: DataFrame, folded: DataFrame) -> DataFrame:

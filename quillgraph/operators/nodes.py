@@ -23,7 +23,9 @@ def matched(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
     """sentences with counts: one number for each rule of the pack. Nothing is exploded, joined or shuffled."""
     joined = F.concat(F.lit("<"), F.array_join(X.tokens(F.col("text")), "><"), F.lit(">"))
     rows = sentences.withColumn("joined", joined)
-    return rows.withColumn("counts", F.array(*[_occurrences(F.col("joined"), words) for _, _, words in pack])).drop("joined")
+    # Exploded from an array of one, so that no later filter is pushed below and counts again.
+    counts = F.explode(F.array(F.array(*[_occurrences(F.col("joined"), words) for _, _, words in pack])))
+    return rows.select("*", counts.alias("counts")).drop("joined")
 
 
 def rule_hits(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
@@ -42,7 +44,9 @@ def hit_map(sentences: DataFrame, pack=dims.PACK) -> DataFrame:
 def scored(sentences: DataFrame, pack=dims.PACK, boosts: dict[str, float] | None = None) -> DataFrame:
     """sentences with scores, an array of (label, score) of the labels hit: hits times section prior, type weight and
     theme boost, with numeric bonus and hedging."""
-    rows = matched(sentences, pack).withColumns({
+    # Without a hit only what looks like a reference and bears a number among the results can become a node.
+    some = F.exists("counts", lambda n: n > 0) | (F.col("section").startswith("RESULT") & F.col("text").rlike(X.NUMERIC_HINT))
+    rows = matched(sentences, pack).where(some).withColumns({
         "bonus": F.when(X.has_numeric(F.col("text")), dims.NUMERIC_BONUS).otherwise(0.0),
         "hedge": F.when(F.arrays_overlap(X.tokens(F.col("text")), F.array(*[F.lit(h) for h in dims.HEDGES])), dims.HEDGE_PENALTY).otherwise(0.0),
     })

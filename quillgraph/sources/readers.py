@@ -17,10 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files have fewer splits than that, as one small file has; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, n, text, page, section): sentences in order, empty ones dropped; sections by position."""
     parts = F.filter(F.split(F.regexp_replace("text", "([.!?])[ \t\n\r]+", "$1\n"), "\n"), lambda x: F.trim(x) != "")
-    rows = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("sent_idx", "text"))
+    # outer: an inner explode infers a filter on the parts, which is pushed down and splits every text a second time.
+    rows = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("sent_idx", "text")).where("sent_idx is not null")
     return rows.withColumns({"page": F.expr("sent_idx div 20").cast("int"), "section": F.expr(SECTION)}).select("doc_id", "sent_idx", "n", "text", "page", "section")
 
 
