@@ -7,6 +7,7 @@ seed, and a document is emitted once for each whole number that its stretch cros
 
 The order is dealt in (source, size class, hash part) buckets: counts per bucket are aggregated first and
 their running total within the source gives each bucket its first rank, so no task holds a whole source.
+Rows are dealt once: ranks and the buckets' first ranks meet by the same keys.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; repeated rows
 are separate documents; a source without words has target 0 and is not taken; an empty table gives an
@@ -61,17 +62,26 @@ def mixed(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 17,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """boxed docs with size, source_size, target and copies (how often the mix takes the row).
+    """boxed docs (of them only the columns keep, where named) with size, source_size, target and copies (how often the
+    mix takes the row).
 
     All documents of a source have one rate, so the running total of expected copies is the rank times the rate."""
     n = docs.count()
     parts = max(1, min(MAX_PARTS, -(-n // PART_ROWS)))
-    rows = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text"))).withColumns({
+    rows = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text")))
+    if keep is not None:
+        rows = rows.withColumn(BOX, F.struct(*[F.col(BOX).getField(c).alias(c) for c in keep]))
+    # A source without nulls beside a mark for them: plain keys, by which window and join deal the rows alike.
+    rows = rows.withColumns({
+        "none": F.col("source").isNull(),
+        "own": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
         "part": F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts)).cast("int"),
     })
     key = ["class", "part"]
+    dealt = ["none", "own", *key]
     buckets = written(rows.groupBy("source", *key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-buckets")
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("t_source"), "source_size", "target")
@@ -79,15 +89,14 @@ def mixed(
     firsts = (
         buckets.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-        .select(F.col("source").alias("b_source"), *(F.col(k).alias(f"b_{k}") for k in key), "first", "source_size", "target")
+        .select(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own"), *key, "first", "source_size", "target")
     )
-    at = Window.partitionBy("source", *key).orderBy("size", "doc_id")
+    at = Window.partitionBy(*dealt).orderBy("size", "doc_id")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("part") == F.col("b_part"))
     return (
         rows.withColumn("nth", F.row_number().over(at))
-        .join(firsts, same)
+        .join(firsts, dealt)
         .withColumn("nth", F.col("nth") + F.col("first"))
         .withColumn("copies", F.floor(F.col("nth") * rate + offset) - F.floor((F.col("nth") - 1) * rate + offset))
         .select(BOX, "size", "source_size", "target", "copies")
@@ -96,7 +105,7 @@ def mixed(
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """The contract of op2: doc_id, size, source_size, target, taken."""
-    return mixed(docs.select("doc_id", "text", "source"), **how).select(
+    return mixed(docs.select("doc_id", "text", "source"), keep=("doc_id",), **how).select(
         F.col(BOX).getField("doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 

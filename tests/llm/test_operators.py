@@ -75,6 +75,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.taken_words(empty).count() == 0
 
 
+def test_mixing_deals_rows_once(spark, docs):
+    """Whole rows are shuffled once."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (mixing.resampled(docs), mixing.taken_words(docs)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            kinds = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+            assert kinds.count("none") == 2 and "class" not in kinds  # rows and first ranks, by the same keys
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_packing_is_an_exact_partition(docs, empty):
     rows = packing.packed(docs).collect()
     from tokenizers import Tokenizer
