@@ -222,3 +222,35 @@ def test_against_sql(spark, name):
     rel = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({catalog.ORACLES[name]})")
     show = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
     assert show(rel.fetchall()) == show([tuple(r[c] for c in cols) for r in df.collect()])
+
+
+def test_dependency_hits_stay_within_a_sentence(spark):
+    """Against all pairs by brute force; no pairs of tokens are joined or shuffled, only matches."""
+    import itertools
+
+    from quillgraph.operators import dependencies
+
+    draw = random.Random(3)
+    tokens = [(d, s, i, draw.randrange(i + 1) if draw.random() < 0.9 else i, draw.choice("abcd")) for d in range(6) for s in range(3) for i in range(draw.randrange(1, 14))]
+    tokens += [(7, 0, 0, 1, "a"), (7, 0, 1, 2, "b"), (7, 0, 2, 0, "c"), (7, 1, 0, None, "a"), (7, 1, 1, 0, "b"), (None, 0, 0, 0, "a"), (None, 0, 1, 0, "b")]
+    pack = [
+        {"name": "R", "label": "L", "patterns": [[{"NAME": "x", "TOKEN": "a"}, {"NAME": "y", "ABOVE": "x", "TOKEN": {"IN": ["b", "a"]}}, {"NAME": "z", "ABOVE": "y", "TOKEN": "c", "OP": "?"}]]},
+        {"name": "S", "label": "M", "patterns": [[{"NAME": "x", "TOKEN": "b"}, {"NAME": "y", "ABOVE": "x"}, {"NAME": "z", "ABOVE": "x", "TOKEN": "a"}]]},
+    ]
+    want: dict = {}
+    for (d, s), group in itertools.groupby(sorted(tokens, key=lambda t: (t[0] is None, *(t[k] or 0 for k in (0, 1, 2)))), lambda t: t[:2]):
+        group = [(i, h, t) for _, _, i, h, t in group] if d is not None else []
+        up = {(h, i) for i, h, _ in group if h is not None and h != i}
+        for _ in group:
+            up |= {(a, c) for a, b in up for e, c in up if b == e}
+        word = {i: t for i, _, t in group}
+        two = [(x, y) for x, y in up if word[x] == "a" and word[y] in "ab"]
+        hits = {"R": two + [(x, y, z) for x, y in two for b, z in up if b == y and word[z] == "c"], "S": [(x, y, z) for x, y in up for b, z in up if b == x and word[x] == "b" and word[z] == "a"]}
+        for rule, found in hits.items():
+            if found := {tuple(sorted(f)) for f in found if len(set(f)) == len(f)}:
+                want[d, s, rule] = len(found), sum(map(len, found))
+    table = spark.createDataFrame(tokens, "doc_id long, sent_idx int, i int, head int, token string")
+    got = dependencies.dependency_hits(table, pack)
+    assert {(r["doc_id"], r["sent_idx"], r["rule"]): (r["matches"], r["tokens"]) for r in got.collect()} == want and len(want) > 8
+    query = catalog.QUERIES["dependency_hits"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in query._jdf.queryExecution().executedPlan().toString()
