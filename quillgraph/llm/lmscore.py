@@ -16,8 +16,8 @@ every bit. The log odds are mixed by weights from a set that the confidence of t
 (gating), then averaged with an adaptive probability map per gate. Correction, weights and map are updated after each
 bit, so every decision is predicted from what came before it; many texts go side by side, one bit each a step. A text
 of more decisions of a kind than SEGMENT is learned on in segments of that many, each from the starting values; its
-contexts go on. Starting weights and maps are learned the same way from one in FIT of the training texts, whose own
-counts are left out, as means over all segments, at every size of input. score is the log10 probability of all
+contexts go on. Starting weights and maps are learned the same way from all training texts, whose own counts are left
+out, as means over all segments. score is the log10 probability of all
 decisions; the two outcomes of a decision add up to 1. bits_per_byte divides the bits by the text's bytes. A training
 text is scored with counts that hold its own.
 
@@ -58,7 +58,6 @@ COMMON = 4096
 #: Bits of a word's code that are mixed. All bits would save 0.9 % of the bits a byte and cost a fifth more decisions.
 HEAD = 10
 FOLDS = 10
-FIT = 64
 #: Decisions of each kind that make a segment.
 SEGMENT = (512, 512, 4096, 2048)
 #: Bytes and words worked on at once, so that arrays stay in the cache, and decisions that are mixed side by side.
@@ -525,9 +524,8 @@ def _slots(train: DataFrame, key: str, shared, slot_bits: tuple[int, ...]) -> li
 
 
 def _fitted(train: DataFrame, key: str, model, slots, slot_bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Starting weights and maps: means over the segments of one in FIT training texts, by uses, from one use each of
-    the plain start."""
-    chosen = train.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(FIT)) == 0).select("text")
+    """Starting weights and maps: means over the segments of all training texts, by uses, from one use each of the plain
+    start."""
     width = 1 + INPUTS + CELLS
 
     def fit(batches):
@@ -549,7 +547,7 @@ def _fitted(train: DataFrame, key: str, model, slots, slot_bits: tuple[int, ...]
                         total[k] += np.concatenate([uses[:, None], weight, maps], axis=1)
         yield pa.RecordBatch.from_pydict({"i": np.arange(total.size), "x": total.ravel()})
 
-    rows = chosen.mapInArrow(fit, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 4 x 9 x 16
+    rows = train.select("text").mapInArrow(fit, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 4 x 9 x 16
     total = np.zeros(len(KINDS) * GATES * width)
     for i, x in rows:
         total[i] = x

@@ -325,6 +325,18 @@ def test_lm_score(docs, empty):
     assert lmscore.scored(empty).count() == 0
 
 
+def test_lm_weights_are_learned_from_every_training_text(spark):
+    """A single text, which a sample by hash would most likely leave out, moves the starting weights and maps."""
+    text = " ".join(f"word{k * k % 97}" for k in range(300))
+    train = spark.createDataFrame([(1, text, False)], "doc_id long, text string, held_out boolean")
+    share = spark.sparkContext.broadcast
+    model = np.empty(0, np.uint64), np.empty(0, np.int64), lmscore.byte_codes(np.zeros(65536, np.int64))
+    slots = [np.zeros(1 << 12, np.uint16)] * 3
+    start, maps = lmscore._fitted(train, "one", share(model), share(slots), (12, 12, 12))
+    plain = lmscore.Mixer(slots)
+    assert np.abs(maps - plain.maps).max() > 0.01 and np.abs(start - plain.start).max() > 0.001
+
+
 def slow_bits(text, coder, mixer):
     """Bits of a text, one decision after another in plain Python, from the coder's decisions and the counts' slots."""
     data = np.frombuffer(text.encode().lower(), np.uint8)
