@@ -14,18 +14,20 @@ contexts, whose zero and one counts come from all training texts:
 The first predictor is learned on in the text: a hashed correction of its log odds starts at zero and is moved after
 every bit. The log odds are mixed by weights from a set that the confidence of the two higher contexts selects
 (gating), then averaged with an adaptive probability map per gate. Correction, weights and map are updated after each
-bit, so every decision is predicted from what came before it; many texts go side by side, one bit each a step. A text
-of more decisions of a kind than SEGMENT is learned on in segments of that many, each from the starting values; its
-contexts go on. Starting weights and maps are learned the same way from all training texts, whose own counts are left
-out, as means over all segments. score is the log10 probability of all
-decisions; the two outcomes of a decision add up to 1. bits_per_byte divides the bits by the text's bytes. A training
-text is scored with counts that hold its own.
+bit, so every decision is predicted from what came before it. A text of more decisions of a kind than SEGMENT is learned
+on in segments of that many, each from the starting values; its contexts go on. Starting weights and maps are learned
+the same way from all training texts, whose own counts are left out, as means over all segments. score is the log10
+probability of all decisions; the two outcomes of a decision add up to 1. bits_per_byte divides the bits by the text's
+bytes. A training text is scored with counts that hold its own.
+
+One bit after another is slow in Python, so the passes that code texts run in the JVM: LmCore.java, by lmcore. Coder and
+Mixer say the same in numpy, make the tables and starting values, and are what tests hold the class against.
 
 Scale: three passes over the text. Word counts are exact and shuffled by word. Context counts are added up per
 partition in slots, then by slot block in groups of FAN parts at most, in as many rounds as the partitions need. The
 number of slots follows the training bytes up to MOST_BITS. Broadcast are the slots, two bytes each (34 MB at most),
 the dictionary (DICTIONARY words) and the byte codes: all bounded. The counts of words outside the dictionary come by
-a join. Texts are worked on in stretches of EVENTS words, so a long text takes no more memory than its words' places.
+a join. A task holds one text at a time, a few of its decisions, and for the counts one table of all slots.
 
 Defined results: null text is empty (one token: the end); repeated rows are scored each; without training texts
 V and N are 0 and no token is known; an empty table gives no rows; other columns are not read.
@@ -36,15 +38,15 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
-import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bytesutil import LOWER, SPACE, U64, prefix_hash, ranges, slices, span_hash, words
+from quillgraph.llm import lmcore
+from quillgraph.llm.bytesutil import LOWER, SPACE, U64, prefix_hash, ranges, slices, span_hash, trim, words
 from quillgraph.llm.langid import remainder
 from quillgraph.llm.store import dropped, written
 
@@ -60,10 +62,9 @@ HEAD = 10
 FOLDS = 10
 #: Decisions of each kind that make a segment.
 SEGMENT = (512, 512, 4096, 2048)
-#: Bytes and words worked on at once, so that arrays stay in the cache, and decisions that are mixed side by side.
+#: Bytes and words that numpy works on at once, so that arrays stay in the cache.
 SLICE = 1 << 16
 EVENTS = 1 << 13
-GATHER = 1 << 23
 END_WORD = U64(0x6C62272E07BB0142)
 START_WORD = U64(0x27D4EB2F165667C5)
 KINDS = ("separator", "flag", "code", "byte")
@@ -79,6 +80,8 @@ SURE = 1e-5
 #: Slots of a block that is added up in one group, and the parts added up at once.
 SLOT_BLOCK = 1 << 16
 FAN = 256
+#: The bits of a decision's node that are its place in a group of neighbouring slots.
+PLACE = np.uint32(15)
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,14 +135,14 @@ class Coder:
         offsets, nodes, bits = huffman(counts)
         size = np.minimum(np.diff(offsets), HEAD)
         path = np.repeat(offsets[:-1], size) + ranges(size)
-        self.code = np.append(0, np.cumsum(size)).astype(np.int32), self.spread(nodes[path]), bits[path].astype(bool)
+        self.code = self.grouped(np.append(0, np.cumsum(size)), nodes[path], bits[path])
         #: Bits of the choice that follows the first HEAD of a word's code.
         self.rest = np.zeros(len(words))
         long = np.flatnonzero(np.diff(offsets) > HEAD)
         _, group = np.unique(nodes[offsets[:-1][long] + HEAD], return_inverse=True)
         self.rest[long] = np.log2(np.bincount(group, counts[long])[group] / counts[long])
         offsets, nodes, bits = codes
-        self.bytes = offsets.astype(np.int32), self.spread(nodes), bits.astype(bool)
+        self.bytes = self.grouped(offsets, nodes, bits)
         rank = np.empty(len(words), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
         self.rank = rank
@@ -149,6 +152,16 @@ class Coder:
     def spread(nodes: np.ndarray) -> np.ndarray:
         return (nodes.astype(np.uint32) + np.uint32(1)) * np.uint32(0x2C1B3C6D)
 
+    @classmethod
+    def grouped(cls, offsets: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A code whose nodes name their group, the top node of every four levels (28 bits), and their place in it (4 bits)."""
+        depth = ranges(np.diff(offsets)) % 4
+        top, place = np.arange(len(nodes)) - depth, np.ones(len(nodes), np.uint32)
+        for k in range(3):
+            below = depth > k
+            place[below] = place[below] * 2 + bits[top[below] + k]
+        return offsets.astype(np.int32), cls.spread(nodes[top]) & ~PLACE | place, bits.astype(bool)
+
     @staticmethod
     def context(salt: int, *parts: np.ndarray) -> np.ndarray:
         h = U64(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)
@@ -158,14 +171,16 @@ class Coder:
         return (h >> U64(32)).astype(np.uint32)
 
     def slots_of(self, node: np.ndarray, *contexts: np.ndarray) -> list[np.ndarray]:
-        """node: spread over 32 bits."""
+        """node: its group, spread over 28 bits, and its place in the group, 4 bits: a group's slots are neighbours in
+        memory, in an order that the hash turns, so that all slots fill alike."""
         out = []
         for c, shift in zip(contexts, self.shifts):
-            h = c ^ node
+            h = c ^ (node & ~PLACE)
             h *= np.uint32(0x297A2D39)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x9E485565)
             h >>= shift
+            h ^= node & PLACE
             out.append(h)
         return out
 
@@ -236,7 +251,7 @@ class Coder:
         at, which, bit = (np.concatenate(x) for x in zip(*parts))
         again = np.argsort(at, kind="stable")
         at, which, bit = at[again], which[again], bit[again]
-        out["separator"] = (row[at], bit, *self.slots_of(self.spread(which), ev["head"][a:b][at], ev["word"][a:b][at], ev["sep_pair"][a:b][at]))
+        out["separator"] = (row[at], bit, *self.slots_of(which, ev["head"][a:b][at], ev["word"][a:b][at], ev["sep_pair"][a:b][at]))
         at = np.flatnonzero((symbol == 1) | (symbol == 3))
         out["flag"] = (row[at], known[at] >= 0, *self.slots_of(np.zeros(len(at), np.uint32), self.context(4, np.zeros(len(at), np.uint64)), near[at], pair[at]))
         at = np.flatnonzero(known >= 0)
@@ -267,7 +282,7 @@ class Coder:
         lengths = offs[symbols + 1] - offs[symbols]
         path = np.repeat(offs[symbols], lengths) + ranges(lengths).astype(np.int32)
         of = np.repeat(np.arange(len(owner), dtype=np.int32), lengths)
-        node = nodes[path] + (shut == 0).astype(np.uint32)[of]
+        node = nodes[path] + ((PLACE + np.uint32(1)) * (shut == 0))[of]
         out["byte"] = (row[at[owner]][of], bits[path], *self.slots_of(node, two[of], four[of], so_far[of]))
         return out
 
@@ -400,14 +415,32 @@ _held: dict[str, tuple] = {}
 
 
 def _once(kind: str, key: object, make):
-    """A worker's own copy of what tasks share; only the last of a kind stays."""
+    """What the passes of a query share; only the last of a kind stays."""
     if kind not in _held or _held[kind][0] != key:
         _held[kind] = (key, make())
     return _held[kind][1]
 
 
-def _coder(key: str, model, slot_bits: tuple[int, ...]) -> Coder:
-    return _once("coder", key, lambda: Coder(*model.value, slot_bits))
+def _model(spark: SparkSession, key: str, model, slot_bits: tuple[int, ...]):
+    """The coder's tables, broadcast in the JVM."""
+
+    def make():
+        coder, counts = Coder(*model.value, slot_bits), model.value[1]
+        whole, real = [*map(int, coder.shifts), COMMON, *SEGMENT], [STRETCH, RATE, MAP_RATE, OWN_RATE, SURE]
+        return lmcore.shared(
+            spark, coder.words, coder.rank.astype(np.int32), *coder.code, *coder.bytes, coder.rest, np.log10(counts + 0.1), np.array(whole, np.int32), np.array(real)
+        )
+
+    return _once("model", key, make)
+
+
+def _counts(spark: SparkSession, key: str, mixer: Mixer):
+    """The mixer's slots and what is read from them, broadcast in the JVM."""
+    return _once("counts", key, lambda: lmcore.shared(spark, *(np.append(np.zeros(lmcore.PAD, np.uint16), s) for s in mixer.slots), mixer.step, mixer.seen))
+
+
+def _bytes(train: DataFrame) -> DataFrame:
+    return train.select(F.col("text").cast("binary").alias("text"))
 
 
 def _word_counts(train: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -464,6 +497,19 @@ def _dictionary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rows["n"].to_numpy(np.int64)[order]
 
 
+def small(x: np.ndarray) -> bytes:
+    """Numbers from 0: how many, a byte for each, 255 at most, and those from there on in full."""
+    return np.int32(len(x)).astype("<i4").tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
+
+
+def whole(raw: bytes) -> np.ndarray:
+    """The numbers of small()."""
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", -1, 4 + n) if len(raw) > 4 + n else 0
+    return out
+
+
 def _slots(train: DataFrame, key: str, shared, slot_bits: tuple[int, ...]) -> list[np.ndarray]:
     """Zero and one counts of all decisions of the training texts, per context slot, scaled into a byte each."""
     sizes = [2 << b for b in slot_bits]
@@ -471,33 +517,13 @@ def _slots(train: DataFrame, key: str, shared, slot_bits: tuple[int, ...]) -> li
     block_size = min(SLOT_BLOCK, *sizes)
     schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
 
-    def count(batches):
-        coder = _coder(key, shared, slot_bits)
-        table = [np.zeros(n, np.uint32) for n in sizes]
-        one = np.uint32(1)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch, limit=SLICE):
-                ev = coder.events(LOWER[data], offsets)
-                for a, b in stretches(ev):
-                    for _, bit, *slots in coder.decisions(ev, a, b).values():
-                        for c in range(INPUTS):
-                            np.add.at(table[c], (slots[c] * np.uint32(2) + bit).astype(np.int64), one)
-        part = TaskContext.get().partitionId()
-        for c in range(INPUTS):
-            for b in range(0, sizes[c], block_size):
-                at = np.flatnonzero(table[c][b : b + block_size])
-                if len(at):
-                    yield packed((bases[c] + b) // block_size, part, at, table[c][b + at])
-
     def packed(block: int, part: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        sparse = zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes(), 1)
-        return pa.RecordBatch.from_pydict({"block": [block], "part": [part], "at": [sparse], "n": [zlib.compress(n.astype("<i8").tobytes(), 1)]}, schema)
+        return pa.RecordBatch.from_pydict({"block": [block], "part": [part], "at": [small(np.diff(at, prepend=0))], "n": [small(n)]}, schema)
 
     def summed(got: pa.Table) -> np.ndarray:
         n = np.zeros(block_size, np.int64)
         for a, b in zip(got["at"], got["n"]):
-            at = np.cumsum(np.frombuffer(zlib.decompress(a.as_py()), "<u2"), dtype=np.int64)
-            n[at] += np.frombuffer(zlib.decompress(b.as_py()), "<i8")
+            n[np.cumsum(whole(a.as_py()))] += whole(b.as_py())
         return n
 
     def partial(got: pa.Table) -> pa.Table:
@@ -511,7 +537,8 @@ def _slots(train: DataFrame, key: str, shared, slot_bits: tuple[int, ...]) -> li
         n = np.where((n > 0) & (most > 255), np.maximum(1, n * 255 // most), n)
         return pa.Table.from_pydict({"block": got["block"][:1], "n": [(n[:, 0] << 8 | n[:, 1]).astype("<u2").tobytes()]}, pa.schema([("block", pa.int32()), ("n", pa.binary())]))
 
-    rows = train.select("text").mapInArrow(count, "block int, part long, at binary, n binary")
+    spark = train.sparkSession
+    rows = lmcore.mapped(_bytes(train), "block int, part long, at binary, n binary", lmcore.COUNT, _model(spark, key, shared, slot_bits), None, lmcore.arrays(spark, np.array([block_size], np.int32)))
     parts = train.rdd.getNumPartitions()
     while parts > FAN:
         rows = rows.groupBy("block", F.expr(f"part div {FAN}")).applyInArrow(partial, "block int, part long, at binary, n binary")
@@ -528,31 +555,15 @@ def _fitted(train: DataFrame, key: str, model, slots, slot_bits: tuple[int, ...]
     start."""
     width = 1 + INPUTS + CELLS
 
-    def fit(batches):
-        coder, mixer = _coder(key, model, slot_bits), Mixer(slots.value)
-        total = np.zeros((len(KINDS), GATES, width))
-        for batch in batches:
-            for group in _grouped(slices(batch, limit=SLICE)):
-                parts: dict[str, list] = {k: [] for k in KINDS}
-                for a, b, data, offsets in group:
-                    ev = coder.events(LOWER[data], offsets)
-                    for i, j in stretches(ev):
-                        for k, made in coder.decisions(ev, i, j).items():
-                            row, *rest = mixer.packed(made, True)
-                            parts[k].append((row + np.int32(a), *rest))
-                for k, kind in enumerate(KINDS):
-                    learned: list = []
-                    mixer.mixed(k, parts[kind], batch.num_rows, learned)
-                    for uses, weight, maps in learned:
-                        total[k] += np.concatenate([uses[:, None], weight, maps], axis=1)
-        yield pa.RecordBatch.from_pydict({"i": np.arange(total.size), "x": total.ravel()})
-
-    rows = train.select("text").mapInArrow(fit, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 4 x 9 x 16
+    spark = train.sparkSession
+    plain = Mixer(slots.value)
+    values = lmcore.arrays(spark, plain.start, plain.maps)
+    sums = lmcore.mapped(_bytes(train), "i long, x double", lmcore.FIT, _model(spark, key, model, slot_bits), _counts(spark, key, plain), values)
+    rows = sums.groupBy("i").agg(F.sum("x").alias("x")).collect()  # 4 x 9 x 16
     total = np.zeros(len(KINDS) * GATES * width)
     for i, x in rows:
         total[i] = x
     total = total.reshape(len(KINDS), GATES, width)
-    plain = Mixer([np.zeros(1, np.uint16)] * INPUTS)
     n = total[:, :, :1] + 1
     # Rounded, so that the order of the sums does not show.
     start = np.round((plain.start + total[:, :, 1 : 1 + INPUTS]) / n, 4).astype(np.float32)
@@ -565,19 +576,6 @@ def slot_bits_for(size: int, most: tuple[int, ...] = MOST_BITS) -> tuple[int, ..
     return tuple(min(b, need) for b in most)
 
 
-def _grouped(parts):
-    """Slices of a batch, as many as make about GATHER decisions together (three a byte)."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += 3 * len(part[2])
-        if size >= GATHER:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def scored(docs: DataFrame, folds: int = FOLDS, slot_bits: tuple[int, ...] | None = None) -> DataFrame:
     """The contract of op1, and bits_per_byte: learns from the rows whose id's hash is not 0 modulo folds."""
     spark = docs.sparkSession
@@ -587,65 +585,24 @@ def scored(docs: DataFrame, folds: int = FOLDS, slot_bits: tuple[int, ...] | Non
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("h") == F.lit(int(END_WORD.view(np.int64)))).agg(F.sum("n")).first()[0] or 0
     slot_bits = slot_bits or slot_bits_for(int(pairs.sum()))
-    model = spark.sparkContext.broadcast((*_dictionary(counts, DICTIONARY), byte_codes(_spelling(pairs))))
+    model = SimpleNamespace(value=(*_dictionary(counts, DICTIONARY), byte_codes(_spelling(pairs))))
     key = uuid.uuid4().hex
-    slots = spark.sparkContext.broadcast(_slots(train, key, model, slot_bits))
+    slots = SimpleNamespace(value=_slots(train, key, model, slot_bits))
     start, maps = _fitted(train, key, model, slots, slot_bits)
     bottom = np.log10(total + 0.1 * (distinct + 1))
-
-    def run(batches):
-        coder = _coder(key, model, slot_bits)
-        mixer = _once("mixer", key, lambda: Mixer(slots.value, start, maps))
-        known_log = np.log10(np.append(model.value[1], 0) + 0.1)
-        after_head = np.append(coder.rest, 0)  # of unknown words none
-        number = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for group in _grouped(slices(batch, limit=SLICE)):
-                first, rows = group[0][0], sum(b - a for a, b, _, _ in group)
-                parts: dict[str, list] = {k: [] for k in KINDS}
-                seen, base = [], 0
-                for a, b, data, offsets in group:
-                    ev = coder.events(LOWER[data], offsets)
-                    for i, j in stretches(ev):
-                        for k, made in coder.decisions(ev, i, j).items():
-                            row, *rest = mixer.packed(made)
-                            parts[k].append((row + np.int32(base), *rest))
-                    known, end = ev["known"], ev["end"]
-                    value = np.where(end, np.log10(ends + 0.1), known_log[known])
-                    new = (known < 0) & ~end
-                    value[new] = 0
-                    seen.append((ev["row"] + base, value, (known >= 0) | (end & (ends > 0)), new, ev["h"], after_head[known]))
-                    base += b - a
-                    del ev
-                bits = sum(mixer.mixed(k, parts[kind], rows) for k, kind in enumerate(KINDS))
-                parts.clear()
-                row, value, known, new, h, left = (np.concatenate(x) for x in zip(*seen))
-                bits += np.bincount(row, left, rows)
-                owner, h = row[new], h[new]
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                least = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.empty(0, np.int64)
-                n = np.diff(np.append(least, len(h)))
-                cut = np.searchsorted(owner[least], np.arange(rows + 1)).astype(np.int32)
-                size = np.concatenate([np.diff(x[3]) for x in group])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number + np.arange(rows)), batch.column(0).slice(first, rows), batch.column(2).slice(first, rows),
-                        pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, known, rows).astype(np.int64)),
-                        pa.array(np.bincount(row, value, rows)), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(1, size)),
-                        pa.ListArray.from_arrays(cut, pa.array(h[least].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n)),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "value", "score", "bits_per_byte", "h", "n"],
-                )
-                number += rows
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = written(
-        docs.select("doc_id", "text", "held_out").mapInArrow(
-            run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, bits_per_byte double, h array<long>, n array<long>"
+        lmcore.mapped(
+            docs.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out"),
+            f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, bits_per_byte double, h array<long>, n array<long>",
+            lmcore.SCORE, _model(spark, key, model, slot_bits), _counts(spark, key, Mixer(slots.value)),
+            lmcore.arrays(spark, start, maps, np.array([np.log10(ends + 0.1), float(ends > 0)])),
         ),
         "scores",
     )
+    for _, held in (_held.pop("model"), _held.pop("counts")):  # written: nothing reads them again
+        held.destroy()
+    trim()
     rare = table.select("row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.n").alias("times"))
     found = rare.join(counts, "h", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known_more")

@@ -390,6 +390,51 @@ def test_lm_bits_against_plain_python(monkeypatch):
         assert math.isclose(bits, slow_bits(t, coder, mixer), rel_tol=1e-4)
 
 
+def test_lm_core_against_numpy_and_plain_python(spark, monkeypatch):
+    """The JVM's loop: counts as the decisions of the coder add up, bits as in plain Python, a line a text."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lmscore, "SEGMENT", (50, 20, 300, 200))
+    texts = [prose(200), "", "x", prose(3) + "\n\n \t" + prose(30), "  " + prose(20) + " \n", "straße \x00 ÉÈ" * 9, "a " * 70000]
+    lower = [np.frombuffer(t.encode().lower(), np.uint8) for t in texts]
+    w = collections.Counter(" ".join(texts).encode().lower().split())
+    hashed = {int(lmscore.span_hash(lmscore.prefix_hash(np.frombuffer(k, np.uint8)), np.array([0]), np.array([len(k)]))[0]): n for k, n in w.items() if n >= 2}
+    known = np.array(sorted(hashed), np.uint64)
+    model = SimpleNamespace(value=(known, np.array([hashed[int(h)] for h in known]), lmscore.byte_codes(lmscore._spelling(np.zeros(65536, np.int64)))))
+    coder = lmscore.Coder(*model.value, (12, 13, 13))
+    table = [np.zeros(2 << b, np.int64) for b in (12, 13, 13)]
+    for data in lower:
+        ev = coder.events(data, np.array([0, len(data)]))
+        for _, bit, *slots in coder.decisions(ev, 0, len(ev["row"])).values():
+            for t, s in zip(table, slots):
+                np.add.at(t, s.astype(np.int64) * 2 + bit, 1)
+    assert max(t.max() for t in table) > 65536
+    pairs = [t.reshape(-1, 2) for t in table]
+    most = [np.maximum(n.max(axis=1, keepdims=True), 255) for n in pairs]
+    pairs = [np.where((n > 0) & (m > 255), np.maximum(1, n * 255 // m), n) for n, m in zip(pairs, most)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    slots = lmscore._slots(docs, "core", model, (12, 13, 13))
+    assert all(np.array_equal(got, n[:, 0] << 8 | n[:, 1]) for got, n in zip(slots, pairs))
+    mixer = lmscore.Mixer(slots)
+    rows = lmscore.lmcore.mapped(
+        docs.selectExpr("doc_id", "cast(text as binary)", "true as held_out"),
+        "row long, doc_id long, held_out boolean, n_tokens long, known long, value double, score double, bits_per_byte double, h array<long>, n array<long>",
+        lmscore.lmcore.SCORE, lmscore._model(spark, "core", model, (12, 13, 13)), lmscore._counts(spark, "core", mixer),
+        lmscore.lmcore.arrays(spark, mixer.start, mixer.maps, np.zeros(2)),
+    ).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert math.isclose(-r["score"] / math.log10(2), slow_bits(t, coder, mixer), rel_tol=1e-4) and r["n_tokens"] == len(t.encode().lower().split()) + 1
+        rare = [h for h in coder.events(lower[r["doc_id"]], np.array([0, len(t.encode())]))["h"][:-1].tolist() if h not in hashed]
+        assert collections.Counter(rare) == {h % 2**64: n for h, n in zip(r["h"], r["n"])}
+
+
+def test_lm_counts_pack_and_unpack():
+    for x in ([], [0, 1, 254, 255, 256, 70000], [2**40]):
+        assert lmscore.whole(lmscore.small(np.array(x, np.int64))).tolist() == x
+
+
 def test_lm_probabilities_add_up():
     """All strings of a small alphabet up to a length: what the model gives them adds up to 1 at most; each further length adds."""
     w = np.sort(np.array([lmscore.span_hash(lmscore.prefix_hash(np.frombuffer(k, np.uint8)), np.array([0]), np.array([len(k)]))[0] for k in (b"a", b"ab")], np.uint64))
