@@ -34,7 +34,7 @@ LENGTH = 2048
 SEGMENTS = 256
 MIN_PIECE = 16
 END_ID = 1
-#: Words whose ids a worker remembers, about 30 bytes each.
+#: Words whose ids a worker remembers, about 40 bytes each.
 CACHE_WORDS = 1_000_000
 OUT = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: White space, case, marks and scripts that words and whole texts must agree on.
@@ -42,26 +42,47 @@ PROBE = "Ab  CD\tÉé\nx.Y\u00a0z \u3000漢字 e\u0301 \r\n12-3\x0bq\x0c'S ﬁ 
 
 
 class Words:
-    """Ids of words by the words' hashes: sorted hashes, and for each where its ids are."""
+    """Ids of words by the words' hashes, in order of meeting, and where those ids are. A table by the hash's upper bits,
+    probed one place after another, tells a word's place without sorting; it is at most half full."""
 
     def __init__(self) -> None:
         self.hash, self.first, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.table, self.bits = np.full(1 << 16, -1, np.int32), 16
+
+    def spots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where each hash is, or -1."""
         if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
+            return np.full(len(h), -1, np.int32)
+        spot = self.spots(h)
+        out = self.table[spot]
+        rest = np.flatnonzero((self.hash[out] != h) & (out >= 0))
+        while len(rest):
+            spot[rest] = spot[rest] + 1 & len(self.table) - 1
+            got = self.table[spot[rest]]
+            out[rest] = got
+            rest = rest[(self.hash[got] != h[rest]) & (got >= 0)]
+        return out
 
     def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """h: different ones that are not here yet."""
         size = np.array([len(x) for x in ids], np.int64)
         first = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-        order = np.argsort(h)
-        at = np.searchsorted(self.hash, h[order])
-        self.hash, self.first, self.size = (np.insert(old, at, new[order]) for old, new in ((self.hash, h), (self.first, first), (self.size, size)))
+        new = np.arange(len(self.hash), len(self.hash) + len(h), dtype=np.int32)
+        self.hash, self.first, self.size = (np.concatenate(x) for x in ((self.hash, h), (self.first, first), (self.size, size)))
+        if 2 * len(self.hash) > len(self.table):
+            self.bits = int(2 * len(self.hash) - 1).bit_length()
+            self.table, new = np.full(1 << self.bits, -1, np.int32), np.arange(len(self.hash), dtype=np.int32)
+        spot = self.spots(self.hash[new])
+        while len(new):
+            free = self.table[spot] < 0
+            self.table[spot[free]] = new[free]
+            left = self.table[spot] != new
+            new, spot = new[left], spot[left] + 1 & len(self.table) - 1
 
 
 class Ids:
@@ -98,16 +119,18 @@ class Ids:
         if odd.any():
             keep = ~odd[row]
             start, end, row = start[keep], end[keep], row[keep]
-        h, one, which = np.unique(span_hash(prefix_hash(low), start, end), return_index=True, return_inverse=True)
+        h = span_hash(prefix_hash(low), start, end)
         place = self.known.places(h)
         new = np.flatnonzero(place < 0)
         if len(new):
             if len(self.known.hash) > CACHE_WORDS:
                 self.known = Words()
                 new = np.arange(len(h))
+            own, one = np.unique(h[new], return_index=True)
+            one = new[one]
             flat = low.tobytes()
-            self.known.add(h[new], self.encoded([flat[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())]))
-            place = self.known.places(h)
+            self.known.add(own, self.encoded([flat[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())]))
+            place[new] = self.known.places(h[new])
         # The end of each text is a word of its own; what the tokenizer saw whole stands there too.
         closing = [[END_ID]] * n
         for i, x in zip(np.flatnonzero(odd), self.encoded([raw[offsets[i] : offsets[i + 1]].decode() for i in np.flatnonzero(odd)]) if odd.any() else ()):
@@ -118,7 +141,7 @@ class Ids:
         ends = np.cumsum(per) + np.arange(n)
         first, size = np.empty(len(row) + n, np.int64), np.empty(len(row) + n, np.int64)
         at = np.arange(len(row)) + row
-        first[at], size[at] = self.known.first[place][which], self.known.size[place][which]
+        first[at], size[at] = self.known.first[place], self.known.size[place]
         first[ends], size[ends] = len(self.known.ids) + np.cumsum(own) - own, own
         total = np.append(0, np.cumsum(size))
         return ids[np.repeat(first, size) + ranges(size)].astype("<u4"), total[np.append(0, ends + 1)]

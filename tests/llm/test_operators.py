@@ -153,6 +153,21 @@ def test_packing_by_loss_column(spark):
         assert sum(r["length"] for r in s) <= 256 and len(s) <= 4 and live <= 100
 
 
+def test_words_stay_in_place():
+    """Words keep their places when others come, also with equal upper bits and when the table grows; nothing is sorted."""
+    g = np.random.default_rng(2)
+    known, met = packing.Words(), np.empty(0, np.uint64)
+    for n in (1, 500, 60000):
+        h = np.setdiff1d(np.append(g.integers(0, 2**63, n, np.uint64), (np.uint64(2**64 - 1) - np.arange(n, n + 40, dtype=np.uint64))), met)
+        g.shuffle(h)
+        assert (known.places(h) < 0).all()
+        known.add(h, [[int(x % np.uint64(1000))] * (i % 3) for i, x in enumerate(h)])
+        met = np.append(met, h)
+        assert np.array_equal(known.places(met), np.arange(len(met)))
+    at = known.places(met[::-1])
+    assert all(known.ids[a : a + n].tolist() == [int(x % np.uint64(1000))] * int(n) for a, n, x in zip(known.first[at][:500], known.size[at][:500], met[::-1][:500]))
+
+
 def test_ids_of_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
