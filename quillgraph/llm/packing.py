@@ -174,6 +174,7 @@ def vector_pack(sizes: np.ndarray, limits: np.ndarray, min_piece: int = MIN_PIEC
         stock[kind].append((item, 0))
     left = np.array([len(s) for s in stock])
     share = kinds / limits
+    columns = np.ascontiguousarray(kinds.T)
     room, own = limits.astype(np.int64).copy(), []
     extra: list[tuple[int, int, np.ndarray]] = []  # the rest of a cut item; at most one at a time
     while left.any() or extra:
@@ -182,9 +183,12 @@ def vector_pack(sizes: np.ndarray, limits: np.ndarray, min_piece: int = MIN_PIEC
             own.append((item, first, int(vector[0])))
             room -= vector
             continue
-        fits = (left > 0) & (kinds <= room).all(axis=1)
-        if fits.any():
-            k = int(np.argmax(np.where(fits, share @ (room / limits), -1.0)))
+        fits = left > 0
+        for column, most in zip(columns, room):
+            fits &= column <= most
+        where = np.flatnonzero(fits)
+        if len(where):
+            k = int(where[np.argmax(share[where] @ (room / limits))])
             item, first = stock[k].pop()
             left[k] -= 1
             own.append((item, first, int(kinds[k, 0])))
